@@ -6,12 +6,10 @@ candidate goes through ``try_to_date`` and an impossible one is null.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from playbill.functions.text import all_groups, first_group
+from playbill.functions.text import all_groups, first_group, let
 
 # How dates are printed.
 FULL_DATE = r"(?U)(20\d{2})[./年\s]{1,2}(\d{1,2})[./月\s]{1,2}(\d{1,2})"
@@ -28,10 +26,9 @@ LONGEST_RUN_DAYS = 3 * 365
 
 
 def ymd(year: Column, month: Column, day: Column) -> Column:
-    """A date, or null when there is no such day."""
+    """A date, or null when a part is missing or there is no such day."""
     text = F.concat_ws("-", year.cast("string"), month.cast("string"), day.cast("string"))
-    whole = year.isNotNull() & month.isNotNull() & day.isNotNull()
-    return F.when(whole, F.try_to_date(text, "y-M-d"))
+    return F.try_to_date(text, "y-M-d")
 
 
 def _int(col: Column) -> Column:
@@ -84,28 +81,31 @@ def date_range(text: Column, form: str) -> Column:
     the next when it would run backwards.  Inverted or over-long runs are
     null."""
     pattern = RANGE_FORMS[form]
-    years, months, days = (all_groups(text, pattern, g) for g in (1, 2, 3))
-
-    def part(values: Column, i: int) -> Column:
-        return _int(F.nullif(F.try_element_at(values, F.lit(i)), F.lit("")))
-
-    start = ymd(part(years, 1), part(months, 1), part(days, 1))
-    end_year, month, day = part(years, 2), part(months, 2), part(days, 2)
-    same = ymd(F.coalesce(end_year, part(years, 1)), month, day)
-    # the next-year end keeps its month and day, so 29 February has none
-    later = ymd(part(years, 1) + 1, month, day)
-    end = F.when(end_year.isNull() & (same < start), later).otherwise(same)
-    length = F.datediff(end, start)
-    return F.when(length.between(0, LONGEST_RUN_DAYS),
+    hits = F.struct(*[F.transform(F.slice(all_groups(text, pattern, g), 1, 2), lambda v: _int(v))
+                      .alias(n) for g, n in enumerate("ymd", 1)])
+
+    def candidates(hit: Column) -> Column:
+        (y1, y2), (m1, m2), (d1, d2) = [
+            [F.get(hit[n], i) for i in (0, 1)] for n in "ymd"]
+        # an end without a year keeps its month and day in the next year,
+        # so 29 February may have none
+        return F.struct(ymd(y1, m1, d1).alias("start"), y2.isNull().alias("bare"),
+                        ymd(F.coalesce(y2, y1), m2, d2).alias("same"),
+                        ymd(y1 + 1, m2, d2).alias("later"))
+
+    return let(let(hits, candidates), lambda c: _sane(
+        c["start"], F.when(c["bare"] & (c["same"] < c["start"]), c["later"]).otherwise(c["same"])))
+
+
+def _sane(start: Column, end: Column) -> Column:
+    return F.when(F.datediff(end, start).between(0, LONGEST_RUN_DAYS),
                   F.struct(start.alias("start"), end.alias("end")))
 
 
 def machine_range(html: Column) -> Column:
     """First two machine-readable ``datetime`` attributes."""
     hits = F.transform(all_groups(html, MACHINE_DATE), lambda d: F.try_to_date(d, "yyyy-MM-dd"))
-    start, end = F.try_element_at(hits, F.lit(1)), F.try_element_at(hits, F.lit(2))
-    ok = F.datediff(end, start).between(0, LONGEST_RUN_DAYS)
-    return F.when(ok, F.struct(start.alias("start"), end.alias("end")))
+    return let(hits, lambda h: _sane(F.get(h, 0), F.get(h, 1)))
 
 
 def any_range(text: Column, html: Column | None = None) -> Column:
@@ -118,8 +118,7 @@ def any_range(text: Column, html: Column | None = None) -> Column:
 
 def span_of(dates: Column) -> Column:
     """``struct(start, end)`` over an array of dates; one day has no end."""
-    known = F.filter(dates, lambda d: d.isNotNull())
-    start, end = F.array_min(known), F.array_max(known)
+    start, end = F.array_min(dates), F.array_max(dates)
     return F.struct(start.alias("start"), F.nullif(end, start).alias("end"))
 
 
@@ -134,5 +133,10 @@ def local_day(ts: Column, offset: str = "+09:00") -> Column:
     return F.to_date(F.from_utc_timestamp(ts.cast("timestamp"), offset))
 
 
-def first_date_of(*candidates: Column) -> Column:
-    return reduce(lambda a, b: F.coalesce(a, b), candidates)
+def rollover_years(months: Column, first_year: Column) -> Column:
+    """Years of the months printed one after the other on a page: a month
+    smaller than the one before it starts the next year."""
+    drops = F.transform(months, lambda m, i: F.when(
+        (i > 0) & (m < F.get(months, i - 1)), 1).otherwise(0))
+    return F.transform(drops, lambda d, i: first_year + F.aggregate(
+        F.slice(drops, 1, i + 1), F.lit(0), lambda acc, x: acc + x))

@@ -40,7 +40,7 @@ class LineupPolicy:
     separators: str = r"[/／\n]"
     section_label: str | None = None
     label_prefix: str = r"(?iu)^(?:special\s*guest|guest|ゲスト|opening\s*act|出演者?)\s*[:：]\s*"
-    drop: str = r"(?iu)^https?:|^[＜<][^＞>]*[＞>]$|^(?:TBA|TBD|COMING SOON|AND MORE|他|ほか|MC)$"
+    drop: str = r"(?iu)^[＜<][^＞>]*[＞>]$|^(?:TBA|TBD|COMING SOON|AND MORE|他|ほか|MC)$"
     longest: int = 40
     most: int = 40
     trim: str = " 　・,、"
@@ -48,7 +48,7 @@ class LineupPolicy:
 
 def split_lineup(text: Column, policy: LineupPolicy = LineupPolicy()) -> Column:
     """Names in printed order, cleaned, without placeholders or repeats."""
-    work = text
+    work = F.regexp_replace(text, r"https?://[^\s　]+", "\n")
     if policy.section_label:
         work = F.regexp_replace(work, policy.section_label, "\n")
     names = F.transform(

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playbill.functions.text import all_groups, first_group, nfkc, squeeze
+from playbill.functions.text import all_groups, first_group, let, nfkc, squeeze
 
 # How amounts, surcharges and admission are printed.
 YEN_PREFIX = r"(?U)[¥￥]\s*([\d,，]+)"
@@ -61,10 +61,9 @@ def price_floor(text: Column) -> Column:
     and every suffixed one of at least 300; all null without an amount."""
     prefixed = _amounts(all_groups(text, YEN_PREFIX))
     suffixed = F.filter(_amounts(all_groups(text, YEN_SUFFIX)), lambda v: v >= SUFFIX_FLOOR)
-    floor = F.array_min(F.concat(prefixed, suffixed))
     shown = F.substring(squeeze(text), 1, PRICE_TEXT_CHARS)
-    return F.when(floor.isNotNull(), price_struct(shown, floor, floor == 0)) \
-        .otherwise(F.lit(None).cast(PRICE_TYPE))
+    return let(F.array_min(F.concat(prefixed, suffixed)), lambda floor: F.when(
+        floor.isNotNull(), price_struct(shown, floor, floor == 0)))
 
 
 def price_zone(text: Column) -> Column:
@@ -126,13 +125,21 @@ def price_by_policy(text: Column, policy: PricePolicy) -> Column:
         zone = F.element_at(F.split(zone, policy.cut, 2), 1)
     if policy.yen_alias:
         zone = F.regexp_replace(zone, policy.yen_alias, "¥")
-    lines = F.filter(F.transform(F.split(zone, r"\r?\n"), F.trim), lambda s: s != "")
+    return let(_price_lines(zone, policy), lambda lines: _read_lines(lines, policy))
+
+
+def _price_lines(zone: Column, policy: PricePolicy) -> Column:
+    lines = F.filter(F.transform(F.split(zone, r"\r?\n"), lambda s: F.trim(s)), lambda s: s != "")
     if policy.keep_line:
         lines = F.filter(lines, lambda s: s.rlike(policy.keep_line))
     if policy.drop_line:
         lines = F.filter(lines, lambda s: ~s.rlike(policy.drop_line))
     if policy.strip:
         lines = F.transform(lines, lambda s: F.regexp_replace(s, policy.strip, ""))
+    return lines
+
+
+def _read_lines(lines: Column, policy: PricePolicy) -> Column:
     body = F.array_join(lines, " ")
     if policy.leading:
         found = F.filter(
@@ -146,14 +153,25 @@ def price_by_policy(text: Column, policy: PricePolicy) -> Column:
             found = F.when(F.size(found) > 0, found).otherwise(other)
     floor = F.try_element_at(found, F.lit(1)) if policy.first_only else F.array_min(found)
     shown = F.substring(squeeze(body), 1, PRICE_TEXT_CHARS)
-    out = F.when(floor.isNotNull(), price_struct(shown, floor, floor == 0))
-    if policy.free:
-        out = out.when(body.rlike(policy.free), price_struct(shown, F.lit(0), F.lit(True)))
-    return out.otherwise(F.lit(None).cast(PRICE_TYPE))
 
+    def verdict(floor: Column) -> Column:
+        out = F.when(floor.isNotNull(), price_struct(shown, floor, floor == 0))
+        if policy.free:
+            out = out.when(body.rlike(policy.free), price_struct(shown, F.lit(0), F.lit(True)))
+        return out
+
+    return let(floor, verdict)
 
-def admission(text: Column) -> Column:
-    """Adult admission of an exhibition page as
+
+def with_admission(rows: DataFrame, text: str, out: str = "admission") -> DataFrame:
+    """Add the adult admission read from ``text``.  The width folding is a
+    Python stage of its own, so it is a column before the reading starts."""
+    folded = rows.withColumn("_flat", nfkc(F.coalesce(text, F.lit(""))))
+    return folded.withColumn(out, admission(F.col("_flat"))).drop("_flat")
+
+
+def admission(flat: Column) -> Column:
+    """Adult admission of an exhibition page (width-folded text) as
     ``struct(price_text, price_min, is_free)``.
 
     Each label opens a 300-character window.  In it the amount next to the
@@ -162,7 +180,6 @@ def admission(text: Column) -> Column:
     (100 to 30000) or an opening "free" decides; a free-entry phrase anywhere
     is the last resort.
     """
-    flat = nfkc(F.coalesce(text, F.lit("")))
     opened = rf"(?s)({ADMISSION_LABEL})(?=(.{{0,300}}))"
     labels, windows = all_groups(flat, opened, 1), all_groups(flat, opened, 2)
     # group 2 is looked ahead, so a window may hold the next label too
@@ -180,11 +197,15 @@ def _window_verdict(window: Column, label: Column) -> Column:
         _adult(window),
         F.when(label.rlike(STRICT_LABEL),
                to_amount(F.regexp_extract(F.substring(window, 1, 60), ANY_ADMISSION, 1))))
-    shown = F.concat(F.lit("一般 ¥"), F.format_number(price, 0))
-    paid = price_struct(shown, price, F.lit(None).cast("boolean"))
     free = price_struct(F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(True))
-    return F.when(price.between(100, 30000), paid) \
-        .when(price.isNull() & window.rlike(rf"^[^0-9]{{0,15}}{FREE_WORDS}"), free)
+
+    def verdict(price: Column) -> Column:
+        shown = F.concat(F.lit("一般 ¥"), F.format_number(price, 0))
+        paid = price_struct(shown, price, F.lit(None).cast("boolean"))
+        return F.when(price.between(100, 30000), paid) \
+            .when(price.isNull() & window.rlike(rf"^[^0-9]{{0,15}}{FREE_WORDS}"), free)
+
+    return let(price, verdict)
 
 
 def _adult(segment: Column) -> Column:

@@ -8,27 +8,28 @@ Python worker as nulls.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _NON_ASCII = r"[^\x00-\x7f]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc_udf(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold_udf(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v).casefold(),
                       na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _fold_names_udf(values: pd.Series) -> pd.Series:
     return values.map(
         lambda names: None if names is None else [
@@ -144,6 +145,13 @@ def escape_regex(col: Column) -> Column:
     return F.regexp_replace(col, r"([\\.\[\]{}()*+?^$|#&~-])", r"\\$1")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use``
+    reads it: expression trees are copied, so a large shared part would
+    otherwise be compiled and run once per mention."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
+
+
 def first_group(col: Column, pattern: str, group: int = 1) -> Column:
     """First match's group, null instead of empty."""
     return F.nullif(F.regexp_extract(col, pattern, group), F.lit(""))

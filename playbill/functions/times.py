@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from playbill.functions.text import first_group
+from playbill.functions.text import first_group, let
 
 _CLOCK = r"(\d{1,2}:\d{2})"
 # Label conventions of schedule pages.
@@ -22,8 +22,7 @@ def open_start(text: Column, pair_first: bool = False) -> tuple[Column, Column]:
     for both.  ``pair_first`` reads two printed times as a pair instead."""
     joint = first_group(text, BOTH_LABELS)
     opening = F.coalesce(joint, first_group(text, OPEN_LABEL))
-    start = F.when(joint.isNotNull(), joint).otherwise(first_group(text, START_LABEL))
-    opening = F.when(joint.isNotNull(), joint).otherwise(opening)
+    start = F.coalesce(joint, first_group(text, START_LABEL))
     if pair_first:
         opening = F.coalesce(first_group(text, PAIR_AFTER_LABELS, 1), opening)
         start = F.coalesce(first_group(text, PAIR_AFTER_LABELS, 2), start)
@@ -48,21 +47,18 @@ def time_variants(text: Column) -> tuple[Column, Column]:
 
 def _half_day(text: Column, label: str) -> Column:
     pattern = rf"(?iU){label}\s*(\d{{1,2}}):(\d{{2}})\s*([ap])m"
-    hour = F.try_to_number(first_group(text, pattern, 1), F.lit("99")).cast("int")
-    afternoon = F.lower(first_group(text, pattern, 3)) == "p"
-    h24 = F.pmod(hour, F.lit(12)) + F.when(afternoon, 12).otherwise(0)
-    return F.when(hour.isNotNull(),
-                  F.concat(F.lpad(h24.cast("string"), 2, "0"), F.lit(":"),
-                           first_group(text, pattern, 2)))
+    hour = first_group(text, pattern, 1).try_cast("int")
+    noon = F.when(F.lower(first_group(text, pattern, 3)) == "p", 12).otherwise(0)
+    h24 = F.pmod(hour, F.lit(12)) + noon
+    return F.concat(F.lpad(h24.cast("string"), 2, "0"), F.lit(":"), first_group(text, pattern, 2))
 
 
 def _kanji(text: Column, label: str) -> Column:
     pattern = rf"(?U)(?:{label})[^0-9]{{0,4}}(\d{{1,2}})時(?:(\d{{1,2}})分|(半))?"
-    hour = first_group(text, pattern, 1)
     minute = F.coalesce(first_group(text, pattern, 2),
                         F.when(first_group(text, pattern, 3).isNotNull(), "30"),
                         F.lit("00"))
-    return F.when(hour.isNotNull(), F.concat(hour, F.lit(":"), F.lpad(minute, 2, "0")))
+    return F.concat(first_group(text, pattern, 1), F.lit(":"), F.lpad(minute, 2, "0"))
 
 
 def labelled_times(text: Column) -> tuple[Column, Column]:
@@ -79,10 +75,13 @@ def labelled_times(text: Column) -> tuple[Column, Column]:
     spans = F.transform(hits, lambda hit, i: F.struct(
         (_total(F.slice(pieces, 1, i + 1)) + _total(F.slice(hits, 1, i))).alias("at"),
         F.length(hit).alias("len"), hit.alias("hit"), i.alias("i")))
-    opening = _nearest(text, spans, DOORS_MARK)
-    rest = F.filter(spans, lambda s: ~F.equal_null(s["i"], opening["i"]))
-    start = _nearest(text, rest, SHOW_MARK)
-    return opening["hit"], start["hit"]
+    def pick(found: Column) -> Column:
+        return let(_nearest(text, found, DOORS_MARK), lambda o: F.struct(
+            o["hit"].alias("open"), _nearest(text, F.filter(
+                found, lambda s: ~F.equal_null(s["i"], o["i"])), SHOW_MARK)["hit"].alias("start")))
+
+    times = let(spans, pick)
+    return times["open"], times["start"]
 
 
 def _total(parts: Column) -> Column:
@@ -102,13 +101,12 @@ def minutes_before(time: Column, minutes: int | Column) -> Column:
     """Clock time ``minutes`` earlier, wrapping at midnight."""
     total = (F.split(time, ":")[0].cast("int") * 60 + F.split(time, ":")[1].cast("int")
              - F.lit(minutes))
-    wrapped = F.pmod(total, F.lit(24 * 60))
-    return F.when(time.isNotNull(), clock(F.floor(wrapped / 60), F.pmod(wrapped, F.lit(60))))
+    return let(F.pmod(total, F.lit(24 * 60)), lambda t: F.when(
+        t.isNotNull(), clock(F.floor(t / 60), F.pmod(t, F.lit(60)))))
 
 
 def doors_from_note(text: Column, start: Column) -> Column:
     """Opening time where the text only says how long before the start the
     doors open ("開場は開演の30分前")."""
-    gap = F.try_to_number(first_group(text, r"(?U)開場[^0-9]{0,8}?(\d{1,3})分前"),
-                          F.lit("999")).cast("int")
-    return F.when(gap.isNotNull(), minutes_before(start, gap))
+    return minutes_before(start, first_group(
+        text, r"(?U)開場[^0-9]{0,8}?(\d{1,3})分前").try_cast("int"))

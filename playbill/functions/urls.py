@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from playbill.functions.text import first_group
+from playbill.functions.text import first_group, let
 
 # Ticket sites, their generic pages, printed codes, host parts
 # that never name a provider.
@@ -36,6 +36,11 @@ TLD_SKIP = ("co", "or", "ne", "ac", "go", "ad", "ed", "gr", "lg",
 def absolute_url(href: Column, page_url: Column) -> Column:
     """``href`` seen from ``page_url``: absolute, scheme-relative,
     root-relative, query-only and path-relative forms."""
+    return let(F.struct(href.alias("href"), page_url.alias("page")),
+               lambda u: _absolute(u["href"], u["page"]))
+
+
+def _absolute(href: Column, page_url: Column) -> Column:
     scheme = first_group(page_url, r"^([A-Za-z][A-Za-z0-9+.-]*:)")
     root = first_group(page_url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)")
     page = F.regexp_extract(page_url, r"^([^?#]*)", 1)
@@ -62,20 +67,23 @@ def query_of(url: Column) -> Column:
 
 def provider_of(url: Column, providers: Mapping[str, str] = TICKET_PROVIDERS) -> Column:
     """Provider of the first domain, in table order, that the URL contains."""
-    return F.coalesce(*[F.when(url.contains(d), p) for d, p in providers.items()])
+    return let(url, lambda u: F.coalesce(*[F.when(u.contains(d), p) for d, p in providers.items()]))
 
 
 def is_generic_link(url: Column) -> Column:
     """Points at the ticket site itself: help hosts, bare home pages, section
     roots and site chrome.  A short path is an artist's page and is kept."""
-    path = F.lower(F.trim(path_of(url), F.lit("/")))
-    query = query_of(url)
-    section = F.split(path, "/")[0]
-    return (F.coalesce(host_of(url).rlike(HELP_HOST), F.lit(False))
-            | ((path == "") & query.isNull())
-            | path.isin(*LEGACY_HOME)
-            | section.isin(*CHROME_SECTIONS)
-            | (path.isin(*SECTION_ROOTS) & query.isNull()))
+    def test(u: Column) -> Column:
+        path, bare = u["path"], u["query"].isNull()
+        return (F.coalesce(u["host"].rlike(HELP_HOST), F.lit(False))
+                | ((path == "") & bare)
+                | path.isin(*LEGACY_HOME)
+                | F.split(path, "/")[0].isin(*CHROME_SECTIONS)
+                | (path.isin(*SECTION_ROOTS) & bare))
+
+    return let(let(url, lambda u: F.struct(
+        host_of(u).alias("host"), query_of(u).alias("query"),
+        F.lower(F.trim(path_of(u), F.lit("/"))).alias("path"))), test)
 
 
 def provider_slug(url: Column, providers: Mapping[str, str] = TICKET_PROVIDERS) -> Column:
@@ -84,10 +92,10 @@ def provider_slug(url: Column, providers: Mapping[str, str] = TICKET_PROVIDERS)
     host = F.element_at(F.split(F.coalesce(
         first_group(url, r"https?://([^/]+)"), url), ":"), 1)
     parts = F.filter(F.split(host, r"\."), lambda p: ~p.isin(*HOST_SKIP))
-    naming = F.filter(parts, lambda p: ~p.isin(*TLD_SKIP))
-    return F.coalesce(provider_of(url, providers),
-                      F.try_element_at(naming, F.lit(-1)),
-                      F.try_element_at(parts, F.lit(1)), F.lit("vendor"))
+    label = let(parts, lambda ps: F.coalesce(
+        F.try_element_at(F.filter(ps, lambda p: ~p.isin(*TLD_SKIP)), F.lit(-1)),
+        F.try_element_at(ps, F.lit(1))))
+    return F.coalesce(provider_of(url, providers), label, F.lit("vendor"))
 
 
 def code_links(text: Column) -> Column:

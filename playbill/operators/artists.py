@@ -16,7 +16,7 @@ from playbill.functions.names import clean_artist
 from playbill.functions.text import escape_regex, fold, name_key, squeeze
 from playbill.operators.containment import contained_pairs
 from playbill.schema import MUSIC_CATEGORIES
-from playbill.session import keep, sized_broadcast
+from playbill.session import cut_lineage, sized_broadcast
 
 # Curated spellings of one act (norm key -> headline spelling).
 CURATED_ALIASES: Mapping[str, str] = {
@@ -71,7 +71,7 @@ def lineup_names(events: DataFrame, aliases: DataFrame) -> DataFrame:
     billing = ((F.col("_k0") == F.col("_ja")) | (F.col("_k0") == F.col("_en"))) \
         & (F.length("_k0") >= BILLING_CHARS)
     named = spell_canonically(rows.filter(~billing), "cleaned", aliases, "name")
-    return named.withColumn("key", name_key(F.col("name"))).filter("key <> ''") \
+    return named.withColumn("key", name_key(F.col("name"))) \
         .select("id", "pos", "raw", "cleaned", "name", "key")
 
 
@@ -162,10 +162,10 @@ def match_universe(names: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def build_artist_index(events: DataFrame, aliases: DataFrame) -> dict[str, DataFrame]:
     """The three tables, from events with id, titles, line-up and category."""
-    names = keep(lineup_names(events, aliases))
+    names = cut_lineage(lineup_names(events, aliases))
     by_lineup = names.select("id", F.col("key").alias("artist_key"))
     music = events.filter(F.col("category").isin(*MUSIC_CATEGORIES)) \
-        .select("id", title_text().alias("hay")).filter("hay <> ''")
+        .select("id", title_text().alias("hay"))
     found = find_names(music, match_universe(names, aliases))
     by_title = music.join(found, "hay").select("id", F.col("link_key").alias("artist_key"))
     return {

@@ -57,13 +57,14 @@ def merge_observations(staged: DataFrame, batch: DataFrame, seen_at: Column,
     of every detail field it leaves blank and the stored sold-out flag, and is
     hashed again: a barer observation of the same facts is *unchanged*.
 
+    ``seen_at`` and ``default_status`` may read columns of the batch.
     ``keep_unseen=False`` returns the batch's rows only (a version delta).
     """
     default = F.lit(default_status) if isinstance(default_status, str) else default_status
     new = batch.withColumn("id", stable_id(F.col("source"), F.col("source_url"))) \
         .withColumn("_hash", content_hash()) \
-        .withColumn("_default", default)
-    new = new.select(*[F.col(c).alias(f"n_{c}") for c in ("id", "_hash", "_default",
+        .withColumn("_default", default).withColumn("_at", seen_at)
+    new = new.select(*[F.col(c).alias(f"n_{c}") for c in ("id", "_hash", "_default", "_at",
                                                           *EVENT_FIELDS)])
     both = staged.join(new, F.col("id") == F.col("n_id"),
                        "full_outer" if keep_unseen else "right")
@@ -82,7 +83,7 @@ def merge_observations(staged: DataFrame, batch: DataFrame, seen_at: Column,
         F.coalesce("n_id", "id").alias("id"), *merged.values(),
         F.col("content_hash").alias("_stored_hash"), F.col("status").alias("_stored_status"),
         "first_seen", F.col("last_seen").alias("_last"), F.col("updated_at").alias("_updated"),
-        "n__default", seen.alias("_seen"), known.alias("_known"))
+        "n__default", "n__at", seen.alias("_seen"), known.alias("_known"))
     # only a refilled row needs a second hash, but hashing is cheap next to
     # the join and keeps the plan a single projection
     state = state.withColumn("content_hash", F.when(F.col("_seen"), content_hash())
@@ -98,9 +99,9 @@ def merge_observations(staged: DataFrame, batch: DataFrame, seen_at: Column,
         F.when(F.col("_seen"), next_status(F.col("outcome"), F.col("_stored_status"),
                                            F.col("n__default")))
         .otherwise(F.col("_stored_status")).alias("status"),
-        F.coalesce("first_seen", F.when(F.col("_seen"), seen_at)).alias("first_seen"),
-        F.when(F.col("_seen"), seen_at).otherwise(F.col("_last")).alias("last_seen"),
-        F.when(touched, seen_at).otherwise(F.col("_updated")).alias("updated_at"),
+        F.coalesce("first_seen", "n__at").alias("first_seen"),
+        F.coalesce("n__at", "_last").alias("last_seen"),
+        F.when(touched, F.col("n__at")).otherwise(F.col("_updated")).alias("updated_at"),
         "outcome")
 
 
@@ -111,7 +112,10 @@ def _blank(col: Column, field: str) -> Column:
 
 
 def empty_stage(spark) -> DataFrame:
-    return spark.createDataFrame([], STAGED_SCHEMA)
+    """A staged table without rows.  Backed by an (empty) RDD: a literal empty
+    relation would be folded into the merge as one null per column, and
+    constraint inference doubles its work with every such column."""
+    return spark.createDataFrame(spark.sparkContext.emptyRDD(), STAGED_SCHEMA)
 
 
 def approve_pending(staged: DataFrame, at: Column, source: str | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from playbill.operators.containment import contained_pairs
 from playbill.operators.ranking import null_safe_join
 from playbill.operators.select import union_links
 from playbill.schema import LINKS
-from playbill.session import cut_lineage, keep, sized_broadcast
+from playbill.session import cut_lineage, sized_broadcast
 
 GROUP = ("start_date", "venue_key")
 FILLS = ("open_time", "start_time", "price_text", "price_min", "is_free", "ticket_url")
@@ -67,7 +67,7 @@ def overlapping_parts(promo: DataFrame, venue: DataFrame) -> DataFrame:
 def first_overlap(promo_parts: DataFrame, venue_parts: DataFrame) -> DataFrame:
     """(id, ord, venue_id): for every promoter row the first venue row, by
     ``ord``, on the same day and venue that overlaps it."""
-    promo, venue = keep(promo_parts), keep(venue_parts)
+    promo, venue = cut_lineage(promo_parts), cut_lineage(venue_parts)
     pairs = overlapping_parts(promo, venue)
     first = F.min(F.struct("ord", "id")).alias("_first")
     # a venue part reached by the promoter's needle counts for every row that
@@ -131,7 +131,7 @@ def fold_promoters(rows: DataFrame, aliases: Mapping[str, str] | None = None) ->
     into components that share no overlapping part; a component is scanned in
     order, keeping only its kept rows.
     """
-    parts = keep(parts_of(rows, aliases, extra=("start_time",)))
+    parts = cut_lineage(parts_of(rows, aliases, extra=("start_time",)))
     looks = parts.groupBy(*GROUP, "id", "ord", "source", "start_time").agg(
         F.sort_array(F.collect_set(F.struct("is_title", "part"))).alias("_parts"))
     # a copy overlaps itself only through a title long enough to search for
@@ -139,12 +139,12 @@ def fold_promoters(rows: DataFrame, aliases: Mapping[str, str] | None = None) ->
                                                         >= needle_floor(p["part"])))
     looks = looks.withColumn("_own", F.when(~own, F.col("id")))
     sig = [*GROUP, "source", "start_time", "_parts", "_own"]
-    judged = keep(looks.groupBy(*sig).agg(F.min_by("id", "ord").alias("lead"),
+    judged = cut_lineage(looks.groupBy(*sig).agg(F.min_by("id", "ord").alias("lead"),
                                           F.min("ord").alias("lead_ord")))
     placed = _components(judged)
     scanned = placed.repartition("_component") \
         .sortWithinPartitions("_component", "lead_ord") \
-        .mapInPandas(_scan, "lead string, kept string")
+        .mapInPandas(_scan, "lead {0}, kept {0}".format(rows.schema["id"].dataType.simpleString()))
     fate = null_safe_join(looks.select(*sig, "id", "ord"), judged.select(*sig, "lead"),
                           sig, "inner").join(scanned, "lead")
     return fate.filter(F.col("id") != F.col("kept")) \
@@ -156,7 +156,7 @@ def _components(judged: DataFrame) -> DataFrame:
     group.  Smallest label wins along row-part and part-part links until
     nothing moves; every round is two keyed aggregates and is checkpointed."""
     rows = judged.withColumn("_row", F.xxhash64("lead"))
-    shown = keep(rows.select(*GROUP, "_row", F.explode("_parts").alias("_p"))
+    shown = cut_lineage(rows.select(*GROUP, "_row", F.explode("_parts").alias("_p"))
                  .select(*GROUP, "_row", F.col("_p.part").alias("part")).distinct())
     node = F.xxhash64(*GROUP, "part")
     inside = contained_pairs(shown.withColumnRenamed("part", "needle"),
@@ -285,18 +285,19 @@ def merge_promoters(events: DataFrame, promoters: Sequence[str], festival_source
     ``venue`` (folded into a venue row), ``promoter`` (folded into an earlier
     promoter row), each with its target.
     """
-    events = keep(events)
+    events = cut_lineage(events)
     is_promo = F.col("source").isin(*promoters)
     is_fest = F.col("source") == festival_source
     dup = festival_duplicates(events.filter(~is_fest), festival_days(events.filter(is_fest)),
                               hosts, promoters).withColumn("_dup", F.lit(True))
-    marked = keep(events.join(dup, "id", "left").withColumn("_dup", F.coalesce("_dup", F.lit(False))))
+    marked = events.join(cut_lineage(dup), "id", "left") \
+        .withColumn("_dup", F.coalesce("_dup", F.lit(False)))
     open_promo = marked.filter(is_promo & ~F.col("_dup") & F.col("venue_key").isNotNull())
     # a venue row that is a festival duplicate is still offered as a target
     venue = marked.filter(~is_promo & ~is_fest & ~F.col("source").isin(*curated))
-    to_venue = keep(first_overlap(parts_of(open_promo, aliases), parts_of(venue, aliases)))
+    to_venue = cut_lineage(first_overlap(parts_of(open_promo, aliases), parts_of(venue, aliases)))
     left = open_promo.join(to_venue.select("id"), "id", "left_anti")
-    to_promo = keep(fold_promoters(left, aliases))
+    to_promo = cut_lineage(fold_promoters(left, aliases))
 
     targets = to_venue.select("id", F.col("venue_id").alias("target_id"),
                               F.lit("venue").alias("_by")) \
@@ -305,7 +306,6 @@ def merge_promoters(events: DataFrame, promoters: Sequence[str], festival_source
         "fate", F.when(F.col("_dup"), "festival")
         .when(is_promo & F.col("venue_key").isNull(), "unresolved")
         .otherwise(F.coalesce("_by", F.lit("kept"))))
-    fated = keep(fated)
     folds = fated.filter(F.col("fate").isin("venue", "promoter"))
     rows = fold_into(fated.filter("fate = 'kept'").drop("_dup", "_by", "target_id"), folds)
     return rows.drop("fate"), fated.select("id", "source", "fate", "target_id")
@@ -355,7 +355,7 @@ def aligned_pairs(rows: DataFrame, aliases: Mapping[str, str] | None = None) ->
     titles = F.array_distinct(F.filter(
         F.array(match_key(F.col("title_ja"), aliases), match_key(F.col("title_en"), aliases)),
         lambda t: t != ""))
-    sets = keep(rows.groupBy(*GROUP, F.sort_array(titles).alias("_set")).agg(
+    sets = cut_lineage(rows.groupBy(*GROUP, F.sort_array(titles).alias("_set")).agg(
         F.count(F.lit(1)).alias("_n")))
     parts = sets.select(*GROUP, "_set", "_n", F.explode("_set").alias("part"))
     able = parts.filter(F.length("part") >= needle_floor(F.col("part")))

@@ -14,10 +14,11 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from playbill.functions.flags import is_sold_out
 from playbill.functions.prices import price_floor, without_drink_charges
-from playbill.functions.text import all_groups, first_group, squeeze
+from playbill.functions.text import all_groups, first_group, let, squeeze
 from playbill.functions.times import open_start
 from playbill.functions.urls import absolute_url, code_links, is_generic_link, provider_of
 from playbill.operators.ranking import carry_forward, first_per_key
@@ -36,7 +37,7 @@ ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'"
 ENTITY_LEFT = r"&(?:#\d+|#x[0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]+);"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape_udf(values: pd.Series) -> pd.Series:
     return values.map(html_lib.unescape, na_action="ignore")
 
@@ -137,6 +138,8 @@ def label_values(text: Column, labels: Sequence[str]) -> Column:
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
          "source", "track", "wbr"}
+#: rows handed to Arrow at a time
+ELEMENT_BATCH = 20_000
 ELEMENT_SCHEMA = "pos int, tag string, attrs map<string,string>, text string, parent int, until int"
 
 
@@ -148,6 +151,15 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows, self.open = [], []
 
+    @classmethod
+    def read(cls, page: str) -> list[tuple]:
+        reader = cls()
+        reader.feed(page)
+        last = len(reader.rows) - 1
+        return [(i, tag, attrs, " ".join(" ".join(words).split()), parent,
+                 until if until is not None else i if tag in _VOID else last)
+                for i, (tag, attrs, words, parent, until) in enumerate(reader.rows)]
+
     def handle_starttag(self, tag, attrs):
         parent = self.open[-1] if self.open else None
         self.rows.append([tag, {k: v or "" for k, v in attrs}, [], parent, None])
@@ -165,22 +177,25 @@ class _Reader(HTMLParser):
                 self.rows[i][2].append(data.strip())
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    names = ["id", "pos", "tag", "attrs", "text", "parent", "until"]
+    return pd.DataFrame(rows, columns=names).astype({"parent": "Int32"})
+
+
 def elements(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """(page_id, pos, tag, attrs, text, parent, until): one row per element."""
     key = pages.schema[page_id].dataType.simpleString()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for batch in batches:
             for ident, source in zip(batch.iloc[:, 0], batch.iloc[:, 1]):
-                reader = _Reader()
-                reader.feed(source or "")
-                last = len(reader.rows) - 1
-                yield pd.DataFrame(
-                    [(ident, i, tag, attrs, " ".join(" ".join(words).split()), parent,
-                      last if until is None and tag not in _VOID else until if until is not None else i)
-                     for i, (tag, attrs, words, parent, until) in enumerate(reader.rows)],
-                    columns=["id", "pos", "tag", "attrs", "text", "parent", "until"]) \
-                    .astype({"parent": "Int32"})
+                rows += [(ident, *row) for row in _Reader.read(source or "")]
+                if len(rows) > ELEMENT_BATCH:
+                    yield _frame(rows)
+                    rows = []
+        if rows:
+            yield _frame(rows)
 
     return pages.select(page_id, html).mapInPandas(read, f"id {key}, {ELEMENT_SCHEMA}") \
         .withColumnRenamed("id", page_id)
@@ -222,19 +237,22 @@ def tour_legs(pages: DataFrame, page_id: str, text: str,
     """One row per leg of a tour page: the header cell gives date, prefecture
     and venue; labelled rows give times, prices and guests."""
     legs = blocks(pages, page_id, text, LEG_HEAD).filter(F.col("block").rlike(f"^{LEG_HEAD}"))
-    fields = label_values(F.col("block"), labels)
-    rows = legs.withColumn("_f", fields)
-    opening, start = open_start(F.col("_f")[labels[1]], pair_first=True)
-    price = price_floor(without_drink_charges(F.coalesce(F.col("_f")[labels[2]], F.lit(""))))
+    fields = let(label_values(F.col("block"), labels), lambda m: F.struct(
+        *[F.coalesce(m[label], F.lit("")).alias(n)
+          for n, label in zip(("venue", "times", "price", "guests"), labels)]))
+    # a generator is a barrier: the labels are read once per leg
+    rows = legs.withColumn("_f", F.explode(F.array(fields)))
+    opening, start = open_start(F.col("_f.times"), pair_first=True)
+    price = price_floor(without_drink_charges(F.col("_f.price")))
     return rows.select(
         page_id, F.col("pos").alias("leg"),
         F.try_to_date(F.regexp_extract("block", LEG_HEAD, 0), "y/M/d").alias("start_date"),
         first_group(F.col("block"), rf"^{LEG_HEAD}\s*[(（]?[^)）\s]*[)）]?\s*[【\[]([^】\]]+)[】\]]").alias("pref"),
-        F.col("_f")[labels[0]].alias("venue_name"),
+        F.nullif("_f.venue", F.lit("")).alias("venue_name"),
         opening.alias("open_time"), start.alias("start_time"),
         price["price_min"].alias("price_min"),
         is_sold_out(F.col("block")).alias("is_sold_out"),
-        F.filter(F.split(F.coalesce(F.col("_f")[labels[3]], F.lit("")), r"[/／、]"),
+        F.filter(F.split("_f.guests", r"[/／、]"),
                  lambda g: F.trim(g) != "").alias("guests"))
 
 

@@ -29,7 +29,9 @@ def venue_index(registry: DataFrame, aliases: DataFrame | None = None) -> DataFr
     if aliases is not None:
         rows = rows.unionByName(aliases.select(
             F.lit(1).alias("part"), "ord", F.col("alias").alias("spelling"), "venue_key"))
-    keyed = rows.withColumn("norm", venue_norm(F.col("spelling"))).filter("norm <> ''")
+    # an empty norm may stay: it is never looked up, and a filter on it would
+    # be pushed down and fold every spelling twice
+    keyed = rows.withColumn("norm", venue_norm(F.col("spelling")))
     at = F.struct("part", "ord")
     return keyed.groupBy("norm").agg(F.min(at).alias("ord"),
                                      F.max_by("venue_key", at).alias("venue_key"))
@@ -61,11 +63,12 @@ def resolve_venues(rows: DataFrame, raw: str, index: DataFrame,
                                          F.col("venue_key").alias("_key")))
     # the full name is the longest prefix: exact hits and prefix hits come
     # out of one join, exact ones ranked first
-    prefixes = names.filter("_norm <> ''").select(
+    prefixes = names.select(
         "_raw", "_norm", F.explode(F.transform(
             F.sequence(F.lit(1), F.length("_norm")),
             lambda n: F.substring(F.col("_norm"), F.lit(1), n))).alias("_prefix")) \
-        .filter((F.length("_prefix") >= SHORTEST_PREFIX) | (F.col("_prefix") == F.col("_norm")))
+        .filter((F.length("_prefix") >= SHORTEST_PREFIX)
+                | ((F.col("_prefix") == F.col("_norm")) & (F.col("_prefix") != "")))
     hits = prefixes.join(small, "_prefix").groupBy("_raw").agg(F.min_by(
         "_key", F.struct((F.col("_prefix") != F.col("_norm")).alias("late"), "ord")).alias(out))
     return rows.join(hits, F.col(raw) == F.col("_raw"), "left").drop("_raw")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from playbill.operators import quality, workqueue
 from playbill.operators.merge import collapse_batch, merge_observations, prune_attempts
 from playbill.schema import conform
-from playbill.session import keep, sized_broadcast
+from playbill.session import cut_lineage, sized_broadcast
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,7 @@ def observe(staged: DataFrame, batch: DataFrame, sources: DataFrame, attempts: D
     collapsed = collapse_batch(ordered, F.col("_at")).drop("_at")
     dim = sized_broadcast(sources.select("source", "default_status"))
     known = collapsed.join(dim, "source", "left")
-    merged = keep(merge_observations(
+    merged = cut_lineage(merge_observations(
         staged, known, now, F.coalesce("default_status", F.lit("pending"))))
     counters = quality.run_counters(merged)
     report = quality.run_errors(sources, counters)

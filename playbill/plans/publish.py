@@ -14,7 +14,7 @@ from playbill.operators.classify import apply_genres, apply_title_en
 from playbill.operators.overlap import merge_promoters
 from playbill.operators.select import list_events, upcoming
 from playbill.operators.venues import assign_venue_key, venue_index
-from playbill.session import keep
+from playbill.session import cut_lineage
 from playbill.sinks import calendar, feed
 
 
@@ -57,9 +57,9 @@ def publish(staged: DataFrame, registry: DataFrame, venue_aliases: DataFrame | N
         .withColumn("ord", F.struct("start_date", "id"))
     merged, fates = merge_promoters(keyed, roles.promoters, roles.festival, hosts,
                                     match_aliases, curated)
-    tagged = keep(apply_genres(merged.drop("ord", "folded"), genre_cache))
+    tagged = cut_lineage(apply_genres(merged.drop("ord", "folded"), genre_cache))
     index = build_artist_index(tagged, artist_aliases)
-    events = keep(apply_title_en(attach_artists(tagged, index), title_cache)
+    events = cut_lineage(apply_title_en(attach_artists(tagged, index), title_cache)
                   .drop("uncertain", "title_queued"))
     health = quality.live_health(quality.latest_runs(runs), sources)
     inner = ("content_hash", "first_seen", "last_seen", "updated_at")

@@ -32,8 +32,16 @@ LINKS = T.ArrayType(LINK)
 NAMES = T.ArrayType(T.StringType())
 
 
+_TYPES = {"string": T.StringType(), "date": T.DateType(), "double": T.DoubleType(),
+          "int": T.IntegerType(), "bigint": T.LongType(), "boolean": T.BooleanType(),
+          "timestamp": T.TimestampType(), "array<string>": NAMES}
+
+
 def _fields(spec: str) -> list[T.StructField]:
-    return [T.StructField(f.name, f.dataType) for f in T.StructType.fromDDL(spec)]
+    """Nullable fields of ``name type, ...``; unlike a DDL parse this needs
+    no running session at import."""
+    pairs = [part.split() for part in spec.split(",")]
+    return [T.StructField(name, _TYPES[kind]) for name, kind in pairs]
 
 
 EVENT_SCHEMA = T.StructType([

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +43,9 @@ def sized_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable ``checkpoint()`` in the folder the cluster names.
+    """Reliable ``checkpoint()`` in the folder the cluster names, for results
+    that several branches read or that end a round of a loop.  Unlike a cache
+    it survives lost executors, and plans after it start small.
 
     ``spark.checkpoint.dir`` is read from the session; only a local session
     that names none gets a folder of its own.
@@ -61,7 +62,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Persist a result several branches read; spills to disk, and is
-    recomputed from its lineage when an executor is lost."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy per-row work on an input with fewer splits
+    than cores; an input with enough splits is returned as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

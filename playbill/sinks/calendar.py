@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from playbill.operators.identity import stable_id
 from playbill.schema import MUSIC_CATEGORIES
@@ -25,12 +26,12 @@ ZONE = ("X-WR-TIMEZONE:Asia/Tokyo", "BEGIN:VTIMEZONE", "TZID:Asia/Tokyo", "BEGIN
 
 def escape_text(text: Column) -> Column:
     """Text value escaping: backslash first, line breaks last."""
-    steps = (("\r\n", "\n"), ("\r", "\n"), ("\\", "\\\\"), (";", "\;"), (",", "\\,"),
+    steps = (("\r\n", "\n"), ("\r", "\n"), ("\\", "\\\\"), (";", "\\;"), (",", "\\,"),
              ("\n", "\\n"))
     return reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), steps, text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold_udf(lines: pd.Series) -> pd.Series:
     return lines.map(_fold, na_action="ignore")
 

@@ -23,24 +23,26 @@ def feed_lines(events: DataFrame, health: DataFrame, capacities: DataFrame,
     The head holds one small record per source and per venue (dimensions);
     every event is a line of its own, so the document is written in parallel.
     """
-    sources = health.agg(F.array_sort(F.collect_list(F.struct("source", "found", "error")))
-                         .alias("sources"))
-    venues = capacities.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
-        "venue_key", F.struct("capacity"))))).alias("venues"))
+    no_date, no_id = F.lit(None).cast("date").alias("start_date"), F.lit("").alias("id")
     stamp = F.date_format(generated_at, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
-    head = sources.join(venues, how="cross").select(
-        F.lit(0).alias("part"), F.lit(None).cast("date").alias("start_date"), F.lit("").alias("id"),
+    sources = health.agg(F.array_sort(F.collect_list(F.struct("source", "found", "error")))
+                         .alias("_s")).select(
+        F.lit(0).alias("part"), no_date, no_id,
         F.concat(F.lit('{"generated_at":"'), stamp, F.lit('","sources":'),
-                 F.to_json("sources", {"ignoreNullFields": "false"}),
-                 F.lit(',"venues":'), F.to_json("venues"), F.lit(',"events":[')).alias("line"))
-    first = events.agg(F.min(F.struct("start_date", "id")).alias("_first"))
-    body = events.withColumn("_json", event_json(events)).select("start_date", "id", "_json") \
-        .join(F.broadcast(first), how="cross") \
-        .select(F.lit(1).alias("part"), "start_date", "id", F.concat(
-            F.when(F.struct("start_date", "id") == F.col("_first"), "").otherwise(","),
-            F.col("_json")).alias("line"))
-    tail = head.select(F.lit(2).alias("part"), "start_date", "id", F.lit("]}").alias("line"))
-    return head.unionByName(body).unionByName(tail)
+                 F.to_json("_s", {"ignoreNullFields": "false"}), F.lit(",")).alias("line"))
+    venues = capacities.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
+        "venue_key", F.struct("capacity"))))).alias("_v")).select(
+        F.lit(1).alias("part"), no_date, no_id,
+        F.concat(F.lit('"venues":'), F.to_json("_v"), F.lit(',"events":[')).alias("line"))
+    # all events but the first in order open with a comma
+    first = events.agg(F.min(F.struct("start_date", "id"))).scalar()
+    body = events.select(
+        F.lit(2).alias("part"), "start_date", "id", F.concat(
+            F.when(F.struct("start_date", "id") == first, "").otherwise(","),
+            event_json(events)).alias("line"))
+    tail = events.sparkSession.range(1).select(
+        F.lit(3).alias("part"), no_date, no_id, F.lit("]}").alias("line"))
+    return sources.unionByName(venues).unionByName(body).unionByName(tail)
 
 
 def write_feed(lines: DataFrame, path: str) -> None:

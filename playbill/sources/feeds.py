@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from playbill.functions.text import let
+
+_ERROR = "_unreadable"
+
 
 def parse_feed(payloads: DataFrame, column: str, schema: T.DataType | str,
                rows: str | None = None, strict: bool = False) -> DataFrame:
@@ -16,12 +20,12 @@ def parse_feed(payloads: DataFrame, column: str, schema: T.DataType | str,
     inside the envelope; without it the payload is the row (or array of rows).
     Entries that are not objects come out as null and are skipped.
     """
-    parsed = F.from_json(F.col(column), schema, {"mode": "PERMISSIVE"})
-    body = parsed if rows is None else parsed.getField(rows)
-    out = payloads.withColumn("_body", body)
+    out = payloads.withColumn("_doc", _parsed(F.col(column), schema))
+    body = F.col("_doc") if rows is None else F.col("_doc").getField(rows)
     if strict:
-        out = out.withColumn("_body", F.when(F.col("_body").isNull(), F.raise_error(F.concat(
-            F.lit("feed envelope changed: "), F.substring(column, 1, 80)))).otherwise(F.col("_body")))
+        body = F.when(body.isNull(), F.raise_error(F.concat(
+            F.lit("feed envelope changed: "), F.substring(column, 1, 80)))).otherwise(body)
+    out = out.withColumn("_body", body).drop("_doc")
     is_list = isinstance(out.schema["_body"].dataType, T.ArrayType)
     if is_list:
         out = out.withColumn("row", F.explode("_body"))
@@ -30,9 +34,20 @@ def parse_feed(payloads: DataFrame, column: str, schema: T.DataType | str,
     return out.drop("_body").filter(F.col("row").isNotNull())
 
 
+def _parsed(text: Column, schema: T.DataType | str) -> Column:
+    """The parsed value, null when the text does not fit the schema: parsing
+    itself would give an object of nulls, so the reader's error column tells."""
+    kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    if not isinstance(kind, T.StructType):
+        return F.from_json(text, kind)
+    marked = T.StructType([*kind.fields, T.StructField(_ERROR, T.StringType())])
+    return let(F.from_json(text, marked, {"columnNameOfCorruptRecord": _ERROR}),
+               lambda v: F.when(v[_ERROR].isNull(), v))
+
+
 def malformed(payloads: DataFrame, column: str, schema: T.DataType | str) -> DataFrame:
     """Number of payloads that do not parse, for an alarm before a run."""
-    bad = F.col(column).isNotNull() & F.from_json(F.col(column), schema).isNull()
+    bad = F.col(column).isNotNull() & _parsed(F.col(column), schema).isNull()
     return payloads.agg(F.count_if(bad).alias("malformed"))
 
 

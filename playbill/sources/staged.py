@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from playbill.operators.merge import empty_stage
 from playbill.schema import STAGED_SCHEMA, conform
 
 
@@ -24,7 +25,7 @@ def read_versions(spark: SparkSession, root: str, before: int | None = None) ->
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return spark.createDataFrame([], STAGED_SCHEMA).withColumn("seq", F.lit(0).cast("long"))
+        return empty_stage(spark).withColumn("seq", F.lit(0).cast("long"))
     if before is not None:
         rows = rows.filter(F.col("seq") < before)
     for f in STAGED_SCHEMA.fields:

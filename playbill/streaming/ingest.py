@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from playbill.operators.merge import collapse_batch, merge_observations
-from playbill.schema import EVENT_FIELDS, EVENT_SCHEMA
+from playbill.schema import EVENT_SCHEMA
 from playbill.sources.staged import current, write_version
 
 OBSERVED_AT = T.StructField("observed_at", T.TimestampType(), False)
@@ -31,18 +31,10 @@ def read_observations(spark: SparkSession, path: str, files_per_batch: int | Non
 def apply_batch(batch: DataFrame, batch_id: int, root: str, default_status: str = "pending") -> None:
     """Merge one micro-batch.  Only ids the batch touches are written."""
     stored = current(batch.sparkSession, root, before=batch_id)
-    newest = batch.groupBy("source", "source_url").agg(F.max("observed_at").alias("_seen_at"))
-    rows = collapse_batch(batch, F.col("observed_at")).drop("observed_at") \
-        .join(newest, ["source", "source_url"])
-    merged = merge_observations(stored, rows.select(*EVENT_FIELDS), F.lit(None).cast("timestamp"),
-                                default_status, keep_unseen=False)
-    at = newest.select(F.substring(F.sha2(F.concat_ws("|", "source", "source_url"), 256), 1, 16)
-                       .alias("id"), "_seen_at")
-    stamped = merged.join(at, "id").withColumn("last_seen", F.col("_seen_at")) \
-        .withColumn("first_seen", F.coalesce("first_seen", "_seen_at")) \
-        .withColumn("updated_at", F.when(F.col("outcome").isin("new", "changed"), F.col("_seen_at"))
-                    .otherwise(F.col("updated_at"))).drop("_seen_at")
-    write_version(stamped, root, batch_id)
+    rows = collapse_batch(batch, F.col("observed_at"))
+    merged = merge_observations(stored, rows, F.col("observed_at"), default_status,
+                                keep_unseen=False)
+    write_version(merged, root, batch_id)
 
 
 def ingest(observations: DataFrame, root: str, checkpoint: str,
