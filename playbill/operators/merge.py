@@ -61,11 +61,13 @@ def merge_observations(staged: DataFrame, batch: DataFrame, seen_at: Column,
     ``keep_unseen=False`` returns the batch's rows only (a version delta).
     """
     default = F.lit(default_status) if isinstance(default_status, str) else default_status
-    new = batch.withColumn("id", stable_id(F.col("source"), F.col("source_url"))) \
-        .withColumn("_hash", content_hash()) \
-        .withColumn("_default", default).withColumn("_at", seen_at)
-    new = new.select(*[F.col(c).alias(f"n_{c}") for c in ("id", "_hash", "_default", "_at",
-                                                          *EVENT_FIELDS)])
+    # the batch's fields travel as one struct: renaming two dozen columns under
+    # a hash that reads them all would double the join's inferred constraints
+    # with every column
+    new = batch.select(
+        stable_id(F.col("source"), F.col("source_url")).alias("n_id"),
+        content_hash().alias("n__hash"), default.alias("n__default"), seen_at.alias("n__at"),
+        F.struct(*EVENT_FIELDS).alias("n"))
     both = staged.join(new, F.col("id") == F.col("n_id"),
                        "full_outer" if keep_unseen else "right")
     seen, known = F.col("n_id").isNotNull(), F.col("id").isNotNull()
@@ -73,7 +75,7 @@ def merge_observations(staged: DataFrame, batch: DataFrame, seen_at: Column,
 
     merged = {}
     for f in EVENT_FIELDS:
-        mine, theirs = F.col(f"n_{f}"), F.col(f)
+        mine, theirs = F.col(f"n.{f}"), F.col(f)
         if f in REFILL_FIELDS:
             mine = F.when(differs & _blank(mine, f) & ~_blank(theirs, f), theirs).otherwise(mine)
         elif f == "is_sold_out":
