@@ -57,7 +57,9 @@ def merge_observations(staged: DataFrame, batch: DataFrame, seen_at: Column,
     of every detail field it leaves blank and the stored sold-out flag, and is
     hashed again: a barer observation of the same facts is *unchanged*.
 
-    ``seen_at`` and ``default_status`` may read columns of the batch.
+    Write or checkpoint the result before joining it further: its columns are
+    wide conditional expressions, which Catalyst would carry as constraints
+    through every later join.  ``seen_at`` and ``default_status`` may read columns of the batch.
     ``keep_unseen=False`` returns the batch's rows only (a version delta).
     """
     default = F.lit(default_status) if isinstance(default_status, str) else default_status

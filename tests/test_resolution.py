@@ -173,6 +173,7 @@ def test_ranking_helpers_equal_plain_windows(spark):
 def test_publish(spark, tmp_path):
     import json
     from playbill.operators.merge import empty_stage, merge_observations
+    from playbill.session import cut_lineage
     from playbill.sinks import calendar, feed
     now, day = F.lit(datetime(2099, 4, 1)), F.lit(date(2099, 4, 1))
     rows = events(
@@ -181,7 +182,7 @@ def test_publish(spark, tmp_path):
         dict(source="creativeman", source_url="https://c/2", title_ja="K-POP NIGHT", start_date=DAY, venue_name="日本武道館 (東京)"),
         dict(source="www", source_url="https://w/0", title_ja="Old", start_date="2020-01-01"),
         dict(source="www", source_url="https://w/9", title_ja="Junk", start_date=DAY, category="other"))
-    staged = merge_observations(empty_stage(spark), rows, now, "auto").drop("outcome")
+    staged = cut_lineage(merge_observations(empty_stage(spark), rows, now, "auto").drop("outcome"))
     reg, ali = registry_from_rows(spark, VENUES, ALIASES + [(2, "Shibuya WWW", "www")])
     runs = spark.createDataFrame([(1, "www", 9, None), (2, "www", 3, None), (3, "gone", 0, "x")],
                                  "run_id bigint, source string, found bigint, error string")
