@@ -77,7 +77,7 @@ LISTING_COLUMNS = {
 
 def listing(spark: SparkSession, sf: str) -> DataFrame:
     """Event rows (plus ``id`` and ``k``) derived from orders and part."""
-    joined = table(spark, sf, "orders").join(
+    joined = texts(spark, sf, "orders").join(
         table(spark, sf, "part"), F.col("o_custkey") == F.col("p_partkey"))
     cols = {n: F.expr(e.format(string="string")) for n, e in LISTING_COLUMNS.items()}
     k = F.col("o_orderkey")

@@ -24,6 +24,9 @@ from playbill.session import cut_lineage, sized_broadcast
 GROUP = ("start_date", "venue_key")
 FILLS = ("open_time", "start_time", "price_text", "price_min", "is_free", "ticket_url")
 SHORTEST_NAME = 3
+#: rows of one day and venue that one task may scan without cutting the group
+SMALL_GROUP = 1_000
+_SCANNED = ("lead", "lead_ord", "source", "start_time", "_parts")
 
 
 def parts_of(rows: DataFrame, aliases: Mapping[str, str] | None = None,
@@ -117,7 +120,8 @@ def fold_into(targets: DataFrame, folds: DataFrame) -> DataFrame:
 # --- promoter against promoter ---------------------------------------------
 
 
-def fold_promoters(rows: DataFrame, aliases: Mapping[str, str] | None = None) -> DataFrame:
+def fold_promoters(rows: DataFrame, aliases: Mapping[str, str] | None = None,
+                   small_group: int = SMALL_GROUP) -> DataFrame:
     """(id, ord, target_id): promoter rows of one day and venue that describe
     a show an earlier kept row already lists.
 
@@ -127,9 +131,10 @@ def fold_promoters(rows: DataFrame, aliases: Mapping[str, str] | None = None) ->
     takes the first one folded into it.
 
     Copies (same source, time and parts) always share one fate when they
-    overlap themselves, so only the first of them is judged.  The rest is cut
-    into components that share no overlapping part; a component is scanned in
-    order, keeping only its kept rows.
+    overlap themselves, so only the first of them is judged.  A day and venue
+    with more than ``small_group`` judged rows is first cut into components
+    that share no overlapping part.  Each small group or component is scanned
+    in order, keeping only its kept rows.
     """
     parts = cut_lineage(parts_of(rows, aliases, extra=("start_time",)))
     looks = parts.groupBy(*GROUP, "id", "ord", "source", "start_time").agg(
@@ -141,12 +146,19 @@ def fold_promoters(rows: DataFrame, aliases: Mapping[str, str] | None = None) ->
     sig = [*GROUP, "source", "start_time", "_parts", "_own"]
     judged = cut_lineage(looks.groupBy(*sig).agg(F.min_by("id", "ord").alias("lead"),
                                           F.min("ord").alias("lead_ord")))
-    placed = _components(judged)
+    sizes = judged.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
+    sized = cut_lineage(null_safe_join(judged, sizes, GROUP, "inner"))
+    placed = sized.filter(F.col("_size") <= small_group).select(
+        *_SCANNED, F.xxhash64(*GROUP).alias("_component"), F.to_json(F.struct(*GROUP)).alias("_group"))
+    large = sized.filter(F.col("_size") > small_group)
+    if not large.isEmpty():
+        placed = placed.unionByName(_components(large))
     scanned = placed.repartition("_component") \
         .sortWithinPartitions("_component", "lead_ord") \
         .mapInPandas(_scan, "lead {0}, kept {0}".format(rows.schema["id"].dataType.simpleString()))
     fate = null_safe_join(looks.select(*sig, "id", "ord"), judged.select(*sig, "lead"),
-                          sig, "inner").join(scanned, "lead")
+                          sig, "inner").join(scanned, "lead", "left") \
+        .withColumn("kept", F.coalesce("kept", "lead"))
     return fate.filter(F.col("id") != F.col("kept")) \
         .select("id", "ord", F.col("kept").alias("target_id"))
 
@@ -181,7 +193,7 @@ def _components(judged: DataFrame) -> DataFrame:
         if moved.filter("next <> label").isEmpty():
             break
     return rows.join(labels, F.col("_row") == F.col("node"), "left") \
-        .select("lead", "lead_ord", "source", "start_time", "_parts",
+        .select(*_SCANNED,
                 F.coalesce("label", "_row").alias("_component"),
                 F.to_json(F.struct(*GROUP)).alias("_group"))
 

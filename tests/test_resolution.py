@@ -117,8 +117,9 @@ def test_promoter_fold_equals_brute_force(spark):
     words = ["ring", "ring bolt", "bolt", "gear", "abc", "ab", "rod gear", "ring bolt gear"]
     rows = [row(n, rng.choice(PROMO), rng.choice(words), rng.sample(words, rng.randint(0, 2)),
                 start_time=rng.choice([None, "12:00", "18:00"])) for n in range(60)]
-    got = {r["id"]: r["target_id"] for r in overlap.fold_promoters(numbered(spark, *rows)).collect()}
-    assert got == brute_promoter_fold(rows)
+    for small_group in (1000, 1):
+        folds = overlap.fold_promoters(numbered(spark, *rows), small_group=small_group)
+        assert {r["id"]: r["target_id"] for r in folds.collect()} == brute_promoter_fold(rows)
 
 
 def test_festival_rows_fold(spark):
