@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playbill.operators.identity import content_hash, stable_id
-from playbill.schema import EVENT_FIELDS, conform
+from playbill.schema import conform
 from playbill.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,20 +92,7 @@ def listing(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.array("p_brand", F.split("p_name", " ")[1])).alias("lineup"))
     rows = rows.withColumn("source_url", F.concat(
         F.lit("https://"), "source", F.lit(".example/e/"), F.col("k").cast("string")))
-    return conform_with(rows, "k").withColumn("id", stable_id(F.col("source"), F.col("source_url")))
-
-
-def conform_with(rows: DataFrame, *extra: str) -> DataFrame:
-    shaped = conform(rows).columns
-    base = conform(rows.select(*[c for c in rows.columns if c not in extra]))
-    assert shaped == base.columns
-    return rows.select(*extra, *[_shape(rows, f) for f in EVENT_FIELDS])
-
-
-def _shape(rows: DataFrame, name: str):
-    from playbill.schema import EVENT_SCHEMA, _default
-    field = EVENT_SCHEMA[name]
-    return _default(field, F.col(name).cast(field.dataType) if name in rows.columns else None)
+    return conform(rows, extra=["k"]).withColumn("id", stable_id(F.col("source"), F.col("source_url")))
 
 
 #: the same listing for the SQL side

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from checks.base import LISTING_SQL, check, listing, table, texts
 from playbill.functions import dates, flags, names, prices, times, urls
 from playbill.operators import enrich, pages
+from playbill.sources.pages import month_tabs
 
 #: shared columns of a notice: k, c, opening and start clock, two prices, day
 _DAY = "cast(o_orderdate as date) + 10957"
@@ -197,6 +198,16 @@ def ext_18(spark, sf):
         F.element_at(dates.rollover_years(months, F.year("d")), -1).alias("by_rollover"))
 
 
+@check("ext_18_month_tabs", """WITH o AS (SELECT o_orderkey, o_custkey, month(o_orderdate) AS m, year(o_orderdate) AS y FROM orders),
+ t AS (SELECT o_custkey, m, min(y) AS y FROM o GROUP BY ALL)
+SELECT o_orderkey, t.y AS year FROM o JOIN t USING (o_custkey, m)""")
+def ext_18b(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.month("o_orderdate").alias("month"),
+                                             F.year("o_orderdate").alias("_y"))
+    tabs = rows.groupBy("o_custkey", "month").agg(F.min("_y").alias("year"))
+    return month_tabs(rows.drop("_y"), tabs, "o_custkey").select("o_orderkey", "year")
+
+
 @check("ext_19_date_range", f"""WITH {NOTICE_SQL}, r AS (SELECT *, d + c % 200 AS e FROM n), ok AS (
   SELECT *, NOT (c % 4 < 3 AND month(e) = 2 AND day(e) = 29 AND year(e) <> year(d)) AS fine FROM r)
 SELECT k, CASE WHEN fine THEN CAST(d AS VARCHAR) END AS start_date,

@@ -33,7 +33,7 @@ def observe(staged: DataFrame, batch: DataFrame, sources: DataFrame, attempts: D
 
     ``sources`` is (source, default_status, allow_empty, supports_detail).
     """
-    ordered = conform(batch).withColumn("_at", order) if "_at" not in batch.columns else batch
+    ordered = conform(batch.withColumn("_at", order), extra=["_at"])
     collapsed = collapse_batch(ordered, F.col("_at")).drop("_at")
     dim = sized_broadcast(sources.select("source", "default_status"))
     known = collapsed.join(dim, "source", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,15 +72,16 @@ STAGED_SCHEMA = T.StructType([
 RUN_SCHEMA = T.StructType(_fields(
     "run_id bigint, source string, started_at timestamp, finished_at timestamp, "
     "found bigint, new bigint, changed bigint, details_fetched bigint, error string, "
-    "skipped_venues array<string>"))
+    "skipped_venues bigint"))
 
 
-def conform(df: DataFrame, schema: T.StructType = EVENT_SCHEMA) -> DataFrame:
-    """Shape ``df`` to ``schema``: unknown columns dropped, missing ones
-    added (empty list for arrays, ``other`` for category, false for the
-    sold-out flag, null else)."""
+def conform(df: DataFrame, schema: T.StructType = EVENT_SCHEMA,
+            extra: Sequence[str] = ()) -> DataFrame:
+    """Shape ``df`` to ``schema``: unknown columns but ``extra`` dropped,
+    missing ones added (empty list for arrays, ``other`` for category, false
+    for the sold-out flag, null else)."""
     have = set(df.columns)
-    return df.select(*[
+    return df.select(*extra, *[
         _default(f, F.col(f.name).cast(f.dataType) if f.name in have else None)
         for f in schema.fields])
 

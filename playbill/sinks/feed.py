@@ -9,6 +9,10 @@ from playbill.operators.select import served
 from playbill.sinks.lines import write_lines
 
 
+#: part number of the event lines
+EVENTS = 5
+
+
 def event_json(events: DataFrame) -> Column:
     """A served row as compact JSON, nulls kept."""
     shown = served(events).columns
@@ -20,29 +24,36 @@ def feed_lines(events: DataFrame, health: DataFrame, capacities: DataFrame,
     """(part, start_date, id, line): the lines of the document
     ``{generated_at, sources[], venues{}, events[]}``.
 
-    The head holds one small record per source and per venue (dimensions);
-    every event is a line of its own, so the document is written in parallel.
+    Every source, venue and event is a line of its own, so the document is
+    written in parallel whatever its size.
     """
-    no_date, no_id = F.lit(None).cast("date").alias("start_date"), F.lit("").alias("id")
     stamp = F.date_format(generated_at, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
-    sources = health.agg(F.array_sort(F.collect_list(F.struct("source", "found", "error")))
-                         .alias("_s")).select(
-        F.lit(0).alias("part"), no_date, no_id,
-        F.concat(F.lit('{"generated_at":"'), stamp, F.lit('","sources":'),
-                 F.to_json("_s", {"ignoreNullFields": "false"}), F.lit(",")).alias("line"))
-    venues = capacities.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
-        "venue_key", F.struct("capacity"))))).alias("_v")).select(
-        F.lit(1).alias("part"), no_date, no_id,
-        F.concat(F.lit('"venues":'), F.to_json("_v"), F.lit(',"events":[')).alias("line"))
-    # all events but the first in order open with a comma
-    first = events.agg(F.min(F.struct("start_date", "id"))).scalar()
-    body = events.select(
-        F.lit(2).alias("part"), "start_date", "id", F.concat(
-            F.when(F.struct("start_date", "id") == first, "").otherwise(","),
-            event_json(events)).alias("line"))
-    tail = events.sparkSession.range(1).select(
-        F.lit(3).alias("part"), no_date, no_id, F.lit("]}").alias("line"))
-    return sources.unionByName(venues).unionByName(body).unionByName(tail)
+    undated = F.lit(None).cast("date")
+    sources = health.select(undated.alias("start_date"), F.col("source").alias("id"), F.to_json(
+        F.struct("source", "found", "error"), {"ignoreNullFields": "false"}).alias("json"))
+    venues = capacities.select(undated.alias("start_date"), F.col("venue_key").alias("id"), F.concat(
+        F.to_json(F.map_from_arrays(F.array("venue_key"), F.array(F.struct("capacity"))))).alias("json")) \
+        .withColumn("json", F.expr("substring(json, 2, length(json) - 2)"))
+    rows = events.select("start_date", "id", event_json(events).alias("json"))
+
+    def fixed(part: int, line: Column) -> DataFrame:
+        return events.sparkSession.range(1).select(
+            F.lit(part).alias("part"), undated.alias("start_date"), F.lit("").alias("id"),
+            line.alias("line"))
+
+    out = fixed(0, F.concat(F.lit('{"generated_at":"'), stamp, F.lit('","sources":[')))
+    for more in (_joined(sources, 1), fixed(2, F.lit('],"venues":{')), _joined(venues, 3),
+                 fixed(4, F.lit('},"events":[')), _joined(rows, EVENTS), fixed(6, F.lit("]}"))):
+        out = out.unionByName(more)
+    return out
+
+
+def _joined(rows: DataFrame, part: int) -> DataFrame:
+    """Lines of one list: all but the first in order open with a comma."""
+    first = rows.agg(F.min(F.struct("start_date", "id"))).scalar()
+    comma = F.when(F.struct("start_date", "id") == first, "").otherwise(",")
+    return rows.select(F.lit(part).alias("part"), "start_date", "id",
+                       F.concat(comma, "json").alias("line"))
 
 
 def write_feed(lines: DataFrame, path: str) -> None:

@@ -10,16 +10,23 @@ from playbill.schema import RUN_SCHEMA, conform
 
 def run_rows(report: DataFrame, gaps: DataFrame, run_id: Column, started: Column,
              finished: Column) -> DataFrame:
-    """History rows of one run.  ``gaps`` (source, venue_name) becomes the
-    sorted list of names a source could not resolve, distinct by name."""
-    names = gaps.groupBy("source").agg(F.sort_array(F.collect_set("venue_name")).alias("skipped_venues"))
+    """History rows of one run.  ``gaps`` (source, venue_name) is counted per
+    source; the names themselves are ``gap_rows``."""
+    names = gap_rows(gaps, run_id).groupBy("source").agg(F.count(F.lit(1)).alias("skipped_venues"))
     joined = report.join(names, "source", "left").select(
         run_id.alias("run_id"), "source", started.alias("started_at"),
         finished.alias("finished_at"), "found", "new", "changed",
-        F.col("details").alias("details_fetched"), "error", "skipped_venues")
+        F.col("details").alias("details_fetched"), "error",
+        F.coalesce("skipped_venues", F.lit(0)).alias("skipped_venues"))
     return conform(joined, RUN_SCHEMA)
 
 
+def gap_rows(gaps: DataFrame, run_id: Column) -> DataFrame:
+    """(run_id, source, venue_name): names a source could not resolve, each
+    once.  Rows, not a list: one source may bring any number of them."""
+    return gaps.select(run_id.alias("run_id"), "source", "venue_name").distinct()
+
+
 def append_runs(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 

@@ -22,6 +22,4 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 def month_tabs(rows: DataFrame, tabs: DataFrame, page_id: str) -> DataFrame:
     """Rows printed without a year take it from the page's month tabs
     (page_id, month, year)."""
-    return rows.join(tabs.withColumnRenamed("month", "_m"),
-                     (rows[page_id] == tabs[page_id]) & (F.col("month") == F.col("_m")), "left") \
-        .drop(tabs[page_id]).drop("_m")
+    return rows.join(tabs.select(page_id, "month", "year"), [page_id, "month"], "left")

@@ -108,11 +108,11 @@ def test_hash_ignores_width_and_space(spark):
 
 def test_run_and_queue(spark):
     rows = [dict(source="s", source_url=f"/e/{n:02}", start_date="2099-01-01") for n in range(45)]
-    batch = events(spark, *rows).withColumn("_at", F.lit(0))
+    batch = events(spark, *rows).withColumn("observed_at", F.lit(T1))
     sources = spark.createDataFrame([("s", "pending", False, True), ("quiet", "auto", False, True), ("off", "auto", True, False)],
                                     "source string, default_status string, allow_empty boolean, supports_detail boolean")
     tries = spark.createDataFrame([], "event_id string, attempts int, content_hash string, last_attempt timestamp")
-    run = observe(merge.empty_stage(spark), batch, sources, tries, F.lit(date(2026, 7, 1)), F.lit(T1), F.lit(0))
+    run = observe(merge.empty_stage(spark), batch, sources, tries, F.lit(date(2026, 7, 1)), F.lit(T1), F.col("observed_at"))
     assert run.queue.count() == 40 and run.queue.filter("tier = 1").count() == 40
     errors = {r["source"]: (r["found"], r["error"]) for r in run.report.collect()}
     assert errors["s"] == (45, None) and errors["off"] == (0, None) and "0 events" in errors["quiet"][1]
