@@ -36,7 +36,7 @@ def test_registry_is_checked(spark):
         registry_from_rows(spark, VENUES, [(0, "x", "nowhere")])
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.text("abc", max_size=7), min_size=1, max_size=12), st.lists(st.text("abc", max_size=12), min_size=1, max_size=12))
 def test_containment_equals_brute_force(spark, needles, hays):
     a = spark.createDataFrame([(n,) for n in needles], "needle string").withColumn("g", F.lit(None).cast("int"))
