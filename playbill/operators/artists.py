@@ -127,9 +127,10 @@ def find_names(texts: DataFrame, keys: DataFrame, text: str = "hay") -> DataFram
     """
     floor = F.when(F.col("match_key").rlike(r"^[\x20-\x7e]+$"), SHORTEST_ASCII) \
         .otherwise(SHORTEST_OTHER)
-    able = keys.filter(F.length("match_key") >= floor)
-    pairs = contained_pairs(able.withColumnRenamed("match_key", "needle"),
-                            texts.select(F.col(text).alias("hay")), [])
+    # both sides are read several times below and fold text in Python
+    able = cut_lineage(keys.filter(F.length("match_key") >= floor))
+    hays = cut_lineage(texts.select(F.col(text).alias("hay")).distinct())
+    pairs = contained_pairs(able.withColumnRenamed("match_key", "needle"), hays, [])
     spans = pairs.withColumn("at", F.regexp_instr("hay", bounded_pattern(F.col("needle")))) \
         .filter("at > 0").withColumn("until", F.col("at") + F.length("needle"))
     return longest_spans(spans).join(able.withColumnRenamed("match_key", "needle"), "needle") \

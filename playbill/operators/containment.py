@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playbill.operators.ranking import null_safe_join
+from playbill.session import BROADCAST_ROWS
 
 PIECE = 3
 
@@ -28,6 +29,15 @@ def pieces(text: Column, size: int = PIECE) -> Column:
         lambda i: F.substring(text, i, F.lit(size))))
 
 
+def _only_wanted(in_hay: DataFrame, in_needle: DataFrame) -> DataFrame:
+    """Drop hay pieces no needle has before they are shuffled, when the needle
+    pieces are few enough to broadcast; otherwise the joins drop them."""
+    wanted = in_needle.select("_piece").distinct()
+    if wanted.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return in_hay
+    return in_hay.join(F.broadcast(wanted), "_piece", "left_semi")
+
+
 def contained_pairs(needles: DataFrame, hays: DataFrame, group: Sequence[str],
                     needle: str = "needle", hay: str = "hay",
                     size: int = PIECE) -> DataFrame:
@@ -36,9 +46,14 @@ def contained_pairs(needles: DataFrame, hays: DataFrame, group: Sequence[str],
     group = list(group)
     wanted = needles.select(*group, needle).distinct().filter(F.length(needle) >= size)
     texts = hays.select(*group, hay).distinct()
+    if group:
+        # only groups that have needles are taken apart
+        texts = null_safe_join(texts, wanted.select(*group).distinct(), group, "left_semi")
     in_hay = texts.select(*group, hay, F.explode(pieces(F.col(hay), size)).alias("_piece"))
     in_needle = wanted.select(*group, needle, F.size(pieces(F.col(needle), size)).alias("_of"),
                               F.explode(pieces(F.col(needle), size)).alias("_piece"))
+    if not group:
+        in_hay = _only_wanted(in_hay, in_needle)
     # in how many hays a piece occurs: combined in every map task first
     spread = in_hay.groupBy(*group, "_piece").agg(F.count(F.lit(1)).alias("_hays"))
     anchors = null_safe_join(in_needle, spread, [*group, "_piece"], "inner") \
