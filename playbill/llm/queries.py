@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import public_tokenizers
-from . import exact_dedup, mixing, sequences, tokenfiles
+from pyspark.sql import functions as F
+from . import exact_dedup, line_dedup, mixing, quality, sequences, tokenfiles
 
 QUERIES, ORACLES = {}, {}
 SPACE_SQL = r"\x20\x09-\x0D"
@@ -54,6 +55,25 @@ def op2(spark, sf):
     return mixing.mix(table(spark, sf, "documents"), weights=(5, 2, 1), most=3, share=1.0).drop("tie")
 
 
+LINES_SQL = rf"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT doc_id, r, i, lines[i] AS line,
+    translate(regexp_replace(regexp_replace(lines[i], '^[{SPACE_SQL}]+', ''), '[{SPACE_SQL}]+$', ''),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, r, lines, unnest(range(1, len(lines) + 1)) AS i FROM docs)),
+first AS (SELECT key, min(doc_id) AS first FROM lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+marked AS (SELECT lines.*, first.first IS NOT NULL AND doc_id <> first.first AS gone FROM lines LEFT JOIN first USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r"""
+
+
+@query("op4_line_dedup", LINES_SQL)
+def op4(spark, sf):
+    return line_dedup.dedup_lines(table(spark, sf, "documents"), least=10).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 COPIES_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256
@@ -72,3 +92,9 @@ def op8(spark, sf):
     tokenfiles.write_tokens(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), "words", 2, path)
     return tokenfiles.read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
+
+
+@query("op10_quality_classifier")
+def op10(spark, sf):
+    return quality.with_scores(table(spark, sf, "documents"), table(spark, sf, "labels"), threshold=0.3).select(
+        "doc_id", "held_out", "score", "predicted")
