@@ -103,6 +103,7 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
     ids = stored(ids, "counted")
     groups = ids.groupBy("level", "name").agg(
         F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    groups = stored(groups, "groups")  # on its own, so that a join on a hot identity can be split
     return ids.join(groups, ["level", "name"]).select("doc_id", "row_key", "keep_id", "group_size")
 
 
