@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import functions as F
-from . import exact_dedup, line_dedup, mixing, quality, sequences, tokenfiles
+from . import exact_dedup, jaccard, line_dedup, mixing, quality, sequences, tokenfiles
 
 QUERIES, ORACLES = {}, {}
 SPACE_SQL = r"\x20\x09-\x0D"
@@ -98,3 +98,8 @@ def op8(spark, sf):
 def op10(spark, sf):
     return quality.with_scores(table(spark, sf, "documents"), table(spark, sf, "labels"), threshold=0.3).select(
         "doc_id", "held_out", "score", "predicted")
+
+
+@query("op3_ngram_jaccard")
+def op3(spark, sf):
+    return jaccard.near_groups(table(spark, sf, "documents"), width=4, percent=85)
