@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import functions as F
-from . import exact_dedup, jaccard, line_dedup, mixing, quality, sequences, tokenfiles
+from . import exact_dedup, jaccard, line_dedup, mixing, quality, sequences, substring_dedup, tokenfiles
 
 QUERIES, ORACLES = {}, {}
 SPACE_SQL = r"\x20\x09-\x0D"
@@ -103,3 +103,9 @@ def op10(spark, sf):
 @query("op3_ngram_jaccard")
 def op3(spark, sf):
     return jaccard.near_groups(table(spark, sf, "documents"), width=4, percent=85)
+
+
+@query("op6_substring_dedup")
+def op6(spark, sf):
+    return substring_dedup.dedup_words(table(spark, sf, "documents"), window=50).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
