@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import functions as F
-from . import exact_dedup, jaccard, line_dedup, mixing, quality, sequences, substring_dedup, tokenfiles
+from . import embedding_dedup, exact_dedup, jaccard, line_dedup, mixing, quality, sequences, substring_dedup, tokenfiles
 
 QUERIES, ORACLES = {}, {}
 SPACE_SQL = r"\x20\x09-\x0D"
@@ -109,3 +109,8 @@ def op3(spark, sf):
 def op6(spark, sf):
     return substring_dedup.dedup_words(table(spark, sf, "documents"), window=50).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op5_embedding_dedup")
+def op5(spark, sf):
+    return embedding_dedup.near_vectors(table(spark, sf, "embeddings"), least=0.95)
