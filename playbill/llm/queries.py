@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import functions as F
-from . import embedding_dedup, exact_dedup, jaccard, line_dedup, mixing, quality, sequences, substring_dedup, tokenfiles
+from . import embedding_dedup, exact_dedup, jaccard, line_dedup, mixing, quality, sequences, substring_dedup, suffix_dedup, tokenfiles
 
 QUERIES, ORACLES = {}, {}
 SPACE_SQL = r"\x20\x09-\x0D"
@@ -114,3 +114,10 @@ def op6(spark, sf):
 @query("op5_embedding_dedup")
 def op5(spark, sf):
     return embedding_dedup.near_vectors(table(spark, sf, "embeddings"), least=0.95)
+
+
+@query("op9_suffix_dedup")
+def op9(spark, sf):
+    return suffix_dedup.dedup_bytes(table(spark, sf, "documents"), least=400).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept_bytes", 256).alias("kept_sha256"))
