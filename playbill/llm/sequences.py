@@ -36,15 +36,14 @@ def pieces(docs: DataFrame, tokenizer: str, units: str = "leading", end_id: int
     def encode(batches):
         code = encoder(tokenizer, units)
         for batch in batches:
-            texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+            keys = batch.column("doc_id").to_pylist()
             cols = [[] for _ in range(6)]
-            for at in range(0, len(texts), 128):
-                for key, ids in zip(keys[at:at + 128], code.encode(texts[at:at + 128]), strict=True):
-                    ids += end
-                    for p, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
-                        part = ids[4 * start:4 * (start + n)]
-                        for col, v in zip(cols, (key, p, start, n, zlib.crc32(part), part if with_ids else None), strict=True):
-                            col.append(v)
+            for k, ids in code.encode(batch.column("text")):
+                ids = ids.tobytes() + end
+                for p, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
+                    part = ids[4 * start:4 * (start + n)]
+                    for col, v in zip(cols, (keys[k], p, start, n, zlib.crc32(part), part if with_ids else None), strict=True):
+                        col.append(v)
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             keep = 6 if with_ids else 5

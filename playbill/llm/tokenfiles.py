@@ -120,7 +120,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, units: str, end_id: int, path:
     them.  A segment ends at ``segment_ids``; a document stays in one segment.
     A null text is the end id alone; repeated rows are written each.
     """
-    end = np.array([end_id], np.uint32).tobytes()
+    end = np.uint32(end_id)
 
     def encode(batches):
         code = encoder(tokenizer, units)
@@ -132,15 +132,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, units: str, end_id: int, path:
                 "payload": encode_segment(held, block, percentile)}], ROW)
 
         for batch in batches:
-            texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for at in range(0, len(texts), 128):
-                for key, ids in zip(keys[at:at + 128], code.encode(texts[at:at + 128]), strict=True):
-                    held.append(np.frombuffer(ids + end, np.uint32))
-                    names.append(key)
-                    size += len(held[-1])
-                    if size >= segment_ids:
-                        yield row()
-                        segment, first, held, names, size = segment + 1, first + size, [], [], 0
+            keys = batch.column("doc_id").to_pylist()
+            for k, ids in code.encode(batch.column("text")):
+                held.append(np.append(ids, end))
+                names.append(keys[k])
+                size += len(held[-1])
+                if size >= segment_ids:
+                    yield row()
+                    segment, first, held, names, size = segment + 1, first + size, [], [], 0
         if held:
             yield row()
 

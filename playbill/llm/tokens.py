@@ -9,7 +9,11 @@ a text are the ids of its units in a row:
 ``whole``    any other file: the text itself
 
 Texts with unusual white space, where rules of tokenizers differ, are encoded
-whole.  Units new to the task are encoded together, one per line.
+whole.  Units are told apart by a 128-bit hash of their bytes, computed for a
+slice of texts at once.  A new unit of plain Latin letters, with marks like
+full stops behind it, goes straight to the library's merge model, as the
+file's own rules would pass it on; any other unit goes through the whole
+tokenizer.
 """
 
 from __future__ import annotations
@@ -17,67 +21,134 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 
-ASCII = " \t\n\r\x0b\x0c"
-_UNIT = re.compile(f"[{ASCII}]*[^{ASCII}]+|[{ASCII}]+")
-_ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    　﻿]")
-_PLAIN = re.compile(f" [^{ASCII}]+")
+from .grams import Words, byte_stretches, slices
+
+_LATIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: units a task remembers; a full memory is emptied, which costs time only
-MEMORY = 400_000
+MEMORY = 1_000_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level files write for each byte: printable bytes
+    stand for themselves, the others for letters from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
+
+
+def odd_rows(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Rows with white space other than ASCII's, or with separators that some
+    rules take for white space."""
+    d = np.concatenate([data, np.zeros(2, np.uint8)])
+    a, b, c = d[:-2], d[1:-1], d[2:]
+    hit = (a >= 0x1C) & (a <= 0x1F)
+    two = np.flatnonzero(a >= 0xC2)
+    a, b, c = a[two], b[two], c[two]
+    hit[two] = ((a == 0xC2) & ((b == 0x85) | (b == 0xA0))) | ((a == 0xE1) & ((b == 0x9A) | (b == 0xA0))) \
+        | ((a == 0xE2) & (((b == 0x80) & ((c <= 0x8F) | ((c >= 0xA8) & (c <= 0xAF)))) | (b == 0x81))) \
+        | ((a == 0xE3) & (b == 0x80)) | ((a == 0xEF) & (b == 0xBB))
+    return np.diff(np.append(0, np.cumsum(hit))[off]) > 0
 
 
 class Encoder:
-    """Ids of texts as unsigned 32-bit arrays."""
+    """Ids of columns of texts, as unsigned 32-bit arrays."""
 
     def __init__(self, path: str, units: str, memory: int = MEMORY):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.units, self.memory, self.known = units, memory, {}
-        # one line per new unit: ids of the line break tell them apart
-        self.mark = self._ids("\n") if units == "leading" else self._ids("\x01") if units == "words" else []
-
-    def _ids(self, text: str) -> list[int]:
-        return self.model.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, new: list[str]) -> None:
-        if self.units == "leading":
-            plain = [u for u in new if _PLAIN.fullmatch(u)]
-            joined, rest = "\n".join(plain), [u for u in new if not _PLAIN.fullmatch(u)]
-        else:
-            plain = [u for u in new if "\x01" not in u]
-            joined, rest = " \x01 ".join(plain), [u for u in new if "\x01" in u]
-        if plain and len(self.mark) == 1:
-            ids = np.array(self._ids(joined), np.uint32)
-            ends = np.flatnonzero(ids == self.mark[0])
-            if len(ends) == len(plain) - 1:
-                raw, begin = ids.tobytes(), 0
-                for unit, end in zip(plain, [*(ends * 4).tolist(), len(raw)], strict=True):
-                    self.known[unit] = raw[begin:end]
-                    begin = end + 4
-            else:
-                rest = new
-        else:
-            rest = new
-        for unit, found in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[unit] = np.array(found.ids, np.uint32).tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of every text; null: none."""
-        texts = [t or "" for t in texts]
-        whole = [self.units == "whole" or bool(_ODD.search(t)) for t in texts]
-        split = _UNIT.findall if self.units == "leading" else str.split
-        units = [[] if w else split(t) for t, w in zip(texts, whole, strict=True)]
-        if len(self.known) > self.memory:
-            self.known.clear()
-        new = set().union(*units).difference(self.known)
-        if new:
-            self._learn(list(new))
-        get = self.known.__getitem__
-        return [np.array(self._ids(t), np.uint32).tobytes() if w else b"".join(map(get, u))
-                for t, w, u in zip(texts, whole, units, strict=True)]
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.merge, self.letters = self.whole.model.tokenize, _byte_letters()
+        self.units, self.memory = units, memory
+        self._clear()
+
+    def _clear(self) -> None:
+        #: unit hash -> number; ids of unit k are flat[starts[k]:starts[k + 1]]
+        self.known: dict[tuple[int, int], int] = {}
+        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _written(self, text: str) -> str:
+        """``text`` in the letters of byte-level files."""
+        return text.encode().decode("latin-1").translate(self.letters)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _unit_ids(self, units: list[str]) -> list[list[int]]:
+        merge, lower, space = self.merge, self.units == "words", self._written(" ")
+        out, odd = [], []
+        for k, unit in enumerate(units):
+            found = _LATIN.fullmatch(unit)
+            if found is None:
+                odd.append(k)
+                out.append(None)
+                continue
+            lead, word, tail = found.groups()
+            if lower:
+                word = word.lower()
+            if not word.isascii():
+                word = self._written(word)
+            ids = [t.id for t in merge(space + word if lead else word)]
+            if tail:
+                ids += [t.id for t in merge(tail)]
+            out.append(ids)
+        for k, ids in zip(odd, self._ids([units[k] for k in odd]), strict=True):
+            out[k] = ids
+        return out
+
+    def _ranges(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First byte and end of every unit, and units before each row."""
+        if self.units == "words":
+            return words.start, words.end, words.upto
+        off, upto = words.off, words.upto
+        begin = np.concatenate([np.zeros(1, np.int64), words.end[:-1]])[:len(words.end)]
+        has = np.diff(upto) > 0
+        begin[upto[:-1][has]] = off[:-1][has]
+        # white space at the end of a text is a unit of its own
+        last = off[:-1].copy()
+        last[has] = words.end[upto[1:][has] - 1]
+        tail = np.flatnonzero(last < off[1:])
+        place = upto[1:][tail]
+        return np.insert(begin, place, last[tail]), np.insert(words.end, place, off[1:][tail]), \
+            upto + np.searchsorted(tail, np.arange(len(off)))
+
+    def encode(self, texts: pa.Array):
+        """(row, ids) of every text in order; a null text has none."""
+        for first, data, off in slices(texts):
+            begin, end, upto = self._ranges(Words(data, off))
+            if len(self.known) > self.memory:
+                self._clear()
+            h = byte_stretches(data, 0).hash(begin, end)
+            one, at, back = np.unique(h, return_index=True, return_inverse=True)
+            check = byte_stretches(data, 1).hash(begin, end)
+            if (check != check[at][back]).any():  # two units with one hash: by both
+                _, at, back = np.unique(np.column_stack([h, check]), axis=0, return_index=True, return_inverse=True)
+                back = back.ravel()
+            keys = list(zip(h[at].tolist(), check[at].tolist(), strict=True))
+            number = [self.known.get(k, -1) for k in keys]
+            new = [k for k, v in enumerate(number) if v < 0]
+            if new:
+                raw, b, e = data.tobytes(), begin[at].tolist(), end[at].tolist()
+                found = self._unit_ids([raw[b[k]:e[k]].decode() for k in new])
+                n = len(self.starts) - 1
+                for i, k in enumerate(new):
+                    number[k] = self.known[keys[k]] = n + i
+                self.starts = np.append(self.starts, self.starts[-1] + np.cumsum([len(x) for x in found]))
+                self.flat = np.append(self.flat, np.fromiter((t for x in found for t in x), np.uint32))
+            unit = np.array(number, np.int64)[back]
+            size = self.starts[unit + 1] - self.starts[unit]
+            total = np.append(0, np.cumsum(size))
+            ids = self.flat[np.repeat(self.starts[unit] - total[:-1], size) + np.arange(total[-1])]
+            odd = odd_rows(data, off) if self.units == "leading" else np.full(len(off) - 1, self.units == "whole")
+            cuts, bounds = total[upto].tolist(), off.tolist()
+            for k, strange in enumerate(odd.tolist()):
+                if strange:
+                    yield first + k, np.array(self._ids([data[bounds[k]:bounds[k + 1]].tobytes().decode()])[0], np.uint32)
+                else:
+                    yield first + k, ids[cuts[k]:cuts[k + 1]]
 
 
 _made: dict = {}
