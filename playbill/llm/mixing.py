@@ -8,6 +8,10 @@ whole epochs first, then the cut in the last one.
 
 from __future__ import annotations
 
+import re
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,7 @@ from .common import SPACE, running_sums, stored
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
+_WORD = re.compile(f"[^{SPACE}]+")
 
 
 def word_count(text: Column) -> Column:
@@ -85,9 +90,17 @@ def row_tie() -> Column:
     return F.xxhash64(F.coalesce("source", F.lit("")), F.coalesce("text", F.lit("")))
 
 
+def _first_words(texts: pa.Array, counts: pa.Array) -> pa.Array:
+    out = []
+    for text, n in zip(texts.to_pylist(), counts.to_pylist(), strict=True):
+        ends = (m.end() for m in _WORD.finditer(text or ""))
+        out.append(None if text is None else text[:next(islice(ends, n - 1, None), len(text))] if n > 0 else "")
+    return pa.array(out, pa.string())
+
+
 def first_words(text: Column, n: Column) -> Column:
     """The first ``n`` words of ``text`` with the white space between them."""
-    return F.regexp_extract(text, F.concat(F.lit(f"^(?:[{SPACE}]*[^{SPACE}]++){{"), n.cast("string"), F.lit("}")), 0)
+    return F.arrow_udf(_first_words, "string")(text, n)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -108,6 +121,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
     rows = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(1), copies)))
     words = F.least(F.col("size"), F.col("taken") - (F.col("_epoch") - 1) * F.col("size"))
-    rows = rows.withColumn("text", F.when(words < F.col("size"), first_words(F.col("text"), words)).otherwise(F.col("text")))
+    # only the few texts that are cut go through Python
+    rows = rows.withColumn("_cut", words < F.col("size")).withColumn("text", F.coalesce(first_words(F.when(F.col("_cut"), F.col("text")), words), F.col("text")))
     return rows.select(*docs.columns)
 
