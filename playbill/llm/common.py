@@ -41,8 +41,10 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_of(docs: DataFrame) -> Column:
-    return F.coalesce(docs["text"], F.lit(""))
+def boxed(docs: DataFrame, *replaced: str) -> Column:
+    """All columns of ``docs`` but those that results replace, as one struct:
+    no name of the caller's can clash with one of ours."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in replaced]).alias("row")
 
 
 def in_order(df: DataFrame, *keys, tag: str = "sorted") -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import boxed, stored
 
 BLOCK_BYTES = 4096
 
@@ -39,11 +39,10 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     so repeated rows get one identity and different texts two.
     """
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    source = docs.select("doc_id", body.alias("body"))
+    source = docs.select("doc_id", text_key().alias("row_key"), body.alias("body"))
     last = F.greatest(F.ceil(F.length("body") / F.lit(block_bytes)) - 1, F.lit(0)).cast("int")
-    # (not F.posexplode: the block is cut where it is used, from bytes, in linear time)
     blocks = source.select(
-        "doc_id", row_key().alias("row_key"),
+        "doc_id", "row_key",
         F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(
             F.col("body"), i * block_bytes + 1, F.lit(block_bytes)))).alias("i", "block"))
     seed = 0
@@ -81,8 +80,9 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return stored(out.distinct(), "identity")
 
 
-def row_key(body: str = "body") -> Column:
-    return F.xxhash64(F.lit(-7), F.col(body))
+def text_key() -> Column:
+    """Tells rows with one doc_id apart."""
+    return F.xxhash64(F.lit(-7), F.coalesce("text", F.lit("")))
 
 
 def _same(x: DataFrame, y: DataFrame):
@@ -90,21 +90,20 @@ def _same(x: DataFrame, y: DataFrame):
 
 
 def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per distinct (doc_id, text): doc_id, row_key, keep_id, group_size.
+    """One row per distinct (doc_id, text): doc_id, row_key, own, keep_id, group_size.
 
     Of equal texts the largest doc_id is kept; null is smaller than any id.
-    ``group_size`` counts rows of ``docs``, repeated ones too.
+    ``group_size`` counts rows of ``docs``, repeated ones too; ``own`` those
+    with this doc_id.
     """
     ids = identities(docs, block_bytes)
-    body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    counts = docs.select("doc_id", body.alias("body")).select("doc_id", row_key().alias("row_key")) \
-        .groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("n"))
+    counts = docs.select("doc_id", text_key().alias("row_key")).groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("n"))
     ids = ids.join(counts, _same(ids, counts)).select(ids["doc_id"], ids["row_key"], "level", "name", "n")
     ids = stored(ids, "counted")
     groups = ids.groupBy("level", "name").agg(
         F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
     groups = stored(groups, "groups")  # on its own, so that a join on a hot identity can be split
-    return ids.join(groups, ["level", "name"]).select("doc_id", "row_key", "keep_id", "group_size")
+    return ids.join(groups, ["level", "name"]).select("doc_id", "row_key", F.col("n").alias("own"), "keep_id", "group_size")
 
 
 def mark_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -114,25 +113,22 @@ def mark_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     rows here; ``drop_duplicates`` leaves one of them.  Columns of ``docs``
     with these names are replaced.
     """
-    new = ["keep_id", "group_size", "kept", "text_sha256"]
-    base = docs.drop(*new).withColumn("row_key", F.xxhash64(F.lit(-7), F.encode(
-        F.coalesce("text", F.lit("")), "UTF-8"))).withColumn(
-        "text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    found = exact_duplicates(docs, block_bytes).withColumnsRenamed({"doc_id": "_id", "row_key": "_key"})
-    out = base.join(found, base["doc_id"].eqNullSafe(found["_id"]) & (base["row_key"] == found["_key"]))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).drop("_id", "_key", "row_key")
+    base = docs.select(boxed(docs, "keep_id", "group_size", "kept", "text_sha256"), F.col("doc_id").alias("_id"),
+                       text_key().alias("_key"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    found = exact_duplicates(docs.select("doc_id", "text"), block_bytes)
+    out = base.join(found, base["_id"].eqNullSafe(found["doc_id"]) & (base["_key"] == found["row_key"]))
+    return out.select("row.*", "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without copies: of equal texts the row with the largest doc_id
     stays (of repeated rows of that id, one)."""
-    found = exact_duplicates(docs, block_bytes)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(
-        F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "group_size")
-    key = F.xxhash64(F.lit(-7), F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    base = docs.withColumn("_row", key)
-    rows = base.join(keep, base["doc_id"].eqNullSafe(keep["_id"]) & (base["_row"] == keep["_key"]))
-    # only groups of two and more rows can hold repeated rows of the kept id
-    once = rows.filter("group_size = 1")
-    more = rows.filter("group_size > 1").dropDuplicates(["_id", "_key"])
-    return once.unionByName(more).select(*docs.columns)
+    found = exact_duplicates(docs.select("doc_id", "text"), block_bytes)
+    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "row_key", "own")
+    base = docs.select(boxed(docs), F.col("doc_id").alias("_id"), text_key().alias("_key"))
+    rows = base.join(keep, base["_id"].eqNullSafe(keep["doc_id"]) & (base["_key"] == keep["row_key"]))
+    # only a kept id that comes with the same text again has rows to choose from
+    once, again = rows.filter("own = 1"), rows.filter("own > 1")
+    if not keep.filter("own > 1").isEmpty():
+        once = once.unionByName(again.dropDuplicates(["_id", "_key"]))
+    return once.select("row.*")

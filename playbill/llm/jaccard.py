@@ -256,6 +256,6 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 def one_per_group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component: the smallest doc_id with
     all its rows.  Rows without doc_id stay."""
-    gone = near_groups(docs, width, percent).filter("doc_id <> component_id").select(
+    gone = near_groups(docs.select("doc_id", "text"), width, percent).filter("doc_id <> component_id").select(
         F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

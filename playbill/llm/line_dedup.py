@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import boxed, stored
 
 MIN_CHARS = 10
 BITS_PER_LINE = 16
@@ -162,9 +162,8 @@ def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, max_bits: int = MAX_BIT
     a null doc_id comes last.  Repeated rows of one doc_id are one document.
     A null or empty text is one empty line.
     """
-    lost = repeated_lines(docs, least, max_bits)
-    clean = docs.drop("kept_text", "n_lines", "n_dropped")
-    base = clean.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    rows = base.join(lost, base["_id"] == lost["id"], "left")
-    out = F.arrow_udf(_kept, "kept_text string, n_lines long, n_dropped long")(F.col("text"), F.col("keys"))
-    return rows.select(*[rows[c] for c in clean.columns], out.alias("_r")).select(*clean.columns, "_r.*")
+    new = ("kept_text", "n_lines", "n_dropped")
+    lost = repeated_lines(docs.select("doc_id", "text"), least, max_bits)
+    base = docs.select(boxed(docs, *new), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"))
+    out = F.arrow_udf(_kept, "kept_text string, n_lines long, n_dropped long")(F.col("row.text"), F.col("keys"))
+    return base.join(lost, "id", "left").select("row", out.alias("new")).select("row.*", "new.*")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, running_sums, stored
+from .common import SPACE, boxed, running_sums, stored
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -109,11 +109,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     The one row that a source's budget cuts has, in its last epoch, its first
     words only.  Rows without words are in no mix.
     """
-    found = mix(docs, **options).filter("taken > 0").select(
+    found = mix(docs.select("doc_id", "text", "source"), **options).filter("taken > 0").select(
         F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "size", "taken")
     # rows equal in id, source and text have one result together
     found = found.groupBy("_id", "_tie").agg(F.max("size").alias("size"), F.sum("taken").alias("taken"))
-    base = docs.withColumn("_t", row_tie()).withColumn("_d", F.col("doc_id"))
+    base = docs.select(boxed(docs, "text"), F.col("text"), row_tie().alias("_t"), F.col("doc_id").alias("_d"))
     repeated = base.groupBy("_d", "_t").count().filter("count > 1")
     if not repeated.isEmpty():
         base = base.dropDuplicates(["_d", "_t"])
@@ -123,5 +123,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     words = F.least(F.col("size"), F.col("taken") - (F.col("_epoch") - 1) * F.col("size"))
     # only the few texts that are cut go through Python
     rows = rows.withColumn("_cut", words < F.col("size")).withColumn("text", F.coalesce(first_words(F.when(F.col("_cut"), F.col("text")), words), F.col("text")))
-    return rows.select(*docs.columns)
+    return rows.select("row.*", "text").select(*[f"`{c}`" for c in docs.columns])
 

@@ -70,7 +70,7 @@ FROM marked GROUP BY r"""
 
 @query("op4_line_dedup", LINES_SQL)
 def op4(spark, sf):
-    return line_dedup.dedup_lines(table(spark, sf, "documents"), least=10).select(
+    return line_dedup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"), least=10).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
@@ -82,7 +82,7 @@ FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents)"""
 
 @query("op7_exact_dedup", COPIES_SQL)
 def op7(spark, sf):
-    return exact_dedup.mark_duplicates(table(spark, sf, "documents")).select(
+    return exact_dedup.mark_duplicates(table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -107,7 +107,7 @@ def op3(spark, sf):
 
 @query("op6_substring_dedup")
 def op6(spark, sf):
-    return substring_dedup.dedup_words(table(spark, sf, "documents"), window=50).select(
+    return substring_dedup.dedup_words(table(spark, sf, "documents").select("doc_id", "text"), window=50).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
@@ -118,6 +118,6 @@ def op5(spark, sf):
 
 @query("op9_suffix_dedup")
 def op9(spark, sf):
-    return suffix_dedup.dedup_bytes(table(spark, sf, "documents"), least=400).select(
+    return suffix_dedup.dedup_bytes(table(spark, sf, "documents").select("doc_id", "text"), least=400).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept_bytes", 256).alias("kept_sha256"))

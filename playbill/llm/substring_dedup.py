@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import boxed, stored
 from .grams import Stretches, Words, slices, window_minimum
 
 WINDOW = 50
@@ -81,9 +81,7 @@ def _within(values, row, n, allowed: list):
 
 def with_key(docs: DataFrame) -> DataFrame:
     """(id, tie, text): rows are told apart by doc_id and a hash of the text."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"),
-                       F.xxhash64(text).alias("tie"), text.alias("text"))
+    return docs.select(*row_key(docs), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def in_many(rows: DataFrame, column: str) -> DataFrame:
@@ -190,8 +188,9 @@ def removal(window: int):
     return work
 
 
-def _row_key(docs: DataFrame) -> tuple[Column, Column]:
-    return F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)), F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+def row_key(docs: DataFrame) -> tuple[Column, Column]:
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("id"), \
+        F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("tie")
 
 
 def dedup_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -203,10 +202,7 @@ def dedup_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     one space.  A null text has no words; a null doc_id comes after all
     others; repeated rows of one doc_id do not remove each other.
     """
-    clean = docs.drop("kept_text", "n_words", "n_removed")
-    gone = repeats(clean, window)
-    i, t = _row_key(clean)
-    base = clean.withColumns({"_id": i, "_tie": t})
-    rows = base.join(gone.withColumnsRenamed({"id": "_i", "tie": "_t"}), (F.col("_id") == F.col("_i")) & (F.col("_tie") == F.col("_t")), "left")
-    out = F.arrow_udf(removal(window), "kept_text string, n_words long, n_removed long")("text", "starts", "copy")
-    return rows.select(*[base[c] for c in clean.columns], out.alias("_r")).select(*clean.columns, "_r.*")
+    gone = repeats(docs.select("doc_id", "text"), window)
+    base = docs.select(boxed(docs, "kept_text", "n_words", "n_removed"), *row_key(docs))
+    out = F.arrow_udf(removal(window), "kept_text string, n_words long, n_removed long")("row.text", "starts", "copy")
+    return base.join(gone, ["id", "tie"], "left").select("row", out.alias("new")).select("row.*", "new.*")

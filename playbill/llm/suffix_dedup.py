@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import repeated_starts
-from .common import stored
+from .common import boxed, stored
 from .grams import byte_stretches, slices, window_minimum
-from .substring_dedup import _row_key, arrays, with_key
+from .substring_dedup import arrays, row_key, with_key
 
 LEAST = 400
 ANCHOR = 64
@@ -236,12 +236,8 @@ def dedup_bytes(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """
     if least < 2 * ANCHOR:
         raise ValueError(f"least must be at least {2 * ANCHOR}")
-    new = ["kept_bytes", "n_bytes", "n_removed", "spans"]
-    clean = docs.drop(*new)
-    gone = repeats(clean, least).withColumnsRenamed({"id": "_i", "tie": "_t", "spans": "_spans", "copy": "_copy"})
-    i, t = _row_key(clean)
-    base = clean.withColumns({"_id": i, "_tie": t})
-    rows = base.join(gone, (F.col("_id") == F.col("_i")) & (F.col("_tie") == F.col("_t")), "left")
+    gone = repeats(docs.select("doc_id", "text"), least)
+    base = docs.select(boxed(docs, "kept_bytes", "n_bytes", "n_removed", "spans"), *row_key(docs))
     kind = "kept_bytes binary, n_bytes long, n_removed long, spans array<struct<from:bigint,to:bigint>>"
-    out = F.arrow_udf(_kept, kind)("text", "_spans", "_copy")
-    return rows.select(*[base[c] for c in clean.columns], out.alias("_r")).select(*clean.columns, "_r.*")
+    out = F.arrow_udf(_kept, kind)("row.text", "spans", "copy")
+    return base.join(gone, ["id", "tie"], "left").select("row", out.alias("new")).select("row.*", "new.*")

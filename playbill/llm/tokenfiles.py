@@ -96,7 +96,7 @@ def decode_segment(raw: bytes) -> list[np.ndarray]:
     sizes = np.frombuffer(raw, np.uint32, n_docs, 16)
     starts = np.frombuffer(raw, np.uint32, n_blocks, 16 + 4 * n_docs).tolist()
     area = 16 + 4 * (n_docs + n_blocks)
-    ends = [*starts[1:], len(raw) - area]
+    ends = [*starts[1:], len(raw) - area][:n_blocks]
     ids = np.concatenate([np.zeros(0, np.uint32)] + [
         decode_block(raw[area + a:area + b]) for a, b in zip(starts, ends, strict=True)])
     assert len(ids) == n_ids
