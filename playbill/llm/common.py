@@ -3,6 +3,7 @@ global order, connected components."""
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -38,7 +39,21 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, and let Spark drop
+    the shuffle files of finished queries."""
+    jvm = tables[0].sparkSession._jvm
+    conf = tables[0].sparkSession._jsc.hadoopConfiguration()
+    for table in tables:
+        path = jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def boxed(docs: DataFrame, *replaced: str) -> Column:

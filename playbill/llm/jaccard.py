@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, stored
+from .common import connected, discard, stored
 from .grams import Stretches, Words, mixed, slices
 
 WIDTH, PERCENT = 5, 80
@@ -100,10 +100,10 @@ def signatures(tokens: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def _longs(arrays: list[np.ndarray]) -> pa.Array:
+def _lists(arrays: list[np.ndarray], kind) -> pa.Array:
     sizes = np.array([0, *map(len, arrays)], np.int64)
-    flat = np.concatenate([np.zeros(0, np.int64), *[a.view(np.int64) if a.dtype == np.uint64 else a for a in arrays]])
-    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(flat, pa.int64()))
+    flat = np.concatenate([np.zeros(0, kind), *[a.view(kind) for a in arrays]])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(flat))
 
 
 def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -115,11 +115,11 @@ def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
             n.append(len(tokens))
             d1.append(int(tokens.sum(dtype=np.uint64).astype(np.int64)))
             d2.append(int(mixed(tokens).sum(dtype=np.uint64).astype(np.int64)))
-            slots.append(slot(tokens[:lacking(len(tokens), percent) + 1]))
+            slots.append(slot(tokens[:lacking(len(tokens), percent) + 1]).astype(np.int32))
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-                                           _longs(slots)], ["n", "d1", "d2", "slots"])
+                                           _lists(slots, np.int32)], ["n", "d1", "d2", "slots"])
 
-    kind = "n long, d1 long, d2 long, slots array<long>"
+    kind = "n long, d1 long, d2 long, slots array<int>"
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.arrow_udf(work, kind)("text").alias("r"))
     return stored(rows.select("id", "r.*"), "profiles")
 
@@ -149,47 +149,62 @@ def signature_rows(docs: DataFrame, frequent: np.ndarray, shift: int, width: int
         for tokens in token_sets(texts, width):
             s = slot(tokens) >> shift
             out.append(np.unique(signatures(tokens, (bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1, percent)))
-        return _longs(out)
+        return _lists(out, np.int64)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.arrow_udf(work, "array<long>")("text").alias("sigs"))
     return stored(rows.filter(F.col("id").isNotNull() & (F.size("sigs") > 0)), "signatures")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, width: int, percent: int) -> DataFrame:
+def _overlap(width: int):
+    """Sizes of two sets and the number of their common tokens."""
+    def work(left: pa.Array, right: pa.Array) -> pa.Array:
+        rows = []
+        for at in range(0, len(left), 128):  # few sets in memory at a time
+            for x, y in zip(token_sets(left.slice(at, 128), width), token_sets(right.slice(at, 128), width), strict=True):
+                rows.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
+        cols = zip(*rows, strict=True) if rows else [[]] * 3
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], ["n_a", "n_b", "common"])
+    return work
+
+
+def verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, width: int, percent: int) -> DataFrame:
     """``pairs`` (a, b) with both sizes and the number of shared tokens.
-    Pairs whose sizes rule the similarity out are dropped first."""
+    Pairs whose sizes rule the similarity out are dropped first.
+
+    Texts travel, which take half the room of their sets."""
     a, b = (sizes.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
     fit = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    pairs = stored(pairs.join(a, "a").join(b, "b").filter(fit).select("a", "b", "n_a", "n_b").distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = F.arrow_udf(lambda t: _longs(list(token_sets(t, width))), "array<long>")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(asked, "id")
-    rows = stored(rows.select("id", sets("text").alias("s")), "sets")
-    left, right = rows.select(F.col("id").alias("a"), F.col("s").alias("sa")), \
-        rows.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").filter((F.size("sa") == F.col("n_a")) & (F.size("sb") == F.col("n_b")))
-    return stored(both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("common")),
-                  "verified")
+    pairs = pairs.join(a, "a").join(b, "b").filter(fit).select("a", "b").distinct()
+    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b") \
+        .join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    out = F.arrow_udf(_overlap(width), "n_a long, n_b long, common long")("ta", "tb")
+    return stored(both.select("a", "b", out.alias("r")).select("a", "b", "r.*"), "verified")
 
 
 def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(sets, edges): profiles of all rows, and links (a, b) that connect
     exactly the documents that similar pairs connect."""
-    found = profiles(docs, width, percent)
-    sizes = found.filter("id is not null and n > 0").select("id", "n", "d1", "d2").distinct()
+    rows = profiles(docs, width, percent)
+    found = stored(rows.drop("slots"), "sizes")
+    frequent, shift = frequent_slots(rows)
+    discard(rows)
+    sizes = found.filter("id is not null and n > 0").distinct()
     # equal sets: linked to the smallest id, and not verified
     first = sizes.groupBy("n", "d1", "d2").agg(F.min("id").alias("b"))
     copies = stored(sizes.join(first, ["n", "d1", "d2"]).filter("id > b").select(F.col("id").alias("a"), "b"), "copies")
-    frequent, shift = frequent_slots(found)
     sigs = signature_rows(docs, frequent, shift, width, percent)
     members = sigs.select("id", F.explode("sigs").alias("sig"))
     pivots = members.groupBy("sig").agg(F.min("id").alias("p"), F.max("id").alias("last")).filter("p < last")
+    pivots = stored(pivots, "pivots")  # on its own, so that a join on a hot signature can be split
     # copies have all signatures of their first, so no pivot is a copy
     grouped = members.join(pivots.select("sig", "p"), "sig")
     grouped = grouped.join(copies.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
     grouped = stored(grouped.select("sig", "p", "id"), "grouped")
+    discard(sigs)
+    asked = grouped.select("id").distinct()
+    texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(asked, "id"), "texts")
     pairs = grouped.filter("id > p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
-    near = verified(pairs, docs, sizes, width, percent)
+    near = verified(pairs, texts, sizes, width, percent)
     linked = F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent
     edges = near.filter(linked).select("a", "b")
 
@@ -231,7 +246,7 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     edges = edges.unionByName(copies)
     more = stored(more, "more")
     if not more.isEmpty():
-        edges = edges.unionByName(verified(more, docs, sizes, width, percent).filter(linked).select("a", "b"))
+        edges = edges.unionByName(verified(more, texts, sizes, width, percent).filter(linked).select("a", "b"))
     return found, edges
 
 

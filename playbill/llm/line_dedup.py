@@ -136,7 +136,8 @@ def repeated_lines(docs: DataFrame, least: int = MIN_CHARS, max_bits: int = MAX_
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     found = stored(docs.select(ids.alias("id"), "text").mapInArrow(suspects, "id long, key binary"), "suspects")
     first = found.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    lost = found.join(first.select("key", "first"), "key").filter("id > first")
+    first = stored(first.select("key", "first"), "repeated")  # on its own, so that a join on a hot line can be split
+    lost = found.join(first, "key").filter("id > first")
     return lost.groupBy("id").agg(F.collect_set("key").alias("keys"))
 
 

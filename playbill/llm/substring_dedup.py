@@ -88,6 +88,7 @@ def in_many(rows: DataFrame, column: str) -> DataFrame:
     """(id, tie, kept): of the hashes in ``column`` those that two ids hold."""
     each = rows.select("id", "tie", F.explode(column).alias("h"))
     many = each.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("h")
+    many = stored(many, "many")  # on its own, so that a join on a hot window can be split
     return each.join(many, "h").groupBy("id", "tie").agg(F.collect_set("h").alias("kept"))
 
 
@@ -157,7 +158,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     full = stored(some.select("id", "tie", full.alias("r")).select("id", "tie", "r.*"), "level3")
     each = full.select("id", "tie", F.explode(F.arrays_zip("starts", "h1", "h2")).alias("w")).select("id", "tie", "w.*")
     least = each.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    lost = each.join(least.drop("last"), ["h1", "h2"]).filter("id > first") \
+    lost = each.join(stored(least.drop("last"), "least"), ["h1", "h2"]).filter("id > first") \
         .groupBy("id", "tie").agg(F.collect_set("starts").alias("starts"))
     nothing = F.lit(None).cast("array<long>")
     return lost.withColumn("copy", F.lit(False)).unionByName(

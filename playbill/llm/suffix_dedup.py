@@ -163,7 +163,7 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     pool = found.filter(F.size("anchors") > 0).select("id", "tie", "anchors").dropDuplicates(["id", "tie"]) \
         .join(others, ["id", "tie"], "left_anti")
     each = pool.select("id", "tie", F.explode("anchors").alias("anchor"))
-    many = each.groupBy("anchor").count().filter("count > 1").select("anchor")
+    many = stored(each.groupBy("anchor").count().filter("count > 1").select("anchor"), "many")
     allowed = each.join(many, "anchor").groupBy("id", "tie").agg(F.collect_set("anchor").alias("allowed"))
     allowed = stored(allowed, "anchors")
     texts = rows.dropDuplicates(["id", "tie"]) if _repeated(found) else rows
@@ -179,6 +179,7 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
         "id", "tie", F.col("begin").alias("from"), (F.col("begin") + F.col("count") + least - 1).alias("to"))
     mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("times").alias("least")) \
         .filter("n > 1 and least = 1").select("anchor")
+    mixed = stored(mixed, "mixed")
     asked = kinds.join(mixed, "anchor").select("anchor", (F.col("times") == 1).alias("once"), "first.*")
     wanted = asked.groupBy("id", "tie").agg(F.collect_list(F.struct("anchor", "once", "begin", "count")).alias("places"))
     raw = F.arrow_udf(cut_out(least), "array<binary>")("text", "places")
