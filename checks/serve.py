@@ -201,10 +201,10 @@ def cls_7(spark, sf):
 
 @check("jn_16_caches", _LISTING + """, v AS (SELECT doc_id, CASE quality WHEN 1 THEN 'idol' ELSE 'k-pop' END AS genre FROM labels)
 SELECT id AS event_id, genre FROM listing JOIN v ON k = doc_id UNION ALL
-SELECT id, 'new' FROM listing WHERE k % 50 = 1 AND k NOT IN (SELECT doc_id FROM labels)""")
+SELECT id, 'new' FROM listing WHERE k NOT IN (SELECT doc_id FROM labels)""")
 def jn_16(spark, sf):
     cache = genre_cache(spark, sf)
-    fresh = listing(spark, sf).filter("k % 50 = 1").join(
+    fresh = listing(spark, sf).join(
         table(spark, sf, "labels"), F.col("k") == F.col("doc_id"), "left_anti") \
         .selectExpr("id event_id", "array('new') genres")
     return classify.upsert_cache(cache, fresh).select("event_id", F.col("genres")[0].alias("genre"))
@@ -247,7 +247,7 @@ def win_3(spark, sf):
 
 @check("win_1_budget", _TRIES + f""", t AS (
   SELECT source, source_url, id, 1 AS tier, source_url AS o FROM staged
-    WHERE start_date BETWEEN {DAY} AND DATE '1998-06-20' AND (len(link_urls) = 0 OR start_time IS NULL OR price_min IS NULL)
+    WHERE start_date >= {DAY} AND (len(link_urls) = 0 OR start_time IS NULL OR price_min IS NULL)
   UNION ALL SELECT source, source_url, id, 2, CAST(start_date AS VARCHAR) FROM ({_BACKLOG})
   UNION ALL SELECT source, source_url, id, 3, CAST(start_date AS VARCHAR) FROM ({_RECHECK})), f AS (
   SELECT source, source_url, arg_min(id, (tier, o, id)) AS id, min(tier) AS tier, arg_min(o, (tier, o, id)) AS o FROM t GROUP BY ALL),
@@ -255,8 +255,7 @@ def win_3(spark, sf):
 SELECT source, id, tier, queue_pos FROM r WHERE queue_pos <= 40""")
 def win_1(spark, sf):
     rows = staged(spark, sf)
-    fresh = rows.withColumn("outcome", F.when(F.col("start_date").between(
-        as_of(), F.lit("1998-06-20").cast("date")), "new"))
+    fresh = rows.withColumn("outcome", F.when(F.col("start_date") >= as_of(), "new"))
     by_date = [F.col("start_date"), F.col("id")]
     queue = workqueue.work_queue((
         (workqueue.fresh_work(fresh), [F.col("source_url"), F.col("id")]),
@@ -340,22 +339,28 @@ def agg_1(spark, sf):
     return quality.run_counters(merged(spark, sf)).drop("details")
 
 
+#: a supplier's month is a source; the supplier itself has no rows
+MONTHLY = "concat('s', l_suppkey, '_', date_format(l_shipdate, 'yyyyMM'))"
+
+
 def source_rows(spark, sf):
-    return table(spark, sf, "supplier").selectExpr("concat('s', s_suppkey) source", "s_suppkey % 5 = 0 allow_empty",
-                                                   "s_suppkey % 3 > 0 supports_detail", "'pending' default_status")
+    own = table(spark, sf, "supplier").selectExpr("concat('s', s_suppkey) source", "s_suppkey k")
+    monthly = table(spark, sf, "lineitem").selectExpr(f"{MONTHLY} source", "l_suppkey k").distinct()
+    return own.unionByName(monthly).selectExpr("source", "k % 5 = 0 allow_empty", "k % 3 > 0 supports_detail",
+                                               "'pending' default_status")
 
 
-_ERRORS = """WITH c AS (SELECT 's' || l_suppkey AS source, count(*) AS found, count(*) FILTER (l_returnflag = 'A') AS ok,
-    count(*) FILTER (l_returnflag <> 'A') AS bad FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-02-01' GROUP BY 1), r AS (
-  SELECT 's' || s_suppkey AS source, s_suppkey % 5 = 0 AS allow_empty, coalesce(found, 0) AS found, coalesce(ok, 0) AS ok,
-    coalesce(bad, 0) AS bad FROM supplier LEFT JOIN c ON c.source = 's' || s_suppkey), e AS (
+_ERRORS = """WITH c AS (SELECT 's' || l_suppkey || '_' || strftime(l_shipdate, '%Y%m') AS source, l_suppkey, count(*) AS found, count(*) FILTER (l_returnflag = 'A') AS ok,
+    count(*) FILTER (l_returnflag <> 'A') AS bad FROM lineitem GROUP BY ALL), r AS (
+  SELECT 's' || s_suppkey AS source, s_suppkey % 5 = 0 AS allow_empty, 0 AS found, 0 AS ok, 0 AS bad FROM supplier
+  UNION ALL SELECT source, l_suppkey % 5 = 0, found, ok, bad FROM c), e AS (
   SELECT *, CASE WHEN found = 0 AND NOT allow_empty THEN '0 events parsed — site structure may have changed'
     WHEN bad >= 3 AND ok = 0 THEN 'detail pass failed for all ' || bad || ' attempted pages' END AS error FROM r)"""
 
 
 def error_rows(spark, sf):
-    fetched = table(spark, sf, "lineitem").filter("l_shipdate < timestamp_ntz'1995-02-01'").selectExpr(
-        "concat('s', l_suppkey) source", "l_returnflag = 'A' ok", "'unchanged' outcome")
+    fetched = table(spark, sf, "lineitem").selectExpr(
+        f"{MONTHLY} source", "l_returnflag = 'A' ok", "'unchanged' outcome")
     return quality.run_errors(source_rows(spark, sf), quality.run_counters(fetched, fetched))
 
 

@@ -17,7 +17,7 @@ MONTH_DAY = (r"(?iU)(\d{1,2})\s*[./]\s*(\d{1,2})\s*[(（]?"
              r"(sun|mon|tue|wed|thu|fri|sat|日|月|火|水|木|金|土)")
 #: year optional; kanji, dotted and slash forms of one range hit
 RANGE_FORMS = {
-    "kanji": r"(?U)(?:(20\d{2})年)?\s*(\d{1,2})月\s*(\d{1,2})日",
+    "kanji": r"(?U)(?:(20\d{2})\s*年)?\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日",
     "dotted": r"(?U)(?:(20\d{2})\.)?\s*(\d{1,2})\.\s*(\d{1,2})(?!\d)",
     "slash": r"(?U)(?:(20\d{2})/)?(\d{1,2})/(\d{1,2})(?!\d)",
 }

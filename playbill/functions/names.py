@@ -35,14 +35,15 @@ def best_title(heading: Column, text: Column, marker: str) -> Column:
 @dataclass(frozen=True)
 class LineupPolicy:
     """How one site prints a bill: separators, labels that act as
-    separators, prefixes to drop, entries to drop, longest name, most names."""
+    separators, prefixes to drop, entries to drop, and, where a site needs them, the longest
+    name and the most names that count."""
 
     separators: str = r"[/／\n]"
     section_label: str | None = None
     label_prefix: str = r"(?iu)^(?:special\s*guest|guest|ゲスト|opening\s*act|出演者?)\s*[:：]\s*"
     drop: str = r"(?iu)^[＜<][^＞>]*[＞>]$|^(?:TBA|TBD|COMING SOON|AND MORE|他|ほか|MC)$"
-    longest: int = 40
-    most: int = 40
+    longest: int | None = None
+    most: int | None = None
     trim: str = " 　・,、"
 
 
@@ -55,9 +56,10 @@ def split_lineup(text: Column, policy: LineupPolicy = LineupPolicy()) -> Column:
         F.split(work, policy.separators),
         lambda n: strip_chars(F.regexp_replace(
             strip_chars(squeeze(n), policy.trim), policy.label_prefix, ""), policy.trim))
-    names = F.filter(names, lambda n: (n != "") & (F.length(n) <= policy.longest)
-                     & ~n.rlike(policy.drop))
-    return F.slice(F.array_distinct(names), 1, policy.most)
+    names = F.array_distinct(F.filter(names, lambda n: (n != "") & ~n.rlike(policy.drop)))
+    if policy.longest is not None:
+        names = F.filter(names, lambda n: F.length(n) <= policy.longest)
+    return names if policy.most is None else F.slice(names, 1, policy.most)
 
 
 def clean_artist(raw: Column) -> Column:

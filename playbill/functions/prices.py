@@ -31,7 +31,6 @@ ADULT_THEN_PRICE = r"一般[^0-9]{0,12}([0-9][0-9,，]{2,6})\s*円?"
 PRICE_THEN_ADULT = r"([0-9][0-9,，]{2,6})\s*円\s*[（(]\s*一般"
 ANY_ADMISSION = r"([0-9][0-9,，]{2,6})\s*円"
 FREE_ADMISSION = r"(?:入場|入館|観覧)無料"
-PRICE_TEXT_CHARS = 300
 
 PRICE_TYPE = "struct<price_text:string,price_min:int,is_free:boolean>"
 
@@ -61,7 +60,7 @@ def price_floor(text: Column) -> Column:
     and every suffixed one of at least 300; all null without an amount."""
     prefixed = _amounts(all_groups(text, YEN_PREFIX))
     suffixed = F.filter(_amounts(all_groups(text, YEN_SUFFIX)), lambda v: v >= SUFFIX_FLOOR)
-    shown = F.substring(squeeze(text), 1, PRICE_TEXT_CHARS)
+    shown = squeeze(text)
     return let(F.array_min(F.concat(prefixed, suffixed)), lambda floor: F.when(
         floor.isNotNull(), price_struct(shown, floor, floor == 0)))
 
@@ -152,7 +151,7 @@ def _read_lines(lines: Column, policy: PricePolicy) -> Column:
             other = _amounts(all_groups(body, policy.fallback, 1))
             found = F.when(F.size(found) > 0, found).otherwise(other)
     floor = F.try_element_at(found, F.lit(1)) if policy.first_only else F.array_min(found)
-    shown = F.substring(squeeze(body), 1, PRICE_TEXT_CHARS)
+    shown = squeeze(body)
 
     def verdict(floor: Column) -> Column:
         out = F.when(floor.isNotNull(), price_struct(shown, floor, floor == 0))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from playbill.operators.ranking import null_safe_join
 from playbill.session import BROADCAST_ROWS
 
+#: characters of a piece
 PIECE = 3
 
 
@@ -40,10 +41,24 @@ def _only_wanted(in_hay: DataFrame, in_needle: DataFrame) -> DataFrame:
 
 def contained_pairs(needles: DataFrame, hays: DataFrame, group: Sequence[str],
                     needle: str = "needle", hay: str = "hay",
-                    size: int = PIECE) -> DataFrame:
+                    size: int = PIECE, shortest: int = PIECE) -> DataFrame:
     """Distinct (group, needle, hay) with the needle inside the hay of the
-    same group.  Needles shorter than ``size`` are not searched for."""
+    same group.  Needles shorter than ``shortest`` are not searched for; one
+    shorter than ``size`` is a piece itself and is looked up as such."""
     group = list(group)
+    found = _long_pairs(needles, hays, group, needle, hay, size)
+    for length in range(shortest, size):
+        short = needles.select(*group, needle).distinct().filter(F.length(needle) == length)
+        texts = hays.select(*group, hay).distinct()
+        if group:
+            texts = null_safe_join(texts, short.select(*group).distinct(), group, "left_semi")
+        held = texts.select(*group, hay, F.explode(pieces(F.col(hay), length)).alias(needle))
+        found = found.unionByName(null_safe_join(held, short, [*group, needle], "inner").select(*group, needle, hay))
+    return found
+
+
+def _long_pairs(needles: DataFrame, hays: DataFrame, group: list[str], needle: str, hay: str,
+                size: int) -> DataFrame:
     wanted = needles.select(*group, needle).distinct().filter(F.length(needle) >= size)
     texts = hays.select(*group, hay).distinct()
     if group:

@@ -21,8 +21,11 @@ def collapse_batch(batch: DataFrame, order: Column,
     """One row per key out of several observations in a batch, as if they had
     been merged one after the other: the last value of every field, the last
     filled value of a detail field, and a latched sold-out flag.  All parts
-    are combinable aggregates, so copies collapse before the shuffle."""
+    are combinable aggregates, so copies collapse before the shuffle.
+    Observations of one moment are ordered by a hash of their fields, so the
+    result does not depend on the order of arrival."""
     fields = [f for f in batch.columns if f not in keys]
+    order = F.struct(order.alias("at"), F.xxhash64(*fields).alias("tie"))
     aggs = []
     for f in fields:
         if f == "is_sold_out":

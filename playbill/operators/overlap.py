@@ -95,14 +95,14 @@ def fold_into(targets: DataFrame, folds: DataFrame) -> DataFrame:
     first filler in order.  All fillers are combinable aggregates; the link
     list is bounded by the distinct URLs of one show.
     """
-    link = F.explode_outer("ticket_links")
+    link = F.posexplode_outer("ticket_links").alias("_pos", "_l")
     firsts = [F.min_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("ord"))).alias(f"_f_{f}")
               for f in FILLS]
     fills = folds.groupBy("target_id").agg(
         F.bool_or("is_sold_out").alias("_f_sold"), F.count(F.lit(1)).alias("folded"), *firsts)
-    urls = folds.select("target_id", "ord", link.alias("_l")).filter("_l.url is not null") \
-        .groupBy("target_id", "_l.url").agg(
-            F.min_by("_l", "ord").alias("_l"), F.min("ord").alias("_at")) \
+    at = F.struct("ord", "_pos")  # as printed, row by row
+    urls = folds.select("target_id", "ord", link).filter("_l.url is not null") \
+        .groupBy("target_id", "_l.url").agg(F.min_by("_l", at).alias("_l"), F.min(at).alias("_at")) \
         .groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct("_at", "_l")))
                                   .alias("_links"))
     fills = fills.join(urls, "target_id", "left")
@@ -273,7 +273,7 @@ def festival_duplicates(rows: DataFrame, days: DataFrame, hosts: DataFrame,
     texts = rows.select("id", "source", "venue_key", F.col("start_date").alias("day"),
                         title.alias("hay"))
     named = contained_pairs(days.select("day", F.col("name").alias("needle")),
-                            texts.select("day", "hay"), ["day"])
+                            texts.select("day", "hay"), ["day"], shortest=1)
     open_days = days.select("day", F.col("venue_key").alias("festival_key"),
                             F.col("name").alias("needle"))
     at = named.join(open_days, ["day", "needle"]).join(

@@ -263,7 +263,10 @@ def matching_leg(events: DataFrame, sections: DataFrame, page_id: str) -> DataFr
     padded, short = F.date_format(d, "yyyy/MM/dd"), F.date_format(d, "yyyy/M/d")
     venue = squeeze(F.coalesce("venue_name", F.lit("")))
     joined = events.join(sections, page_id, "left")
-    named = F.coalesce(F.contains("block", padded) | F.contains("block", short), F.lit(False)) \
+    def day(text):  # not the beginning of a later day
+        return F.regexp_like("block", F.concat(text, F.lit(r"(?!\d)")))
+
+    named = F.coalesce(day(padded) | day(short), F.lit(False)) \
         | F.coalesce((venue != "") & F.contains("block", venue), F.lit(False))
     return first_per_key(joined.withColumn("_miss", ~named), ["id"],
                          [F.col("_miss"), F.col("pos")]).drop("_miss")

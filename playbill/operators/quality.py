@@ -71,7 +71,7 @@ def failure_report(health: DataFrame) -> DataFrame:
     lines = F.array(
         F.concat(F.lit("### `"), F.col("source"), F.lit("`")),
         F.format_string("found=%d new=%d changed=%d", "found", "new", "changed"),
-        F.substring(F.trim("error"), 1, 1500))
+        F.trim("error"))
     return failed_sources(health).select("source", F.posexplode(lines).alias("part", "line"))
 
 
