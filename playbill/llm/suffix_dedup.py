@@ -14,8 +14,9 @@ one anchor at one place are a stretch; stretches are gathered thus:
    are dealt to tasks, which find shared prefixes of ``least`` bytes by
    interval expansion on the transform (``bwt``).
 
-An anchor with very many stretches is dealt again by a second anchor, chosen
-by another hash, of every string.
+An anchor with more than MANY different stretches would make one task too
+large.  Its strings are compared one by one instead, by a 128-bit hash that
+combines before it is shuffled.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ LEAST = 400
 ANCHOR = 64
 #: bytes of stretches one transform takes; a larger anchor group is taken alone
 TASK_BYTES = 1 << 21
+#: different stretches of one anchor that go to one task
+MANY = 20_000
 
 
 class Runs:
@@ -115,6 +118,24 @@ def cut_out(least: int):
     return work
 
 
+def single_strings(least: int):
+    """Begin and 128-bit hash of every string of the stretches asked for."""
+    def work(texts: pa.Array, wanted: pa.Array) -> pa.Array:
+        wanted = wanted.to_pylist()
+        cols = [[] for _ in range(4)]
+        for at, data, off in slices(texts):
+            lanes = byte_stretches(data, 0), byte_stretches(data, 1)
+            for k in range(len(off) - 1):
+                places = wanted[at + k]
+                begin = np.concatenate([np.zeros(0, np.int64), *[p["begin"] + np.arange(p["count"]) for p in places]])
+                once = np.concatenate([np.zeros(0, np.int64), *[np.full(p["count"], p["once"], np.int64) for p in places]])
+                s = begin + off[k]
+                for col, v in zip(cols, (begin, once, *(x.hash(s, s + least) for x in lanes)), strict=True):
+                    col.append(v)
+        return pa.StructArray.from_arrays([arrays(c) for c in cols], ["begin", "once", "h1", "h2"])
+    return work
+
+
 def expand(least: int, task_bytes: int = TASK_BYTES):
     """Over rows sorted by anchor: runs of repeated starts of stretches.
     Whole anchor groups are gathered up to ``task_bytes`` for a transform."""
@@ -177,18 +198,29 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     kinds = stored(kinds, "kinds")
     equal = cut.join(kinds.filter("times > 1").select("anchor", "g1", "g2"), ["anchor", "g1", "g2"]).select(
         "id", "tie", F.col("begin").alias("from"), (F.col("begin") + F.col("count") + least - 1).alias("to"))
-    mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("times").alias("least")) \
-        .filter("n > 1 and least = 1").select("anchor")
-    mixed = stored(mixed, "mixed")
-    asked = kinds.join(mixed, "anchor").select("anchor", (F.col("times") == 1).alias("once"), "first.*")
-    wanted = asked.groupBy("id", "tie").agg(F.collect_list(F.struct("anchor", "once", "begin", "count")).alias("places"))
+    groups = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("times").alias("least"))
+    groups = stored(groups.filter("n > 1 and least = 1").select("anchor", (F.col("n") > MANY).alias("large")), "groups")
+    asked = stored(kinds.join(groups, "anchor").select("anchor", "large", (F.col("times") == 1).alias("once"), "first.*"), "asked")
+
+    def of(large: bool):
+        places = F.collect_list(F.struct("anchor", "once", "begin", "count")).alias("places")
+        return texts.join(asked.filter(F.col("large") == large).groupBy("id", "tie").agg(places), ["id", "tie"])
+
     raw = F.arrow_udf(cut_out(least), "array<binary>")("text", "places")
-    parts = texts.join(wanted, ["id", "tie"]).select("id", "tie", "places", raw.alias("raw"))
+    parts = of(False).select("id", "tie", "places", raw.alias("raw"))
     parts = parts.select("id", "tie", F.explode(F.arrays_zip("places", "raw")).alias("p")).select(
         "p.places.anchor", "p.places.once", "id", "tie", "p.places.begin", "p.raw")
     part = parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
         expand(least), "id long, tie long, from long, to long")
     part = stored(part, "runs")
+    if not groups.filter("large").isEmpty():
+        kind = ", ".join(f"{c} array<long>" for c in ("begin", "once", "h1", "h2"))
+        single = F.arrow_udf(single_strings(least), kind)("text", "places")
+        single = stored(of(True).select("id", "tie", single.alias("r")).select("id", "tie", "r.*"), "strings")
+        single = single.select("id", "tie", F.explode(F.arrays_zip("begin", "once", "h1", "h2")).alias("s")).select("id", "tie", "s.*")
+        several = stored(single.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2"), "several")
+        part = part.unionByName(single.filter("once = 1").join(several, ["h1", "h2"]).select(
+            "id", "tie", F.col("begin").alias("from"), (F.col("begin") + least).alias("to")))
     spans = equal.unionByName(part).groupBy("id", "tie").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     nothing = F.lit(None).cast("array<struct<from:bigint,to:bigint>>")
     spans = spans.join(copies.select("id", "tie").distinct(), ["id", "tie"], "left_anti")

@@ -119,7 +119,9 @@ def test_substring_dedup(docs, rows, none):
     assert substring_dedup.dedup_words(none).count() == 0
 
 
-def test_suffix_dedup(docs, rows, none):
+@pytest.mark.parametrize("many", [20_000, 2])
+def test_suffix_dedup(docs, rows, none, monkeypatch, many):
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
     want = brute.substrings([(LAST if r[0] is None else r[0], r[1]) for r in rows], 400)
     got = suffix_dedup.dedup_bytes(docs).select(F.coalesce("doc_id", F.lit(LAST)), "n_bytes", "n_removed",
                                                 F.size("spans"), F.sha2("kept_bytes", 256))
