@@ -689,7 +689,7 @@ def str_1(spark, sf):
     def drop(rows, hour):
         rows.drop("k", "id", "content_hash", "status", "first_seen", "last_seen", "updated_at").withColumn(
             "observed_at", F.lit(f"1998-06-01 0{hour}:00:00").cast("timestamp")) \
-            .coalesce(1).write.mode("append").parquet(feed_dir)
+            .write.mode("append").parquet(feed_dir)
         rows_in = ingest.read_observations(spark, feed_dir)
         ingest.ingest(rows_in, root, state).awaitTermination()
 
