@@ -344,7 +344,33 @@ def jn_9(spark, sf):
         "k", "is_sold_out", "start_time", "price_min", "is_free", F.size("ticket_links").alias("n_links"), "folded")
 
 
-@check("jn_10_promoter_fold")
+def fold_sql(rows: str) -> str:
+    """CTEs that fold the promoter rows named by the query ``rows`` (column k)
+    in order of k: ``folded`` (k, home), home null for rows that stay."""
+    return f""", open_rows AS ({rows}), look AS (
+  SELECT p.*, l.source FROM parts p JOIN open_rows USING (k) JOIN listing l USING (k)), earlier AS (
+  SELECT a.k, list(DISTINCT b.k) AS ov FROM look a JOIN look b
+    ON a.start_date = b.start_date AND a.venue_key = b.venue_key AND b.k < a.k AND CASE WHEN a.source = b.source
+      THEN a.is_title AND b.is_title AND (length(a.part) >= 4 AND contains(b.part, a.part)
+        OR length(b.part) >= 4 AND contains(a.part, b.part))
+      ELSE length(a.part) >= 3 AND contains(b.part, a.part)
+        OR length(b.part) >= CASE WHEN b.is_title THEN 4 ELSE 3 END AND contains(a.part, b.part) END GROUP BY a.k), turn AS (
+  SELECT k, start_time AS t, coalesce(ov, []) AS ov, start_date || venue_name AS g,
+    row_number() OVER (PARTITION BY start_date, venue_name ORDER BY k) AS n
+  FROM listing JOIN open_rows USING (k) LEFT JOIN earlier USING (k)), folded AS (
+  SELECT g, 0::BIGINT AS n, CAST([] AS STRUCT(k BIGINT, t VARCHAR)[]) AS kept, NULL::BIGINT AS k, NULL::BIGINT AS home
+  FROM (SELECT DISTINCT g FROM turn)
+  UNION ALL SELECT g, n, CASE WHEN home IS NULL THEN list_append(kept, {{'k': k, 't': t}}) ELSE list_transform(kept, lambda x:
+      CASE WHEN x.k = home THEN {{'k': x.k, 't': coalesce(x.t, t)}} ELSE x END) END, k, home FROM (
+    SELECT r.g, r.n, f.kept, r.k, r.t, list_filter(f.kept, lambda x: list_contains(r.ov, x.k)
+      AND (x.t IS NULL OR r.t IS NULL OR x.t = r.t))[1].k AS home FROM folded f JOIN turn r ON r.g = f.g AND r.n = f.n + 1))"""
+
+
+_RECURSIVE_PARTS = _PARTS_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@check("jn_10_promoter_fold", _RECURSIVE_PARTS + fold_sql("SELECT k FROM listing WHERE source LIKE 'promo%'") + """
+SELECT k AS id, home AS target_id FROM folded WHERE home IS NOT NULL""")
 def jn_10(spark, sf):
     rows = keyed_by_number(spark, sf).filter(F.col("source").isin(*PROMOTERS))
     return overlap.fold_promoters(rows).select("id", "target_id")

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from checks.base import (LISTING_SQL, ORACLES, PROMOTERS, QUERIES, STAGED_SQL, as_of, check, listing, now, registry,
                          staged, table, texts)
-from checks.entity import _BATCH_SQL, keyed, keyed_by_number, merged, stored_and_batch
+from checks.entity import _BATCH_SQL, _RECURSIVE_PARTS, festival_hosts, fold_sql, keyed, keyed_by_number, merged, stored_and_batch
 from playbill.functions import dates, flags
 from playbill.operators import classify, overlap, quality, ranking, select, workqueue
 from playbill.sinks import calendar, feed, lines, runs
-from playbill.sources import dims, editions, feeds, pages as page_source, staged as stage_source
+from playbill.sources import editions, feeds, pages as page_source, staged as stage_source
 from playbill.streaming import ingest
 
 _STAGED = "WITH " + STAGED_SQL
@@ -407,12 +407,15 @@ def agg_7b(spark, sf):
 
 
 def fates(spark, sf):
+    """The listing and one festival per part type in the first quarter of 1995."""
+    festivals = table(spark, sf, "part").selectExpr("p_type venue_name").distinct().selectExpr(
+        "-1 - row_number() over (order by venue_name) k", "'festivals' source", "venue_name", "concat('f_', venue_name) venue_key",
+        "date'1995-01-01' start_date", "date'1995-03-31' end_date", "false is_sold_out") \
+        .withColumns({"id": F.col("k"), "ord": F.col("k")})
     rows = keyed_by_number(spark, sf)
-    return overlap.merge_promoters(rows, PROMOTERS, "festivals", dims_hosts(spark))
-
-
-def dims_hosts(spark):
-    return spark.createDataFrame([("f", "hall_1")], dims.HOSTS)
+    rows = rows.unionByName(festivals.select(*[F.col(c).cast(t) for c, t in rows.select(*festivals.columns).dtypes]),
+                            allowMissingColumns=True)
+    return overlap.merge_promoters(rows, PROMOTERS, "festivals", festival_hosts(spark, sf))
 
 
 @check("agg_8_duplicate_classes", ORACLES["jn_20_duplicate_groups"].replace("\nSELECT CAST(g.start_date", ", cl AS (SELECT CAST(g.start_date")
@@ -421,7 +424,16 @@ def agg_8(spark, sf):
     return QUERIES["jn_20_duplicate_groups"](spark, sf).groupBy("class").agg(F.count(F.lit(1)).alias("groups"))
 
 
-@check("agg_9_fates")
+@check("agg_9_fates", _RECURSIVE_PARTS + """, dup AS (SELECT k FROM listing
+    WHERE start_date BETWEEN DATE '1995-01-01' AND DATE '1995-03-31' AND EXISTS (SELECT 1 FROM (SELECT DISTINCT p_type FROM part)
+      WHERE contains(lower(title_ja), lower(p_type)) AND (source LIKE 'promo%' OR venue_name = 'Hall ' || (1 + (2 + length(p_type)) % 5)))),
+  seen AS (SELECT DISTINCT promo_k AS k FROM overlap WHERE promo_k NOT IN (SELECT k FROM dup))"""
+       + fold_sql("""SELECT k FROM listing WHERE source LIKE 'promo%' AND k NOT IN (SELECT k FROM dup)
+  AND k NOT IN (SELECT k FROM seen)""") + """, all_fates AS (
+  SELECT CASE WHEN k IN (SELECT k FROM dup) THEN 'festival' WHEN k IN (SELECT k FROM seen) THEN 'venue'
+    WHEN k IN (SELECT k FROM folded WHERE home IS NOT NULL) THEN 'promoter' ELSE 'kept' END AS fate FROM listing
+  UNION ALL SELECT 'kept' FROM (SELECT DISTINCT p_type FROM part))
+SELECT fate, count(*) AS rows FROM all_fates GROUP BY fate""")
 def agg_9(spark, sf):
     return quality.merge_counters(fates(spark, sf)[1])
 
