@@ -14,10 +14,11 @@ Whether a token is frequent is read off a bit map of hash slots: any function
 of the token serves, as long as all documents use the same.
 
 Signatures with a single document fall away.  Of the others, members are first
-verified against the smallest id, so a group of thousands of copies costs
-thousands of pairs.  What is left to compare is limited by the triangle
-inequality of Jaccard distance: only members of different components whose
-distances to the smallest member differ by no more than the radius.
+verified against the smallest id, then against the members with most links so
+far, so a group of thousands of copies costs thousands of pairs.  Groups that
+one component covers are done.  What is left to compare is limited by the
+triangle inequality of Jaccard distance: only members of different components
+whose distances to the smallest member differ by no more than the radius.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ SLOT_BITS = 30
 FREQUENT = 32
 #: frequent tokens per group, in a document that has no others
 PER_GROUP = 64
+#: members every open group is compared with, after the smallest
+PIVOTS = 2
 
 
 def token_sets(texts: pa.Array, width: int):
@@ -203,21 +206,37 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     discard(sigs)
     asked = grouped.select("id").distinct()
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(asked, "id"), "texts")
-    pairs = grouped.filter("id > p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
-    near = verified(pairs, texts, sizes, width, percent)
+    discard(pivots)
     linked = F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent
-    edges = near.filter(linked).select("a", "b")
-
-    # groups that one component covers are done
-    label = stored(connected(edges, "edges"), "labels")
-    state = grouped.join(label.withColumnsRenamed({"node": "id", "root": "c"}), "id", "left") \
-        .withColumn("c", F.coalesce("c", "id"))
-    open_ = state.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("sig")
+    near = verified(grouped.filter("id > p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct(),
+                    texts, sizes, width, percent)
+    edges = near.filter(linked).select("a", "b").unionByName(copies)
+    used = grouped.select("sig", F.col("p").alias("id")).distinct()
+    for more_pivots in (True,) * PIVOTS + (False,):
+        # groups that one component covers are done
+        label = stored(connected(edges, "edges"), "labels")
+        state = grouped.join(label.withColumnsRenamed({"node": "id", "root": "c"}), "id", "left") \
+            .withColumn("c", F.coalesce("c", "id"))
+        open_ = stored(state.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("sig"), "open")
+        state = stored(state.join(open_, "sig"), "state")
+        if not more_pivots:
+            break
+        # the member with most links so far is the likely centre of its copies
+        ends = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("id")).count()
+        free = state.join(used, ["sig", "id"], "left_anti").join(ends, "id", "left")
+        best = stored(free.groupBy("sig").agg(F.max(F.struct(F.coalesce("count", F.lit(0)), -F.col("id"), "id", "c")).alias("q"))
+                      .select("sig", F.col("q.id").alias("q"), F.col("q.c").alias("cq")), "pivots")
+        pairs = state.join(best, "sig").filter("c <> cq").select(
+            F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b")).distinct()
+        found_now = verified(pairs.join(near.select("a", "b"), ["a", "b"], "left_anti"), texts, sizes, width, percent)
+        near = near.unionByName(found_now)
+        edges = edges.unionByName(found_now.filter(linked).select("a", "b"))
+        used = used.unionByName(best.select("sig", F.col("q").alias("id")))
     apart = 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
     distance = near.groupBy(F.col("a").alias("p"), F.col("b").alias("id")).agg(F.min(apart).alias("d"))
     # sizes alone keep a pair that was dropped unverified beyond any radius
     radius = 1 - percent / 100
-    rest = state.join(open_, "sig").join(distance, ["p", "id"], "left").withColumn(
+    rest = state.join(distance, ["p", "id"], "left").withColumn(
         "d", F.when(F.col("id") == F.col("p"), 0.0).otherwise(F.col("d")))
     size = sizes.groupBy("id").agg(F.max("n").alias("n"))
     rest = stored(rest.join(size, "id").filter("id <> p"), "rest")
@@ -243,8 +262,7 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     far = banded(u2, "nu", True).join(banded(v2, "nv", False), ["sig", "k"]).filter(fit)
     more = more.select("u", "v").unionByName(far.select("u", "v"))
     more = more.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).filter("a < b").distinct()
-    edges = edges.unionByName(copies)
-    more = stored(more, "more")
+    more = stored(more.join(near.select("a", "b"), ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         edges = edges.unionByName(verified(more, texts, sizes, width, percent).filter(linked).select("a", "b"))
     return found, edges
