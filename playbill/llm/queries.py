@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import functions as F
-from . import embedding_dedup, exact_dedup, jaccard, line_dedup, mixing, quality, sequences, substring_dedup, suffix_dedup, tokenfiles
+from . import embedding_dedup, exact_dedup, jaccard, line_dedup, mixing, quality, sequences, substring_dedup, suffix_dedup, tokenfiles, vector_codes
 
 QUERIES, ORACLES = {}, {}
 SPACE_SQL = r"\x20\x09-\x0D"
@@ -121,3 +121,36 @@ def op9(spark, sf):
     return suffix_dedup.dedup_bytes(table(spark, sf, "documents").select("doc_id", "text"), least=400).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+def codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Lloyd rounds written out.  Doubles hold all products exactly."""
+    steps = [f"""
+kept AS MATERIALIZED (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS r,
+    [CAST(floor({scale} * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+pieces AS MATERIALIZED (SELECT r, vec_id, label, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x
+  FROM kept, (SELECT unnest(range({parts})) AS p)),
+book0 AS MATERIALIZED (SELECT p, r AS k, x AS c FROM pieces WHERE r < {entries})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+near{n} AS MATERIALIZED (SELECT r, vec_id, label, pieces.p AS p, x,
+    min({{'d': list_inner_product(x, x) + list_inner_product(c, c) - 2 * list_inner_product(x, c), 'k': k}}) AS best
+  FROM pieces JOIN book{n} ON pieces.p = book{n}.p GROUP BY ALL)""")
+        if n < rounds:
+            steps.append(f"""
+mean{n} AS (SELECT p, k, list(CAST(floor(s / n) AS DOUBLE) ORDER BY i) AS c FROM (
+  SELECT p, best.k AS k, i, sum(x[i]) AS s, count(*) AS n
+  FROM near{n}, (SELECT unnest(range(1, 4097)) AS i) WHERE i <= len(x) GROUP BY ALL) GROUP BY p, k),
+book{n + 1} AS MATERIALIZED (SELECT b.p, b.k, coalesce(m.c, b.c) AS c FROM book{n} b LEFT JOIN mean{n} m USING (p, k))""")
+    return "WITH " + ",".join(steps) + f""",
+sums AS (SELECT r, any_value(vec_id) AS vec_id, any_value(label) AS label, CAST(sum(best.d) AS BIGINT) AS error,
+    string_agg(lower(lpad(to_hex(best.k), 2, '0')), '' ORDER BY p) AS code FROM near{rounds} GROUP BY r),
+whole AS (SELECT sha256(string_agg(CAST(CAST(c[i] AS BIGINT) AS VARCHAR), ',' ORDER BY p, k, i)) AS codebooks_sha256
+  FROM book{rounds}, (SELECT unnest(range(1, 4097)) AS i) WHERE i <= len(c))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM sums, whole"""
+
+
+@query("op11_vector_codes", codes_sql())
+def op11(spark, sf):
+    return vector_codes.with_label_errors(*vector_codes.compress(table(spark, sf, "embeddings")))
