@@ -1,19 +1,29 @@
-"""Words and window hashes of many texts at once, with numpy.
-
-Texts of an Arrow column are one byte buffer with offsets.  Sums of powers
-give the hash of any stretch of bytes or words from two prefix values, so a
-window costs the same at every length.  A hash is 64 bits; exact stages use
-two of them.
+"""Words and hashes of many texts at once, with numpy.
+
+Texts of an Arrow column are one byte buffer with offsets.  There are three
+hashes, by what they are good for:
+
+* ``Stretches``: sums of powers modulo 2**64, from two prefix values.  Cheap at
+  any length, but long sequences can be made that collide under every base, so
+  they only find candidates and hash short words (SHORT bytes at most);
+* ``windows``: windows of one length, halves hashed together level by level
+  with bits mixed in between.  64 bits; equality rests on two lanes;
+* ``digest``: 128 bits of any bytes by a cryptographic hash, for whole texts,
+  long words and stretches.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
 #: bytes of text worked on at a time; a longer text is worked on alone
 SLICE = 1 << 21
 SPACES = (9, 10, 11, 12, 13, 32)
+#: bytes up to which a word is hashed by a sum of powers
+SHORT = 32
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 _BASE = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
@@ -48,7 +58,7 @@ def powers(n: int, lane: int, inverse: bool = False) -> np.ndarray:
 
 
 class Stretches:
-    """Hashes of stretches of a sequence of 64-bit values."""
+    """Hashes of stretches of a sequence of 64-bit values, for candidates."""
 
     def __init__(self, values: np.ndarray, lane: int = 0):
         self.lane = lane
@@ -61,6 +71,39 @@ class Stretches:
         return mixed(value ^ (end - start).astype(np.uint64))
 
 
+def windows(values: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
+    """Hash of every window of ``width`` values.  Hashes of ``2 * k`` values
+    combine those of their halves; the last step joins two that overlap."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    left, right = np.uint64(_BASE[lane]), np.uint64(_BASE[1 - lane] ^ 0x5851F42D4C957F2C)
+    h, size = mixed(values + left), 1
+    while size < width:
+        step = min(size, width - size)
+        a, b = h[:len(h) - step], h[step:]
+        h, size = mixed(a * left + (b ^ (b >> np.uint64(29))) * right + np.uint64(step)), size + step
+    return h
+
+
+def digest(raw) -> tuple[int, int]:
+    """128 bits of bytes, as two signed integers."""
+    d = blake2b(raw, digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, mark: np.ndarray | None = None) -> np.ndarray:
+    """Rows of two signed integers: the digest of each range of ``data``,
+    together with an integer ``mark`` if given."""
+    view, out = memoryview(np.ascontiguousarray(data)), np.zeros((len(start), 2), np.int64)
+    marks = [b""] * len(start) if mark is None else [b"%d:" % m for m in mark.tolist()]
+    for k, (a, b, m) in enumerate(zip(start.tolist(), end.tolist(), marks, strict=True)):
+        h = blake2b(m, digest_size=16)
+        h.update(view[a:b])
+        out[k] = np.frombuffer(h.digest(), np.int64)
+    return out
+
+
 def slices(texts: pa.Array, limit: int = SLICE):
     """(first row, bytes, offsets) of consecutive rows of at most ``limit``
     bytes together; a longer text comes alone.  Null counts as empty."""
@@ -81,13 +124,14 @@ def slices(texts: pa.Array, limit: int = SLICE):
 
 
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a slice: byte range, row, hash."""
+    """Words of a slice: byte range, row, hash.  Words are the maximal runs of
+    bytes that are no ``breaks``, by default ``[^\\x20\\x09-\\x0D]+``."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = False, breaks: np.ndarray = _IS_SPACE):
         if lower:
             data = LOWER[data]
         self.data, self.off = data, off
-        word = ~_IS_SPACE[data]
+        word = ~breaks[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[off] = True
         first, last = word.copy(), word.copy()
@@ -98,8 +142,21 @@ class Words:
         self.upto = np.searchsorted(self.start, off)
         self.row = np.repeat(np.arange(len(off) - 1), np.diff(self.upto))
 
+    @classmethod
+    def of_ranges(cls, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Words:
+        """Given ranges as the words of one row."""
+        self = cls.__new__(cls)
+        self.data, self.off = data, np.array([0, len(data)])
+        self.start, self.end, self.upto = start, end, np.array([0, len(start)])
+        self.row = np.zeros(len(start), np.int64)
+        return self
+
     def hashes(self, lane: int = 0) -> np.ndarray:
-        return Stretches(_BYTE[lane][self.data], lane).hash(self.start, self.end)
+        out = Stretches(_BYTE[lane][self.data], lane).hash(self.start, self.end)
+        long = np.flatnonzero(self.end - self.start > SHORT)
+        if len(long):
+            out[long] = digests(self.data, self.start[long], self.end[long])[:, lane].view(np.uint64)
+        return out
 
 
 def byte_stretches(data: np.ndarray, lane: int = 0) -> Stretches:

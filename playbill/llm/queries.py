@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import functions as F
-from . import embedding_dedup, exact_dedup, jaccard, line_dedup, mixing, quality, sequences, substring_dedup, suffix_dedup, tokenfiles, vector_codes
+from . import embedding_dedup, exact_dedup, jaccard, line_dedup, mixing, quality, ranked_search, sequences, substring_dedup, suffix_dedup, tokenfiles, vector_codes
 
 QUERIES, ORACLES = {}, {}
 SPACE_SQL = r"\x20\x09-\x0D"
@@ -154,3 +154,25 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 @query("op11_vector_codes", codes_sql())
 def op11(spark, sf):
     return vector_codes.with_label_errors(*vector_codes.compress(table(spark, sf, "embeddings")))
+
+
+TERM_SQL = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LOWER_SQL = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+SEARCH_SQL = f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, {LOWER_SQL}), '{TERM_SQL}') AS terms FROM documents),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) GROUP BY r, term),
+sizes AS (SELECT r, doc_id, len(terms) AS n FROM docs WHERE len(terms) > 0),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM sizes),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM tf, whole GROUP BY term, docs),
+asked AS (SELECT i, item_id, term, count(*) AS q FROM (SELECT item_id, row_number() OVER () AS i,
+    unnest(regexp_extract_all(translate(text, {LOWER_SQL}), '{TERM_SQL}')) AS term FROM benchmark) GROUP BY ALL),
+scores AS (SELECT i, item_id, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // length)))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN sizes USING (r), whole GROUP BY i, item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10"""
+
+
+@query("op12_ranked_search", SEARCH_SQL)
+def op12(spark, sf):
+    return ranked_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), top=10)
