@@ -47,6 +47,8 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more, and let Spark drop
     the shuffle files of finished queries."""
+    if not tables:
+        return
     jvm = tables[0].sparkSession._jvm
     conf = tables[0].sparkSession._jsc.hadoopConfiguration()
     for table in tables:

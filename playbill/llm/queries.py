@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import functions as F
-from . import embedding_dedup, exact_dedup, jaccard, line_dedup, mixing, quality, ranked_search, sequences, substring_dedup, suffix_dedup, tokenfiles, vector_codes
+from . import embedding_dedup, exact_dedup, jaccard, line_dedup, mixing, quality, quality_rules, ranked_search, sequences, substring_dedup, suffix_dedup, tokenfiles, vector_codes
 
 QUERIES, ORACLES = {}, {}
 SPACE_SQL = r"\x20\x09-\x0D"
@@ -176,3 +176,9 @@ FROM scores WHERE score > 0 QUALIFY rank <= 10"""
 @query("op12_ranked_search", SEARCH_SQL)
 def op12(spark, sf):
     return ranked_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), top=10)
+
+
+@query("op13_quality_rules")
+def op13(spark, sf):
+    return quality_rules.rules(table(spark, sf, "documents").select("doc_id", "text", "lang")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
