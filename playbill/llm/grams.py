@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 
 #: bytes of text worked on at a time; a longer text is worked on alone
-SLICE = 1 << 21
+SLICE = 1 << 18
 SPACES = (9, 10, 11, 12, 13, 32)
 #: bytes up to which a word is hashed by a sum of powers
 SHORT = 32
@@ -163,6 +163,10 @@ def byte_stretches(data: np.ndarray, lane: int = 0) -> Stretches:
     return Stretches(_BYTE[lane][data], lane)
 
 
+def byte_windows(data: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
+    return windows(_BYTE[lane][data], width, lane)
+
+
 def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
     """Place of the leftmost smallest value of every window of ``width``.
 

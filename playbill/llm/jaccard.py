@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected, discard, stored
-from .grams import Stretches, Words, mixed, slices
+from .grams import Words, mixed, slices, windows
 
 WIDTH, PERCENT = 5, 80
 SLOT_BITS = 30
@@ -46,15 +46,13 @@ def token_sets(texts: pa.Array, width: int):
     for _, data, off in slices(texts):
         words = Words(data, off, lower=True)
         at = words.upto
-        n = len(words.start)
-        line = Stretches(words.hashes())
-        start = np.arange(n)
-        grams = line.hash(start, np.minimum(start + width, n))
+        line = words.hashes()
+        grams = windows(line, width)
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if b - a >= width:
                 yield np.unique(grams[a:b - width + 1])
             elif b > a:
-                yield line.hash(np.array([a]), np.array([b]))
+                yield windows(line[a:b], b - a)
             else:
                 yield np.zeros(0, np.uint64)
 
@@ -137,9 +135,9 @@ def frequent_slots(found: DataFrame) -> tuple[np.ndarray, int]:
     counts = found.select(F.explode("slots").alias("s")).select(
         F.shiftright("s", SLOT_BITS - bits).alias("s")).groupBy("s").count()
     hot = counts.filter(F.col("count") > least).select("s").toArrow()["s"].to_numpy()
-    out = np.zeros(1 << bits, bool)
-    out[hot] = True
-    return np.packbits(out, bitorder="little"), SLOT_BITS - bits
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    np.bitwise_or.at(out, hot >> 3, np.left_shift(1, hot & 7).astype(np.uint8))
+    return out, SLOT_BITS - bits
 
 
 def signature_rows(docs: DataFrame, frequent: np.ndarray, shift: int, width: int, percent: int) -> DataFrame:

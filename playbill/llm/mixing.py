@@ -56,22 +56,22 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS,
 
 
 def mix(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, most: int = MOST_EPOCHS,
-        share: float = 1.0) -> DataFrame:
+        share: float = 1.0, tie: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken.
 
     ``size`` defaults to the number of words (null text: 0).  ``taken`` is the
     number of words of that row in the mix: ``floor(budget / source_size)``
     whole epochs, and what the prefix sum leaves of the budget in the last.
     Budgets are targets rounded to whole words.  The order within a source is
-    a hash of doc_id and text, so reruns agree; rows equal in both are equal
-    anyway.  Null doc_ids and sources are values like others; an empty table
+    a hash of doc_id, then of source and text (or ``tie``), so reruns agree;
+    rows equal in these are equal anyway.  Null doc_ids and sources are values like others; an empty table
     gives an empty result.
     """
     size = word_count(docs["text"]) if size is None else size
     sized = stored(docs.select(
         "doc_id", "source", size.alias("size"),
         F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("key"),
-        row_tie().alias("tie")), "sized")
+        (row_tie("source") if tie is None else tie).alias("tie")), "sized")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = stored(source_targets(totals, weights, most, share), "targets")
     back = targets.select(F.col("source").alias("_s"), "source_no", "source_size", "target")
@@ -85,9 +85,11 @@ def mix(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, most: int
                        (epochs * F.col("size") + last).cast("long").alias("taken"))
 
 
-def row_tie() -> Column:
-    """Tells rows with one doc_id apart."""
-    return F.xxhash64(F.coalesce("source", F.lit("")), F.coalesce("text", F.lit("")))
+def row_tie(*columns: str) -> Column:
+    """Tells rows with one doc_id apart that differ in text or ``columns``;
+    null differs from empty."""
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])) if columns else F.lit("")
+    return F.md5(F.concat(others, F.lit(":"), F.coalesce(F.sha2("text", 256), F.lit("null"))))
 
 
 def _first_words(texts: pa.Array, counts: pa.Array) -> pa.Array:
@@ -109,11 +111,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     The one row that a source's budget cuts has, in its last epoch, its first
     words only.  Rows without words are in no mix.
     """
-    found = mix(docs.select("doc_id", "text", "source"), **options).filter("taken > 0").select(
+    tie = row_tie(*[c for c in docs.columns if c != "text"])
+    found = mix(docs, tie=tie, **options).filter("taken > 0").select(
         F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "size", "taken")
-    # rows equal in id, source and text have one result together
+    # rows equal in all columns have one result together
     found = found.groupBy("_id", "_tie").agg(F.max("size").alias("size"), F.sum("taken").alias("taken"))
-    base = docs.select(boxed(docs, "text"), F.col("text"), row_tie().alias("_t"), F.col("doc_id").alias("_d"))
+    base = docs.select(boxed(docs, "text"), F.col("text"), tie.alias("_t"), F.col("doc_id").alias("_d"))
     repeated = base.groupBy("_d", "_t").count().filter("count > 1")
     if not repeated.isEmpty():
         base = base.dropDuplicates(["_d", "_t"])

@@ -7,7 +7,7 @@ windows of 25 only where these repeat, windows of 50 only where those do.
 At the two lower levels one window of each 50 stands for it: the one with the
 smallest hash.  Equal windows of 50 choose alike, so nothing is missed, and a
 twentieth of all places is counted.  At the last level every surviving window
-is compared by a 128-bit hash.
+is compared by a 128-bit hash of its words; whole copies by a cryptographic one.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import boxed, stored
-from .grams import Stretches, Words, slices, window_minimum
+from .grams import Words, digest, slices, window_minimum, windows
 
 WINDOW = 50
 #: stands for a null doc_id, which comes after all others
@@ -43,7 +43,7 @@ class Lines:
     def __init__(self, data, off, window):
         self.words = Words(data, off)
         self.upto, self.window = self.words.upto, window
-        self.line = Stretches(self.words.hashes())
+        self.line = self.words.hashes()
         n = len(self.words.start)
         ends = np.repeat(self.upto[1:], np.diff(self.upto))
         #: starts of windows that stay inside their text
@@ -51,9 +51,15 @@ class Lines:
         self.row = self.words.row[self.starts] if n else np.zeros(0, int)
 
     def hashes(self, length: int) -> np.ndarray:
-        n = len(self.words.start)
-        start = np.arange(max(n - length + 1, 0))
-        return self.line.hash(start, start + length)
+        return windows(self.line, length)
+
+    def copies(self) -> np.ndarray:
+        """Digest of the words of every row that has a window."""
+        raw, off = self.words.data.tobytes(), self.words.off.tolist()
+        out = np.zeros((len(off) - 1, 2), np.int64)
+        for k in np.flatnonzero(np.diff(self.upto) >= self.window).tolist():
+            out[k] = digest(b" ".join(raw[off[k]:off[k + 1]].split()))
+        return out
 
     def chosen(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """For each window: place and hash of its smallest part of ``length``."""
@@ -104,9 +110,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             lines = Lines(data, off, window)
             n = len(off) - 1
             n_words.append(np.diff(lines.upto))
-            second = Stretches(lines.words.hashes(1), 1)
-            d1.append(lines.line.hash(lines.upto[:-1], lines.upto[1:]))
-            d2.append(second.hash(lines.upto[:-1], lines.upto[1:]))
+            whole = lines.copies()
+            d1.append(whole[:, 0])
+            d2.append(whole[:, 1])
             anchors += _per_row(lines.chosen(low)[1], lines.row, n)
         join = lambda x: np.concatenate([np.zeros(0, np.int64), *[a.astype(np.int64) for a in x]])
         return pa.StructArray.from_arrays([pa.array(join(n_words)), pa.array(join(d1)), pa.array(join(d2)),
@@ -130,8 +136,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             ok = _within(lines.chosen(low)[1], lines.row, n, allowed[at:at + n]) \
                 & _within(lines.chosen(high)[1], lines.row, n, allowed_2[at:at + n])
             s, row = lines.starts[ok], lines.row[ok]
-            a = lines.line.hash(s, s + window)
-            b = Stretches(lines.words.hashes(1), 1).hash(s, s + window)
+            a, b = lines.hashes(window)[s], windows(lines.words.hashes(1), window, 1)[s]
             cut = np.searchsorted(row, np.arange(n + 1)).tolist()
             for k in range(n):
                 part = slice(cut[k], cut[k + 1])

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bwt import repeated_starts
 from .common import boxed, stored
-from .grams import byte_stretches, slices, window_minimum
+from .grams import byte_stretches, byte_windows, digests, slices, window_minimum
 from .substring_dedup import arrays, row_key, with_key
 
 LEAST = 400
@@ -44,9 +44,9 @@ class Runs:
 
     def __init__(self, data, off, least, anchor=ANCHOR):
         self.least, n = least, len(data)
-        self.first, self.second = byte_stretches(data, 0), byte_stretches(data, 1)
+        self.data = data
         at = np.arange(max(n - anchor + 1, 0))
-        grams = self.first.hash(at, at + anchor)
+        grams = byte_stretches(data).hash(at, at + anchor)
         place = window_minimum(grams, least - anchor + 1)
         sizes = np.diff(off)
         fits = np.maximum(sizes - least + 1, 0)
@@ -64,8 +64,7 @@ class Runs:
     def digests(self, some):
         """128-bit digest of stretches: their bytes and where the anchor is."""
         s, e = self.start[some], self.start[some] + self.count[some] + self.least - 1
-        where = self.offset[some].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return self.first.hash(s, e) ^ where, self.second.hash(s, e) + where
+        return digests(self.data, s, e, self.offset[some]).T
 
 
 def _rows(n, row):
@@ -81,8 +80,10 @@ def profile(least: int):
         for _, data, off in slices(texts):
             runs = Runs(data, off, least)
             n.append(np.diff(off))
-            d1.append(runs.first.hash(off[:-1], off[1:]).view(np.int64))
-            d2.append(runs.second.hash(off[:-1], off[1:]).view(np.int64))
+            whole, long = np.zeros((len(off) - 1, 2), np.int64), np.flatnonzero(np.diff(off) >= least)
+            whole[long] = digests(data, off[:-1][long], off[1:][long])
+            d1.append(whole[:, 0])
+            d2.append(whole[:, 1])
             for part in _rows(len(off) - 1, runs.row):
                 found, times = np.unique(runs.anchor[part], return_counts=True)
                 anchors.append(np.concatenate([found, found[times > 1]]))
@@ -124,13 +125,13 @@ def single_strings(least: int):
         wanted = wanted.to_pylist()
         cols = [[] for _ in range(4)]
         for at, data, off in slices(texts):
-            lanes = byte_stretches(data, 0), byte_stretches(data, 1)
+            lanes = byte_windows(data, least, 0), byte_windows(data, least, 1)
             for k in range(len(off) - 1):
                 places = wanted[at + k]
                 begin = np.concatenate([np.zeros(0, np.int64), *[p["begin"] + np.arange(p["count"]) for p in places]])
                 once = np.concatenate([np.zeros(0, np.int64), *[np.full(p["count"], p["once"], np.int64) for p in places]])
                 s = begin + off[k]
-                for col, v in zip(cols, (begin, once, *(x.hash(s, s + least) for x in lanes)), strict=True):
+                for col, v in zip(cols, (begin, once, *(x[s] for x in lanes)), strict=True):
                     col.append(v)
         return pa.StructArray.from_arrays([arrays(c) for c in cols], ["begin", "once", "h1", "h2"])
     return work

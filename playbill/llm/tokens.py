@@ -8,9 +8,10 @@ a text are the ids of its units in a row:
 ``words``    files that drop white space: a unit is a word
 ``whole``    any other file: the text itself
 
-Texts with unusual white space, where rules of tokenizers differ, are encoded
-whole.  Units are told apart by a 128-bit hash of their bytes, computed for a
-slice of texts at once.  A new unit of plain Latin letters, with marks like
+Texts with unusual white space, where rules of tokenizers differ, and texts
+that hold the string of an added token, which the library takes out before
+anything else, are encoded whole.  Units are told apart by their bytes.  A new
+unit of plain Latin letters, with marks like
 full stops behind it, goes straight to the library's merge model, as the
 file's own rules would pass it on; any other unit goes through the whole
 tokenizer.
@@ -23,11 +24,11 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from .grams import Words, byte_stretches, slices
+from .grams import LOWER, Words, slices
 
 _LATIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-#: units a task remembers; a full memory is emptied, which costs time only
-MEMORY = 1_000_000
+#: units a task remembers, and bytes of them; a full memory is emptied, which costs time only
+MEMORY, MEMORY_BYTES = 1_000_000, 1 << 26
 
 
 def _byte_letters() -> dict[int, str]:
@@ -60,16 +61,30 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: strings of added tokens; files that lower-case texts look for them in lower case too
+        self.added = sorted({t.content.encode().translate(LOWER.tobytes()) for t in self.whole.get_added_tokens_decoder().values()} - {b""})
         self.merge, self.letters = self.whole.model.tokenize, _byte_letters()
         self.units, self.memory = units, memory
         self._clear()
 
     def _clear(self) -> None:
-        #: unit hash -> number; ids of unit k are flat[starts[k]:starts[k + 1]]
-        self.known: dict[tuple[int, int], int] = {}
+        #: unit -> number; ids of unit k are flat[starts[k]:starts[k + 1]]
+        self.known: dict[bytes, int] = {}
+        self.held = 0
         self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _with_added(self, raw: bytes, off: np.ndarray) -> np.ndarray:
+        """Rows that hold the string of an added token in any case."""
+        out = np.zeros(len(off) - 1, bool)
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(off, at, "right")) - 1
+                if at + len(token) <= off[row + 1]:
+                    out[row] = True
+                at = raw.find(token, at + 1)
+        return out
+
     def _written(self, text: str) -> str:
         """``text`` in the letters of byte-level files."""
         return text.encode().decode("latin-1").translate(self.letters)
@@ -119,30 +134,26 @@ class Encoder:
         """(row, ids) of every text in order; a null text has none."""
         for first, data, off in slices(texts):
             begin, end, upto = self._ranges(Words(data, off))
-            if len(self.known) > self.memory:
+            if len(self.known) > self.memory or self.held > MEMORY_BYTES:
                 self._clear()
-            h = byte_stretches(data, 0).hash(begin, end)
-            one, at, back = np.unique(h, return_index=True, return_inverse=True)
-            check = byte_stretches(data, 1).hash(begin, end)
-            if (check != check[at][back]).any():  # two units with one hash: by both
-                _, at, back = np.unique(np.column_stack([h, check]), axis=0, return_index=True, return_inverse=True)
-                back = back.ravel()
-            keys = list(zip(h[at].tolist(), check[at].tolist(), strict=True))
-            number = [self.known.get(k, -1) for k in keys]
-            new = [k for k, v in enumerate(number) if v < 0]
-            if new:
-                raw, b, e = data.tobytes(), begin[at].tolist(), end[at].tolist()
-                found = self._unit_ids([raw[b[k]:e[k]].decode() for k in new])
+            raw, known = data.tobytes(), self.known
+            units = [raw[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
+            number = [known.get(u, -1) for u in units]
+            if -1 in number:
+                new = list(dict.fromkeys(u for u, k in zip(units, number, strict=True) if k < 0))
+                found = self._unit_ids([u.decode() for u in new])
                 n = len(self.starts) - 1
-                for i, k in enumerate(new):
-                    number[k] = self.known[keys[k]] = n + i
+                known.update(zip(new, range(n, n + len(new)), strict=True))
+                self.held += sum(map(len, new))
+                number = [known[u] for u in units]
                 self.starts = np.append(self.starts, self.starts[-1] + np.cumsum([len(x) for x in found]))
                 self.flat = np.append(self.flat, np.fromiter((t for x in found for t in x), np.uint32))
-            unit = np.array(number, np.int64)[back]
+            unit = np.array(number, np.int64)
             size = self.starts[unit + 1] - self.starts[unit]
             total = np.append(0, np.cumsum(size))
             ids = self.flat[np.repeat(self.starts[unit] - total[:-1], size) + np.arange(total[-1])]
             odd = odd_rows(data, off) if self.units == "leading" else np.full(len(off) - 1, self.units == "whole")
+            odd |= self._with_added(LOWER[data].tobytes(), off)
             cuts, bounds = total[upto].tolist(), off.tolist()
             for k, strange in enumerate(odd.tolist()):
                 if strange:

@@ -167,7 +167,6 @@ def test_mixing(docs, rows, none):
 def test_packing(docs, rows, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     got = sequences.packed_pieces(docs, path, capacity=256).collect()
     want, total = [], 0
     for i, t, *_ in rows:
@@ -194,7 +193,6 @@ def test_packing(docs, rows, none):
 def test_token_files(spark, docs, rows, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     folder = tokenfiles.token_folder(spark)
     tokenfiles.write_tokens(docs, path, "words", 2, folder, block=64, segment_ids=500)
     got = tokenfiles.read_tokens(spark, folder, with_ids=True).collect()

@@ -22,7 +22,6 @@ def test_units_give_the_ids_of_the_text(file, units):
     r = random.Random(3)
     texts = ["".join(r.choice(ODD) for _ in range(r.randint(0, 30))) for _ in range(1500)] + ["", None, " ", "x" * 5000]
     model = Tokenizer.from_file(public_tokenizers.path(file))
-    model.encode_special_tokens = True
     code = tokens.Encoder(public_tokenizers.path(file), units, memory=300)
     for at in range(0, len(texts), 300):
         part = texts[at:at + 300]
