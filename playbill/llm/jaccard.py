@@ -2,8 +2,8 @@
 
 A document is its set of word n-grams (tokens).  Tokens have one order: rare
 ones first, then frequent ones, each by hash.  If a pair reaches the
-similarity, one of them lacks at most ``t`` tokens of the other, so their
-prefixes share a signature:
+similarity, each lacks at most ``t`` tokens of the other, so their prefixes
+share a signature:
 
 * a rare token is a signature by itself; ``t + 1`` of them make a prefix;
 * frequent tokens are dealt into groups by hash, and two of one group make a
@@ -13,7 +13,14 @@ prefixes share a signature:
 Whether a token is frequent is read off a bit map of hash slots: any function
 of the token serves, as long as all documents use the same.
 
-Signatures with a single document fall away.  Of the others, members are first
+The smaller of a pair lacks only about half as many, so its prefix may be as
+much shorter.  Every document has both: a pair counts where the smaller one's
+short prefix meets the other's long one, and signatures that are in no short
+prefix fall away.  Thousands of copies of one text that differ from each other
+by more than the radius meet nowhere then, since what is their own fills their
+short prefixes.
+
+Signatures with a single document fall away too.  Of the others, members are first
 verified against the smallest id, then against the members with most links so
 far, so a group of thousands of copies costs thousands of pairs.  Groups that
 one component covers are done.  What is left to compare is limited by the
@@ -62,6 +69,11 @@ def lacking(n: int, percent: int) -> int:
     return n - -(-n * percent // 100)
 
 
+def lacking_smaller(n: int, percent: int) -> int:
+    """Most tokens of a set of ``n`` that a similar set of ``n`` or more lacks."""
+    return n - -(-2 * n * percent // (100 + percent))
+
+
 def slot(tokens: np.ndarray) -> np.ndarray:
     return (mixed(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
@@ -71,13 +83,19 @@ def band(n: int, percent: int) -> int:
     return int(np.floor(np.log(n) / -np.log(percent / 100) + 1e-9))
 
 
-def signatures(tokens: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of one set; ``hot`` says which of its tokens are frequent.
-    Sets of one token have none: only an equal set is similar."""
+def signatures(tokens: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of one set's short prefix, and the others of its long one;
+    ``hot`` says which of its tokens are frequent.  Sets of one token have
+    none: only an equal set is similar."""
     n = len(tokens)
     if n < 2:
-        return np.zeros(0, np.uint64)
-    need = lacking(n, percent) + 1
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    short, long = (np.unique(_prefix_signatures(tokens, hot, percent, f(n, percent) + 1)) for f in (lacking_smaller, lacking))
+    return short, np.setdiff1d(long, short, assume_unique=True)
+
+
+def _prefix_signatures(tokens: np.ndarray, hot: np.ndarray, percent: int, need: int) -> np.ndarray:
+    n = len(tokens)
     rare, often = tokens[~hot], tokens[hot]
     found = [mixed(rare[:need] ^ np.uint64(0x1234567))]
     need -= len(rare)
@@ -141,19 +159,23 @@ def frequent_slots(found: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def signature_rows(docs: DataFrame, frequent: np.ndarray, shift: int, width: int, percent: int) -> DataFrame:
-    """(id, sigs) of every document with an id."""
+    """(id, short, long) of every document with an id: signatures of its short
+    prefix, and the others of its long one."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent.tobytes())
 
     def work(texts: pa.Array) -> pa.Array:
         bits = np.frombuffer(shared.value, np.uint8)
-        out = []
+        short, long = [], []
         for tokens in token_sets(texts, width):
             s = slot(tokens) >> shift
-            out.append(np.unique(signatures(tokens, (bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1, percent)))
-        return _lists(out, np.int64)
+            a, b = signatures(tokens, (bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1, percent)
+            short.append(a)
+            long.append(b)
+        return pa.StructArray.from_arrays([_lists(short, np.int64), _lists(long, np.int64)], ["short", "long"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.arrow_udf(work, "array<long>")("text").alias("sigs"))
-    return stored(rows.filter(F.col("id").isNotNull() & (F.size("sigs") > 0)), "signatures")
+    found = F.arrow_udf(work, "short array<long>, long array<long>")("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), found.alias("r")).select("id", "r.*")
+    return stored(rows.filter(F.col("id").isNotNull() & (F.size("short") > 0)), "signatures")
 
 
 def _overlap(width: int):
@@ -182,9 +204,24 @@ def verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, width: int, p
     return stored(both.select("a", "b", out.alias("r")).select("a", "b", "r.*"), "verified")
 
 
-def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(sets, edges): profiles of all rows, and links (a, b) that connect
-    exactly the documents that similar pairs connect."""
+def relabelled(label: DataFrame, new: DataFrame) -> DataFrame:
+    """Components (node, root) after the links ``new`` (a, b).  Only roots that
+    the new links join are looked at again."""
+    a, b = (label.select(F.col("node").alias(k), F.col("root").alias(f"r_{k}")) for k in "ab")
+    joined = new.join(a, "a", "left").join(b, "b", "left").select(
+        F.coalesce("r_a", "a").alias("a"), F.coalesce("r_b", "b").alias("b")).filter("a <> b").distinct()
+    joined = stored(joined, "joined")
+    if joined.isEmpty():
+        return label
+    top = stored(connected(joined, "edges"), "tops")
+    moved = label.join(top.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left") \
+        .select("node", F.coalesce("_to", "root").alias("root"))
+    return stored(moved.unionByName(top.join(label, "node", "left_anti")), "labels")
+
+
+def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(sets, labels): profiles of all rows, and the component (node, root) of
+    every document that a similar pair holds."""
     rows = profiles(docs, width, percent)
     found = stored(rows.drop("slots"), "sizes")
     frequent, shift = frequent_slots(rows)
@@ -194,13 +231,16 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     first = sizes.groupBy("n", "d1", "d2").agg(F.min("id").alias("b"))
     copies = stored(sizes.join(first, ["n", "d1", "d2"]).filter("id > b").select(F.col("id").alias("a"), "b"), "copies")
     sigs = signature_rows(docs, frequent, shift, width, percent)
-    members = sigs.select("id", F.explode("sigs").alias("sig"))
-    pivots = members.groupBy("sig").agg(F.min("id").alias("p"), F.max("id").alias("last")).filter("p < last")
+    members = sigs.select("id", F.explode("short").alias("sig"), F.lit(True).alias("small")).unionByName(
+        sigs.select("id", F.explode("long").alias("sig"), F.lit(False).alias("small")))
+    pivots = members.groupBy("sig").agg(F.min("id").alias("p"), F.max("id").alias("last"), F.bool_or("small").alias("small")) \
+        .filter("p < last and small")
     pivots = stored(pivots, "pivots")  # on its own, so that a join on a hot signature can be split
     # copies have all signatures of their first, so no pivot is a copy
     grouped = members.join(pivots.select("sig", "p"), "sig")
     grouped = grouped.join(copies.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
-    grouped = stored(grouped.select("sig", "p", "id"), "grouped")
+    # an id with several texts may have a signature in either prefix
+    grouped = stored(grouped.groupBy("sig", "p", "id").agg(F.bool_or("small").alias("small")), "grouped")
     discard(sigs)
     asked = grouped.select("id").distinct()
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(asked, "id"), "texts")
@@ -210,12 +250,14 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
                     texts, sizes, width, percent)
     edges = near.filter(linked).select("a", "b").unionByName(copies)
     used = grouped.select("sig", F.col("p").alias("id")).distinct()
+    label = stored(connected(edges, "edges"), "labels")
     for more_pivots in (True,) * PIVOTS + (False,):
         # groups that one component covers are done
-        label = stored(connected(edges, "edges"), "labels")
         state = grouped.join(label.withColumnsRenamed({"node": "id", "root": "c"}), "id", "left") \
             .withColumn("c", F.coalesce("c", "id"))
         open_ = stored(state.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("sig"), "open")
+        if open_.isEmpty():
+            return found, label
         state = stored(state.join(open_, "sig"), "state")
         if not more_pivots:
             break
@@ -228,7 +270,8 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
             F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b")).distinct()
         found_now = verified(pairs.join(near.select("a", "b"), ["a", "b"], "left_anti"), texts, sizes, width, percent)
         near = near.unionByName(found_now)
-        edges = edges.unionByName(found_now.filter(linked).select("a", "b"))
+        new = found_now.filter(linked).select("a", "b")
+        edges, label = edges.unionByName(new), relabelled(label, new)
         used = used.unionByName(best.select("sig", F.col("q").alias("id")))
     apart = 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
     distance = near.groupBy(F.col("a").alias("p"), F.col("b").alias("id")).agg(F.min(apart).alias("d"))
@@ -236,34 +279,44 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     radius = 1 - percent / 100
     rest = state.join(distance, ["p", "id"], "left").withColumn(
         "d", F.when(F.col("id") == F.col("p"), 0.0).otherwise(F.col("d")))
-    size = sizes.groupBy("id").agg(F.max("n").alias("n"))
-    rest = stored(rest.join(size, "id").filter("id <> p"), "rest")
+    # an id with several texts is at no one distance: each of its sizes counts, and no triangle holds
+    several = stored(sizes.groupBy("id").count().filter("count > 1").select("id", F.lit(True).alias("_many")), "several")
+    rest = rest.join(sizes.select("id", "n").distinct(), "id").filter("id <> p").join(several, "id", "left") \
+        .join(several.withColumnsRenamed({"id": "p", "_many": "_many_p"}), "p", "left")
+    one = F.col("_many").isNull() & F.col("_many_p").isNull()
+    rest = stored(rest.withColumn("d", F.when(one, F.col("d"))).drop("_many", "_many_p"), "rest")
     shell = F.floor(F.col("d") / radius)
     known = rest.filter("d is not null").withColumn("shell", shell)
     unknown = rest.filter("d is null")
     # a pair has one member at least outside the ball round the pivot
     u = known.filter(F.col("d") > radius - 1e-9).select(
         "sig", F.explode(F.array(F.col("shell") - 1, F.col("shell"), F.col("shell") + 1)).alias("shell"),
-        F.col("id").alias("u"), F.col("c").alias("cu"), F.col("d").alias("du"), F.col("n").alias("nu"))
-    v = known.select("sig", "shell", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("d").alias("dv"), F.col("n").alias("nv"))
+        F.col("id").alias("u"), F.col("c").alias("cu"), F.col("d").alias("du"), F.col("n").alias("nu"), F.col("small").alias("su"))
+    v = known.select("sig", "shell", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("d").alias("dv"), F.col("n").alias("nv"),
+                     F.col("small").alias("sv"))
     fit = (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent) & (F.col("cu") != F.col("cv"))
-    more = u.join(v, ["sig", "shell"]).filter(fit & (F.abs(F.col("du") - F.col("dv")) <= radius + 1e-9))
+    fit = fit & ((F.col("su") & (F.col("nu") <= F.col("nv"))) | (F.col("sv") & (F.col("nv") <= F.col("nu"))))
+    close = fit & (F.abs(F.col("du") - F.col("dv")) <= radius + 1e-9)
+    # the smaller of a pair has the signature in its short prefix: one side of each join holds such rows only
+    more = u.filter("su").join(v, ["sig", "shell"]).filter(close).select("u", "v").unionByName(
+        u.filter("not su").join(v.filter("sv"), ["sig", "shell"]).filter(close).select("u", "v"))
     # members whose size differs too much from the pivot's have no distance
-    u2 = unknown.select("sig", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"))
-    v2 = rest.select("sig", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"))
+    u2 = unknown.select("sig", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("small").alias("su"))
+    v2 = rest.select("sig", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("small").alias("sv"))
     step = -np.log(percent / 100)
 
     def banded(df, n, spread):
         b = F.floor(F.log(n) / F.lit(float(step)))
         return df.withColumn("k", F.explode(F.array(b - 1, b, b + 1)) if spread else b)
 
-    far = banded(u2, "nu", True).join(banded(v2, "nv", False), ["sig", "k"]).filter(fit)
-    more = more.select("u", "v").unionByName(far.select("u", "v"))
+    far = banded(u2.filter("su"), "nu", True).join(banded(v2, "nv", False), ["sig", "k"]).filter(fit).select("u", "v").unionByName(
+        banded(u2.filter("not su"), "nu", True).join(banded(v2.filter("sv"), "nv", False), ["sig", "k"]).filter(fit).select("u", "v"))
+    more = more.unionByName(far)
     more = more.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).filter("a < b").distinct()
     more = stored(more.join(near.select("a", "b"), ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        edges = edges.unionByName(verified(more, texts, sizes, width, percent).filter(linked).select("a", "b"))
-    return found, edges
+        label = relabelled(label, verified(more, texts, sizes, width, percent).filter(linked).select("a", "b"))
+    return found, label
 
 
 def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -277,8 +330,8 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50..100")
-    found, edges = links(docs, width, percent)
-    roots = connected(edges, "components").withColumnRenamed("node", "id")
+    found, label = components(docs, width, percent)
+    roots = label.withColumnRenamed("node", "id")
     rows = found.select("id", "n").join(roots, "id", "left")
     return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
                        F.coalesce("root", "id").alias("component_id"))

@@ -12,23 +12,28 @@ Texts with unusual white space, where rules of tokenizers differ, and texts
 that hold the string of an added token, which the library takes out before
 anything else, are encoded whole.  Units are told apart by their bytes.  A new
 unit of plain Latin letters, with marks like
-full stops behind it, goes straight to the library's merge model, as the
+full stops or hashes behind it, goes straight to the library's merge model, as the
 file's own rules would pass it on; any other unit goes through the whole
 tokenizer.
 """
 
 from __future__ import annotations
 
+import gc
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 from .grams import LOWER, Words, slices
 
-_LATIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: a word of Latin letters and ASCII marks behind it, but for the apostrophe, which rules of tokenizers look at
+_LATIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: units a task remembers, and bytes of them; a full memory is emptied, which costs time only
 MEMORY, MEMORY_BYTES = 1_000_000, 1 << 26
+#: bytes of text worked on at a time
+TEXT = 1 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -70,6 +75,7 @@ class Encoder:
     def _clear(self) -> None:
         #: unit -> number; ids of unit k are flat[starts[k]:starts[k + 1]]
         self.known: dict[bytes, int] = {}
+        self.pieces: dict[str, list[int]] = {}
         self.held = 0
         self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
@@ -92,8 +98,15 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _merged(self, word: str) -> list[int]:
+        """Ids of a word or of marks, each merged once per task."""
+        ids = self.pieces.get(word)
+        if ids is None:
+            ids = self.pieces[word] = [t.id for t in self.merge(word)]
+        return ids
+
     def _unit_ids(self, units: list[str]) -> list[list[int]]:
-        merge, lower, space = self.merge, self.units == "words", self._written(" ")
+        lower, space = self.units == "words", self._written(" ")
         out, odd = [], []
         for k, unit in enumerate(units):
             found = _LATIN.fullmatch(unit)
@@ -106,18 +119,15 @@ class Encoder:
                 word = word.lower()
             if not word.isascii():
                 word = self._written(word)
-            ids = [t.id for t in merge(space + word if lead else word)]
-            if tail:
-                ids += [t.id for t in merge(tail)]
-            out.append(ids)
+            ids = self._merged(space + word if lead else word)
+            out.append(ids + self._merged(tail) if tail else ids)
         for k, ids in zip(odd, self._ids([units[k] for k in odd]), strict=True):
             out[k] = ids
         return out
 
     def _ranges(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First byte and end of every unit, and units before each row."""
-        if self.units == "words":
-            return words.start, words.end, words.upto
+        """First byte and end of every unit with the white space before it, and
+        units before each row."""
         off, upto = words.off, words.upto
         begin = np.concatenate([np.zeros(1, np.int64), words.end[:-1]])[:len(words.end)]
         has = np.diff(upto) > 0
@@ -132,16 +142,25 @@ class Encoder:
 
     def encode(self, texts: pa.Array):
         """(row, ids) of every text in order; a null text has none."""
-        for first, data, off in slices(texts):
-            begin, end, upto = self._ranges(Words(data, off))
+        for first, data, off in slices(texts, TEXT):
             if len(self.known) > self.memory or self.held > MEMORY_BYTES:
                 self._clear()
-            raw, known = data.tobytes(), self.known
-            units = [raw[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
-            number = [known.get(u, -1) for u in units]
-            if -1 in number:
-                new = list(dict.fromkeys(u for u, k in zip(units, number, strict=True) if k < 0))
+            raw, known, bounds = data.tobytes(), self.known, off.tolist()
+            if self.units == "words":
+                rows = [raw[a:b].split() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]  # bytes: ASCII white space only
+                units = list(chain.from_iterable(rows))
+                upto = np.append(0, np.cumsum([len(r) for r in rows]))
+            else:
+                begin, end, upto = self._ranges(Words(data, off))
+                units = [raw[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
+            number = list(map(known.get, units))
+            if None in number:
+                new = list(dict.fromkeys(u for u, k in zip(units, number, strict=True) if k is None))
+                collects = gc.isenabled()
+                gc.disable()  # many small lists that live on
                 found = self._unit_ids([u.decode() for u in new])
+                if collects:
+                    gc.enable()
                 n = len(self.starts) - 1
                 known.update(zip(new, range(n, n + len(new)), strict=True))
                 self.held += sum(map(len, new))
@@ -154,7 +173,7 @@ class Encoder:
             ids = self.flat[np.repeat(self.starts[unit] - total[:-1], size) + np.arange(total[-1])]
             odd = odd_rows(data, off) if self.units == "leading" else np.full(len(off) - 1, self.units == "whole")
             odd |= self._with_added(LOWER[data].tobytes(), off)
-            cuts, bounds = total[upto].tolist(), off.tolist()
+            cuts = total[upto].tolist()
             for k, strange in enumerate(odd.tolist()):
                 if strange:
                     yield first + k, np.array(self._ids([data[bounds[k]:bounds[k + 1]].tobytes().decode()])[0], np.uint32)

@@ -91,6 +91,20 @@ def test_jaccard_with_frequent_tokens(spark, monkeypatch):
     assert got == brute.near_groups(rows, 3, 80)
 
 
+def test_jaccard_in_a_group_of_near_copies_below_the_threshold(spark, monkeypatch):
+    """Copies of one text, each with words of its own, so that few pairs are
+    similar: all share passages, and ids with several texts are among them."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 4)
+    r, base, rows = random.Random(8), prose(1, 160).split(), []
+    for k in range(70):
+        words = list(base)
+        for j in range(r.choice([1, 2, 4, 6, 8])):
+            words[r.randrange(len(words))] = f"own{k}x{j}"
+        rows.append((r.choice([k, k, 7]), " ".join(words[:r.choice([160, 160, 150, 60])])))
+    got = sorted(map(tuple, jaccard.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()), key=str)
+    assert got == brute.near_groups(rows, 3, 85)
+
+
 def test_line_dedup(docs, rows, none):
     def key(line):
         return line.strip(" \t\n\r\x0b\x0c").translate(brute.LOWER)
