@@ -65,8 +65,7 @@ def ded_5(spark, sf):
     row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY event_id) AS n FROM events)""")
 def ded_6(spark, sf):
     rows = table(spark, sf, "events").selectExpr("event_id", "event_type", "cast(ts as date) day")
-    return identity.ordinal_fragment(rows, ["event_type", "day"], [F.col("event_id")],
-                                     F.floor(F.col("event_id") / 4096), "day").select("event_id", "fragment")
+    return identity.ordinal_fragment(rows, ["event_type", "day"], [F.col("event_id")], "day").select("event_id", "fragment")
 
 
 @check("ded_7_span_merge", """SELECT o_custkey, CAST(CAST(min(o_orderdate) AS DATE) AS VARCHAR) AS start_date,
@@ -325,14 +324,14 @@ def jn_8(spark, sf):
 
 @check("jn_9_merge_fold", _PARTS_SQL + """, f AS (
   SELECT promo_k, min(venue_k) AS venue_k FROM overlap GROUP BY promo_k), g AS (
-  SELECT venue_k, bool_or(is_sold_out) AS sold, count(*) AS n, list_distinct(flatten(list(link_urls))) AS urls,
+  SELECT venue_k, bool_or(is_sold_out) AS sold, count(*) AS n, list(link_urls[1] ORDER BY promo_k) FILTER (len(link_urls) > 0) AS urls,
     arg_min(start_time, k) FILTER (start_time IS NOT NULL) AS start_time,
     arg_min(price_min, k) FILTER (price_min IS NOT NULL) AS price_min,
     arg_min(is_free, k) FILTER (is_free IS NOT NULL) AS is_free
   FROM f JOIN listing ON k = promo_k GROUP BY venue_k)
 SELECT k, is_sold_out OR coalesce(sold, false) AS is_sold_out, coalesce(l.start_time, g.start_time) AS start_time,
   coalesce(l.price_min, g.price_min) AS price_min, coalesce(l.is_free, g.is_free) AS is_free,
-  len(link_urls) + coalesce(len(list_filter(urls, lambda u: NOT list_contains(link_urls, u))), 0) AS n_links,
+  array_to_string(list_concat(link_urls, coalesce(list_filter(urls, lambda u: NOT list_contains(link_urls, u)), [])), ',') AS links,
   coalesce(n, 0) AS folded FROM listing l LEFT JOIN g ON k = venue_k WHERE source NOT LIKE 'promo%'""")
 def jn_9(spark, sf):
     rows = keyed_by_number(spark, sf)
@@ -341,7 +340,8 @@ def jn_9(spark, sf):
     hits = overlap.first_overlap(overlap.parts_of(promo), overlap.parts_of(venue))
     folds = promo.join(hits.select("id", F.col("venue_id").alias("target_id")), "id")
     return overlap.fold_into(venue, folds).select(
-        "k", "is_sold_out", "start_time", "price_min", "is_free", F.size("ticket_links").alias("n_links"), "folded")
+        "k", "is_sold_out", "start_time", "price_min", "is_free", 
+        F.array_join(F.transform("ticket_links", lambda t: t["url"]), ",").alias("links"), "folded")
 
 
 def fold_sql(rows: str) -> str:

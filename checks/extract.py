@@ -7,11 +7,13 @@ from the columns and never sees the text.  Page operators run on ``pages``.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.base import LISTING_SQL, check, listing, table, texts
 from playbill.functions import dates, flags, names, prices, times, urls
-from playbill.operators import enrich, pages
+from playbill.operators import enrich, pages, policies
+from playbill.session import cut_lineage
 from playbill.sources.pages import month_tabs
 
 #: shared columns of a notice: k, c, opening and start clock, two prices, day
@@ -297,6 +299,21 @@ def ext_25(spark, sf):
         F.col("p_partkey").alias("k"), F.array_join(names.split_lineup(bill), ",").alias("lineup"))
 
 
+@check("ext_25_policies", """SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN p_name || ',' || p_type || ',' || p_brand
+  WHEN 1 THEN p_name || ',' || p_type || ' / ' || p_brand WHEN 2 THEN p_name || ',' || p_type || ',' || p_brand END AS lineup FROM part""")
+def ext_25b(spark, sf):
+    """Three layouts of a bill; a table says which source prints which."""
+    bill = F.expr(
+        "case p_partkey % 4 when 0 then concat('【出演】', p_name, ' / GUEST：', p_type, '\nOPEN 18:00\n※ 変更あり\n', p_brand, '\n', "
+        "p_name, '／', repeat('x', 41)) when 1 then concat('出演者：', p_name, '\nGUEST\nhttps://x.example\n・', p_type, ' / ', p_brand, "
+        "'\n', p_name, '\n後日発表') else concat(p_name, '【ゲスト】／', p_type, '、', p_brand, ',', p_name, '\n※ 予定') end")
+    chosen = spark.createDataFrame([("s0", "card_body"), ("s1", "lines_only"), ("s2", "headliner")], "source string, policy string")
+    compiled = {name: names.split_lineup(F.col("bill"), policy) for name, policy in (
+        ("card_body", names.CARD_BODY), ("lines_only", names.LINES_ONLY), ("headliner", names.HEADLINER))}
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.expr("concat('s', p_partkey % 4)").alias("source"), bill.alias("bill"))
+    return policies.by_policy(rows, chosen, compiled, "lineup").select("k", F.array_join("lineup", ",").alias("lineup"))
+
+
 @check("ext_26_title_guard", """SELECT p_partkey AS k,
   CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE '' END AS lineup FROM part""")
 def ext_26(spark, sf):
@@ -416,6 +433,24 @@ def ext_4(spark, sf):
     return rows.withColumn("f", fields).selectExpr("k", "f['OPEN'] opens", "f['START'] starts", "f['料金'] price")
 
 
+@check("ext_4_structured_labels", f"""WITH {NOTICE_SQL}
+SELECT k, kind, label, value FROM (
+  SELECT k, 'column' AS kind, unnest(['開場', '料金', '料金', '開場', '料金', '料金']) AS label,
+    unnest([opening, p || '円', (p + 1) || '円', opening, (p + 2) || '円', '無料']) AS value FROM n WHERE c % 3 = 0
+  UNION ALL SELECT k, 'list', unnest(['開演', '料金', '料金']), unnest([start, '¥' || p, '¥' || (p + 1)]) FROM n WHERE c % 3 = 1
+  UNION ALL SELECT k, 'row', unnest(['開場', '開演', '開演']), unnest([opening, start, '予定']) FROM n WHERE c % 3 = 2)""")
+def ext_4b(spark, sf):
+    """Column headers with spans, definition lists, row headers."""
+    rows = noted(
+        spark, sf,
+        "concat('<table><thead><tr><th>開場</th><th colspan=\"2\">料金</th></tr></thead><tbody><tr><td rowspan=\"0\">', opening, "
+        "'</td><td>', p, '円</td><td>', p + 1, '円</td></tr><tr><td>', p + 2, '円</td><td><b>無料</b></td></tr></tbody></table>')",
+        "concat('<dl><dt>開演</dt><dd>', start, '</dd><dt>料金</dt><dd>¥', p, '</dd><dd>¥', p + 1, '</dd></dl>')",
+        "concat('<table><tr><th>開場</th><td colspan=\"2\">', opening, '</td></tr><tr><th>開演</th><td>', start, '</td><td>予定</td></tr></table>')")
+    found = pages.structured_labels(cut_lineage(pages.elements(rows.select(F.col("k").alias("page_id"), F.col("text").alias("html")))))
+    return found.select(F.col("page_id").alias("k"), "kind", "label", "value")
+
+
 _VISIBLE = r"""trim(regexp_replace({entities}, '[\s\x{{00a0}}\x{{3000}}]+', ' ', 'g'))"""
 _STRIPPED = (r"regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|"
              r"<style\b[^>]*>.*?</style\s*>|<!doctype[^>]*>', ' ', 'g'), '(?s)<[A-Za-z/!?][^>]*>', ' ', 'g')")
@@ -450,6 +485,30 @@ def ext_2(spark, sf):
     return pages.distinct_links(found).select("page_id", "pos", "link_url")
 
 
+_HIT = "regexp_matches({t}, '(?i)on') AND length({t}) > 5"
+_SHOWN = _VISIBLE
+
+
+@check("ext_3_enclosing_blocks", rf"""WITH n AS (
+  SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<a [^>]*>(.*?)</a>', 1) AS names,
+    {_SHOWN.format(entities=_entities(_STRIPPED.replace("html", "regexp_replace(html, '(?s)^.*?<body>', '')", 1)))} AS body FROM pages), a AS (
+  SELECT page_id, body, unnest(names) AS raw, generate_subscripts(names, 1) AS n, array_to_string(names, ' ') AS list FROM n), t AS (
+  SELECT page_id, n, body, {_SHOWN.format(entities=_entities("raw"))} AS own, {_SHOWN.format(entities=_entities("list"))} AS ul FROM a)
+SELECT page_id, n, CASE WHEN {_HIT.format(t="own")} THEN 'a' WHEN {_HIT.format(t="ul")} THEN 'ul' ELSE 'body' END AS tag,
+  CASE WHEN {_HIT.format(t="own")} THEN own WHEN {_HIT.format(t="ul")} THEN ul END AS block
+FROM t WHERE ({_HIT.format(t="own")}) OR ({_HIT.format(t="ul")}) OR ({_HIT.format(t="body")})""")
+def ext_3b(spark, sf):
+    """The smallest element round each link of a page that tells enough."""
+    parsed = cut_lineage(pages.elements(texts(spark, sf, "pages")))
+    links = parsed.filter("tag = 'a'").select("page_id", "pos")
+    found = pages.enclosing_blocks(parsed, links, "(?i)on", longer_than=5, hops=5)
+    order = Window.partitionBy("page_id").orderBy("pos")  # the links of one page
+    numbered = links.withColumn("n", F.row_number().over(order).cast("long"))
+    tags = parsed.select("page_id", F.col("pos").alias("node"), "tag")
+    return found.join(numbered, ["page_id", "pos"]).join(tags, ["page_id", "node"]).select(
+        "page_id", "n", "tag", F.when(F.col("tag") != "body", F.col("text")).alias("block"))
+
+
 @check("ext_3_blocks", r"""WITH b AS (
   SELECT page_id, string_split(regexp_replace(html, '(<h1|<p>)', chr(1) || '\1', 'g'), chr(1)) AS parts FROM pages), u AS (
   SELECT page_id, unnest(parts) AS block, generate_subscripts(parts, 1) - 1 AS pos FROM b)
@@ -457,6 +516,5 @@ SELECT page_id, pos, length(block) AS n_chars,
   max(CASE WHEN block LIKE '<h1%' THEN pos END) OVER (PARTITION BY page_id ORDER BY pos) AS card FROM u""")
 def ext_3(spark, sf):
     cut = pages.blocks(table(spark, sf, "pages"), "page_id", "html", "<h1|<p>")
-    marked = pages.carry_marker(cut, "page_id", F.when(F.col("block").startswith("<h1"), F.col("pos")), "card",
-                                bucket_rows=8)
+    marked = pages.carry_marker(cut, "page_id", F.when(F.col("block").startswith("<h1"), F.col("pos")), "card")
     return marked.select("page_id", "pos", F.length("block").alias("n_chars"), "card")

@@ -325,7 +325,7 @@ def win_7(spark, sf):
   OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS card FROM events""")
 def win_8(spark, sf):
     rows = table(spark, sf, "events").selectExpr("event_id", "user_id % 3 u", "case when event_type = 'signup' then event_id end m")
-    return ranking.carry_forward(rows, ["u"], [F.col("event_id")], "m", F.floor(F.col("event_id") / 4096), "card") \
+    return ranking.carry_forward(rows, ["u"], [F.col("event_id")], "m", "card") \
         .select("event_id", "card")
 
 
@@ -609,15 +609,24 @@ def src_6(spark, sf):
 
 
 @check("snk_1_feed", _LISTING + f""", e AS (SELECT *, row_number() OVER (ORDER BY start_date, id) AS rn FROM listing
-  WHERE coalesce(end_date, start_date) >= {DAY} AND category <> 'other')
-SELECT id, CASE WHEN rn > 1 THEN ',' ELSE '' END || '{{"source":"' || source || '","title_ja":"' || title_ja || '","start_date":"'
-  || start_date || '","end_date":' || coalesce('"' || end_date || '"', 'null') || '}}' AS line FROM e""")
+  WHERE coalesce(end_date, start_date) >= {DAY} AND category <> 'other'), s AS (
+  SELECT source, count(*) AS n, row_number() OVER (ORDER BY source) AS rn FROM e GROUP BY source), v AS (
+  SELECT source, CAST(source[6:] AS INT) * 1000 AS room, row_number() OVER (ORDER BY source) AS rn FROM s
+  WHERE source LIKE 'hall_%' AND CAST(source[6:] AS INT) < 5)
+SELECT 0 AS part, '' AS id, '{{"generated_at":"1998-06-01T03:00:00+00:00","sources":[' AS line UNION ALL
+SELECT 1, source, CASE WHEN rn > 1 THEN ',' ELSE '' END || '{{"source":"' || source || '","found":' || n || ',"error":null}}' FROM s UNION ALL
+SELECT 2, '', '],"venues":{{' UNION ALL
+SELECT 3, source, CASE WHEN rn > 1 THEN ',' ELSE '' END || '"' || source || '":{{"capacity":' || room || '}}' FROM v UNION ALL
+SELECT 4, '', '}},"events":[' UNION ALL
+SELECT 5, id, CASE WHEN rn > 1 THEN ',' ELSE '' END || '{{"source":"' || source || '","title_ja":"' || title_ja || '","start_date":"'
+  || start_date || '","end_date":' || coalesce('"' || end_date || '"', 'null') || '}}' FROM e UNION ALL
+SELECT 6, '', ']}}'""")
 def snk_1(spark, sf):
     rows = select.upcoming(listing(spark, sf), as_of()).select("id", "source", "title_ja", "start_date", "end_date") \
         .withColumn("venue_key", F.col("source"))
     health = rows.groupBy("source").agg(F.count(F.lit(1)).alias("found")).withColumn("error", F.lit(None).cast("string"))
     doc = feed.feed_lines(rows.drop("venue_key"), health, quality.capacity_map(rows, registry(spark, sf)), now())
-    return doc.filter(F.col("part") == feed.EVENTS).select("id", "line")
+    return doc.select("part", "id", "line")
 
 
 _ICAL = _LISTING + """, e AS (SELECT *, substr(sha256(source || '|' || source_url), 1, 16) AS uid FROM listing
@@ -637,13 +646,22 @@ def calendar_rows(spark, sf):
     return listing(spark, sf).withColumn("artists", F.col("lineup")).withColumn("venue_key", F.col("source"))
 
 
-@check("snk_2_calendars", _ICAL + """, b AS (SELECT calendar, count(*) * 1 AS entries,
-  sum(len(list_filter(ls, lambda x: x IS NOT NULL))) AS n FROM v GROUP BY calendar)
-SELECT calendar, CAST(n + 16 AS BIGINT) AS lines, entries FROM b""")
+@check("snk_2_calendars", _ICAL + """, c AS (
+  SELECT calendar, arg_min(venue_name, (start_date, t, uid)) AS name FROM v GROUP BY calendar), f AS (
+  SELECT calendar, ['BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//playbill//JP', 'CALSCALE:GREGORIAN',
+    'X-WR-CALNAME:Events' || CASE WHEN calendar <> 'events' THEN ' — ' || name ELSE '' END, 'X-WR-TIMEZONE:Asia/Tokyo', 'BEGIN:VTIMEZONE',
+    'TZID:Asia/Tokyo', 'BEGIN:STANDARD', 'DTSTART:19700101T000000', 'TZOFFSETFROM:+0900', 'TZOFFSETTO:+0900', 'TZNAME:JST',
+    'END:STANDARD', 'END:VTIMEZONE'] AS head FROM c), every AS (
+  SELECT calendar, 0 AS part, NULL AS start_date, NULL AS start_time, NULL AS uid, unnest(head) AS line, generate_subscripts(head, 1) - 1 AS line_no FROM f
+  UNION ALL SELECT calendar, 2, NULL, NULL, NULL, 'END:VCALENDAR', 0 FROM c
+  UNION ALL SELECT calendar, 1, CAST(start_date AS VARCHAR), t, uid || '@playbill', unnest(list_filter(ls, lambda x: x IS NOT NULL)),
+    generate_subscripts(list_filter(ls, lambda x: x IS NOT NULL), 1) - 1 FROM v)
+SELECT calendar, part, start_date, start_time, uid, CAST(line_no AS INT) AS line_no, line FROM every""")
 def snk_2(spark, sf):
+    """Every line of every calendar, unfolded, at its place."""
     out = calendar.calendar_lines(calendar_rows(spark, sf), now())
-    return out.groupBy("calendar").agg(F.count(F.lit(1)).alias("lines"),
-                                       F.count_if(F.col("line") == "BEGIN:VEVENT").alias("entries"))
+    return out.select("calendar", "part", F.col("start_date").cast("string").alias("start_date"), "start_time", "uid", "line_no",
+                      F.replace("line", F.lit("\r\n "), F.lit("")).alias("line"))
 
 
 @check("snk_3_entry_text", _ICAL + """, p AS (SELECT k, calendar, unnest(list_filter(ls, lambda x: x IS NOT NULL)) AS line,

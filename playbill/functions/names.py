@@ -34,31 +34,70 @@ def best_title(heading: Column, text: Column, marker: str) -> Column:
 
 @dataclass(frozen=True)
 class LineupPolicy:
-    """How one site prints a bill: separators, labels that act as
-    separators, prefixes to drop, entries to drop, and, where a site needs them, the longest
-    name and the most names that count."""
+    """How one kind of site prints a bill.
+
+    Lines that match ``skip_line`` are left out and ``line_prefix`` is cut off
+    the others; lines are cut at ``separators`` (labels in ``section_label``
+    count as such); ``inside`` is cut out of a name; with ``after_colon`` what
+    follows the last colon of it counts; ``label_prefix`` is cut off and
+    ``drop`` drops it.  ``longest`` and ``most`` limit names only where a site
+    needs it.
+    """
 
     separators: str = r"[/／\n]"
     section_label: str | None = None
+    skip_line: str | None = None
+    line_prefix: str | None = None
+    inside: str | None = None
+    after_colon: bool = False
     label_prefix: str = r"(?iu)^(?:special\s*guest|guest|ゲスト|opening\s*act|出演者?)\s*[:：]\s*"
     drop: str = r"(?iu)^[＜<][^＞>]*[＞>]$|^(?:TBA|TBD|COMING SOON|AND MORE|他|ほか|MC)$"
     longest: int | None = None
     most: int | None = None
     trim: str = " 　・,、"
+    cut_urls: bool = True
+
+
+# What the three layouts of a bill leave out and cut off.
+CARD_BODY = LineupPolicy(
+    skip_line=r"(?iu)OPEN|START|CLOSE|開場|開演|\d{1,2}[:：]\d{2}|～|SOLD\s*OUT|THANK\s*YOU|完売|予告なく|入場不可|詳細は後日|お楽しみ|未定|"
+              r"貸し?切り|^※|^■|^●|^-|SUPPORT\s*ACT|and\s*more|FC限定",
+    line_prefix=r"(?u)^\s*[【《\[＜(][^】》\]＞)]{0,14}[】》\]＞)]\s*", separators=r"[/／\n]", trim=" ・,、",
+    after_colon=True, label_prefix="", drop="^$", longest=40, most=40, cut_urls=False)
+LINES_ONLY = LineupPolicy(
+    separators=r"\n", label_prefix=r"(?u)^出演者\s*[:：]\s*", trim=" 　・-‐–—", most=40, cut_urls=False,
+    drop=r"(?iu)^http|^[-‐–—【\[]*\s*(?:ARTIST|ATHLETE|GUEST|CAST|ゲスト|出演者)\s*[-‐–—】\]:：]*$|順次|追って|後日|発表|決定|ご案内|ご確認")
+HEADLINER = LineupPolicy(separators=r"[\n/／、,]", inside=r"【[^】]*】", label_prefix="", drop="^※", trim=" ", cut_urls=False)
 
 
 def split_lineup(text: Column, policy: LineupPolicy = LineupPolicy()) -> Column:
     """Names in printed order, cleaned, without placeholders or repeats."""
-    work = F.regexp_replace(text, r"https?://[^\s　]+", "\n")
+    work = F.regexp_replace(text, r"https?://[^\s　]+", "\n") if policy.cut_urls else text
     if policy.section_label:
         work = F.regexp_replace(work, policy.section_label, "\n")
-    names = F.transform(
-        F.split(work, policy.separators),
-        lambda n: strip_chars(F.regexp_replace(
-            strip_chars(squeeze(n), policy.trim), policy.label_prefix, ""), policy.trim))
-    names = F.array_distinct(F.filter(names, lambda n: (n != "") & ~n.rlike(policy.drop)))
+    if policy.skip_line or policy.line_prefix:
+        lines = F.split(F.replace(work, F.lit("\u00a0"), F.lit(" ")), "\n")
+        if policy.skip_line:
+            lines = F.filter(lines, lambda x: ~F.trim(x).rlike(policy.skip_line))
+        if policy.line_prefix:
+            lines = F.transform(lines, lambda x: F.regexp_replace(x, policy.line_prefix, ""))
+        work = F.array_join(lines, "\n")
+
+    def clean(n: Column) -> Column:
+        if policy.inside:
+            n = F.regexp_replace(n, policy.inside, "")
+        n = strip_chars(squeeze(n), policy.trim)
+        if policy.after_colon:
+            n = squeeze(F.regexp_replace(n, "(?s)^.*[:：]", ""))
+        if policy.label_prefix:
+            n = strip_chars(F.regexp_replace(n, policy.label_prefix, ""), policy.trim)
+        return n
+
+    names = F.transform(F.split(work, policy.separators), clean)
+    names = F.filter(names, lambda n: (n != "") & ~n.rlike(policy.drop))
     if policy.longest is not None:
         names = F.filter(names, lambda n: F.length(n) <= policy.longest)
+    names = F.array_distinct(names)
     return names if policy.most is None else F.slice(names, 1, policy.most)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from playbill.functions.names import clean_artist
 from playbill.functions.text import escape_regex, fold, name_key, squeeze
 from playbill.operators.containment import contained_pairs
+from playbill.operators.ranking import spread_join
 from playbill.schema import MUSIC_CATEGORIES
 from playbill.session import cut_lineage, sized_broadcast
 
@@ -118,21 +119,55 @@ def title_text() -> Column:
                                     F.coalesce("title_en", F.lit("")))))
 
 
+#: where a run of letters and digits of folded text begins or ends
+_EDGE = "(?<=[0-9a-z])(?=[^0-9a-z])|(?<=[^0-9a-z])(?=[0-9a-z])"
+#: a key that begins and ends with such a run is found by its runs alone
+_TOKEN_RUN = r"^[0-9a-z](?:[\x20-\x7e]*[0-9a-z])?$"
+
+
+def token_run_spans(hays: DataFrame, keys: DataFrame) -> DataFrame:
+    """(hay, needle, at): first occurrence of keys that are token runs.
+
+    A text is cut where letters and digits begin and end, so a key at its
+    boundaries is a run of pieces.  A piece is met with the lengths that keys
+    beginning with it have, and runs of those lengths with the keys
+    themselves: two equi-joins without a false candidate and without a pattern
+    per row."""
+    cut = F.split("needle", _EDGE)
+    keys = keys.select("needle", F.get(cut, F.lit(0)).alias("_first"), F.size(cut).alias("_n"))
+    longest = keys.agg(F.max("_n")).first()[0] or 1
+    lengths = keys.groupBy("_first").agg(F.array_sort(F.collect_set("_n")).alias("_lengths"))
+    tokens = hays.select("hay", F.split("hay", _EDGE).alias("_p")) \
+        .withColumn("_i", F.explode(F.sequence(F.lit(1), F.size("_p")))) \
+        .select("hay", "_i", F.slice("_p", F.col("_i"), F.lit(longest)).alias("_run")) \
+        .withColumn("_first", F.get("_run", F.lit(0))).filter(F.col("_first").rlike("^[0-9a-z]"))
+    runs = tokens.join(sized_broadcast(lengths), "_first").withColumn("_n", F.explode("_lengths")) \
+        .filter(F.col("_n") <= F.size("_run")) \
+        .select("hay", "_i", F.array_join(F.slice("_run", F.lit(1), F.col("_n")), "").alias("needle"))
+    first = runs.join(sized_broadcast(keys.select("needle")), "needle").groupBy("hay", "needle").agg(F.min("_i").alias("_i"))
+    before = F.array_join(F.slice(F.split("hay", _EDGE), F.lit(1), F.col("_i") - 1), "")
+    return first.select("hay", "needle", (F.length(before) + 1).alias("at"))
+
+
 def find_names(texts: DataFrame, keys: DataFrame, text: str = "hay") -> DataFrame:
     """(text, match_key, link_key, at, until): first bounded occurrence of
     every key in every distinct text, longest match wins.
 
-    The containment join proposes candidates; the boundary regex decides.
-    ``keys`` is (match_key, link_key).
+    Keys that are token runs are found by equi-joins; for the others (other
+    scripts, marks at an end) the containment join proposes candidates and a
+    boundary pattern decides.  ``keys`` is (match_key, link_key).
     """
     floor = F.when(F.col("match_key").rlike(r"^[\x20-\x7e]+$"), SHORTEST_ASCII) \
         .otherwise(SHORTEST_OTHER)
     # both sides are read several times below and fold text in Python
     able = cut_lineage(keys.filter(F.length("match_key") >= floor))
     hays = cut_lineage(texts.select(F.col(text).alias("hay")).distinct())
-    pairs = contained_pairs(able.withColumnRenamed("match_key", "needle"), hays, [])
-    spans = pairs.withColumn("at", F.regexp_instr("hay", bounded_pattern(F.col("needle")))) \
-        .filter("at > 0").withColumn("until", F.col("at") + F.length("needle"))
+    needles = able.select(F.col("match_key").alias("needle")).distinct()
+    run = F.col("needle").rlike(_TOKEN_RUN)
+    pairs = contained_pairs(needles.filter(~run), hays, [])
+    others = pairs.withColumn("at", F.regexp_instr("hay", bounded_pattern(F.col("needle")))).filter("at > 0")
+    spans = token_run_spans(hays, needles.filter(run)).unionByName(others) \
+        .withColumn("until", F.col("at") + F.length("needle"))
     return longest_spans(spans).join(able.withColumnRenamed("match_key", "needle"), "needle") \
         .select(F.col("hay").alias(text), F.col("needle").alias("match_key"), "link_key",
                 "at", "until")
@@ -168,7 +203,9 @@ def build_artist_index(events: DataFrame, aliases: DataFrame) -> dict[str, DataF
     music = events.filter(F.col("category").isin(*MUSIC_CATEGORIES)) \
         .select("id", title_text().alias("hay"))
     found = find_names(music, match_universe(names, aliases))
-    by_title = music.join(found, "hay").select("id", F.col("link_key").alias("artist_key"))
+    # a title a third of all events carry, and an act they all name, are hot keys
+    by_title = spread_join(music, found.select("hay", "link_key"), "hay", "inner") \
+        .select("id", F.col("link_key").alias("artist_key"))
     return {
         "artists": display_names(names).withColumnRenamed("key", "norm_key"),
         "artist_aliases": alias_spellings(names),
@@ -178,8 +215,8 @@ def build_artist_index(events: DataFrame, aliases: DataFrame) -> dict[str, DataF
 
 def attach_artists(events: DataFrame, index: Mapping[str, DataFrame]) -> DataFrame:
     """Add ``artists``: sorted display names, empty when none is linked."""
-    named = index["event_artists"].join(
-        index["artists"], F.col("artist_key") == F.col("norm_key")) \
+    spelled = index["artists"].select(F.col("norm_key").alias("artist_key"), "name")
+    named = spread_join(index["event_artists"], spelled, "artist_key", "inner") \
         .groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("artists"))
     return events.join(named, "id", "left").withColumn(
         "artists", F.coalesce("artists", F.array().cast("array<string>")))

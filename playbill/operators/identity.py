@@ -61,9 +61,9 @@ def fragment_repeats(df: DataFrame, url: str, date: str, leg: str | None = None,
 
 
 def ordinal_fragment(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                     bucket: Column, date: str, out: str = "fragment") -> DataFrame:
+                     date: str, out: str = "fragment") -> DataFrame:
     """The date, with ``-n`` from the second row of a day on."""
-    placed = ordinal_per_key(df, keys, order, bucket, "_n")
+    placed = ordinal_per_key(df, keys, order, "_n")
     day = F.col(date).cast("string")
     return placed.withColumn(out, F.when(F.col("_n") == 1, day).otherwise(
         F.concat(day, F.lit("-"), F.col("_n").cast("string")))).drop("_n")

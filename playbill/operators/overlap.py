@@ -7,15 +7,15 @@ needs (its first partner, its component) is then an aggregate over parts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playbill.functions.dates import every_day
 from playbill.functions.text import match_key, match_keys, name_key, needle_floor
 from playbill.operators.containment import contained_pairs
+from playbill.operators.firstfit import SHORTEST_NAME, first_fit
 from playbill.operators.ranking import null_safe_join
 from playbill.operators.select import union_links
 from playbill.schema import LINKS
@@ -23,10 +23,6 @@ from playbill.session import cut_lineage, sized_broadcast
 
 GROUP = ("start_date", "venue_key")
 FILLS = ("open_time", "start_time", "price_text", "price_min", "is_free", "ticket_url")
-SHORTEST_NAME = 3
-#: rows of one day and venue that one task may scan without cutting the group
-SMALL_GROUP = 1_000
-_SCANNED = ("lead", "lead_ord", "source", "start_time", "_parts")
 
 
 def parts_of(rows: DataFrame, aliases: Mapping[str, str] | None = None,
@@ -120,8 +116,7 @@ def fold_into(targets: DataFrame, folds: DataFrame) -> DataFrame:
 # --- promoter against promoter ---------------------------------------------
 
 
-def fold_promoters(rows: DataFrame, aliases: Mapping[str, str] | None = None,
-                   small_group: int = SMALL_GROUP) -> DataFrame:
+def fold_promoters(rows: DataFrame, aliases: Mapping[str, str] | None = None) -> DataFrame:
     """(id, ord, target_id): promoter rows of one day and venue that describe
     a show an earlier kept row already lists.
 
@@ -131,10 +126,8 @@ def fold_promoters(rows: DataFrame, aliases: Mapping[str, str] | None = None,
     takes the first one folded into it.
 
     Copies (same source, time and parts) always share one fate when they
-    overlap themselves, so only the first of them is judged.  A day and venue
-    with more than ``small_group`` judged rows is first cut into components
-    that share no overlapping part.  Each small group or component is scanned
-    in order, keeping only its kept rows.
+    overlap themselves, so only the first of them is judged.  ``first_fit``
+    settles all days and venues together in rounds.
     """
     parts = cut_lineage(parts_of(rows, aliases, extra=("start_time",)))
     looks = parts.groupBy(*GROUP, "id", "ord", "source", "start_time").agg(
@@ -146,16 +139,9 @@ def fold_promoters(rows: DataFrame, aliases: Mapping[str, str] | None = None,
     sig = [*GROUP, "source", "start_time", "_parts", "_own"]
     judged = cut_lineage(looks.groupBy(*sig).agg(F.min_by("id", "ord").alias("lead"),
                                           F.min("ord").alias("lead_ord")))
-    sizes = judged.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
-    sized = cut_lineage(null_safe_join(judged, sizes, GROUP, "inner"))
-    placed = sized.filter(F.col("_size") <= small_group).select(
-        *_SCANNED, F.xxhash64(*GROUP).alias("_component"), F.to_json(F.struct(*GROUP)).alias("_group"))
-    large = sized.filter(F.col("_size") > small_group)
-    if not large.isEmpty():
-        placed = placed.unionByName(_components(large))
-    scanned = placed.repartition("_component") \
-        .sortWithinPartitions("_component", "lead_ord") \
-        .mapInPandas(_scan, "lead {0}, kept {0}".format(rows.schema["id"].dataType.simpleString()))
+    groups = cut_lineage(judged.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_size"))
+                         .filter("_size > 1").withColumn("g", F.monotonically_increasing_id()).drop("_size"))
+    scanned = first_fit(null_safe_join(judged, groups, GROUP, "inner"))
     fate = null_safe_join(looks.select(*sig, "id", "ord"), judged.select(*sig, "lead"),
                           sig, "inner").join(scanned, "lead", "left") \
         .withColumn("kept", F.coalesce("kept", "lead"))
@@ -163,91 +149,6 @@ def fold_promoters(rows: DataFrame, aliases: Mapping[str, str] | None = None,
         .select("id", "ord", F.col("kept").alias("target_id"))
 
 
-def _components(judged: DataFrame) -> DataFrame:
-    """Add ``_component``: rows connected through overlapping parts of one
-    group.  Smallest label wins along row-part and part-part links until
-    nothing moves; every round is two keyed aggregates and is checkpointed."""
-    rows = judged.withColumn("_row", F.xxhash64("lead"))
-    shown = cut_lineage(rows.select(*GROUP, "_row", F.explode("_parts").alias("_p"))
-                 .select(*GROUP, "_row", F.col("_p.part").alias("part")).distinct())
-    node = F.xxhash64(*GROUP, "part")
-    inside = contained_pairs(shown.withColumnRenamed("part", "needle"),
-                             shown.withColumnRenamed("part", "hay"), GROUP)
-    links = shown.select(F.col("_row").alias("a"), node.alias("b")).unionByName(
-        inside.filter("needle <> hay").select(
-            F.xxhash64(*GROUP, "needle").alias("a"), F.xxhash64(*GROUP, "hay").alias("b")))
-    links = cut_lineage(links.unionByName(links.select(F.col("b").alias("a"),
-                                                       F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(links.select(F.col("a").alias("node")).distinct()
-                         .withColumn("label", F.col("node")))
-    while True:
-        reach = links.join(labels, F.col("a") == F.col("node")) \
-            .groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
-        stepped = labels.join(reach, "node", "left").select(
-            "node", F.least("label", F.coalesce("near", "label")).alias("step"), "label")
-        # jump: a label is itself a node, so take its label too
-        jump = stepped.select(F.col("node").alias("hop"), F.col("step").alias("far"))
-        moved = cut_lineage(stepped.join(jump, F.col("step") == F.col("hop"), "left").select(
-            "node", F.least("step", F.coalesce("far", "step")).alias("next"), "label"))
-        labels = moved.select("node", F.col("next").alias("label"))
-        if moved.filter("next <> label").isEmpty():
-            break
-    return rows.join(labels, F.col("_row") == F.col("node"), "left") \
-        .select(*_SCANNED,
-                F.coalesce("label", "_row").alias("_component"),
-                F.to_json(F.struct(*GROUP)).alias("_group"))
-
-
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First-fit over rows sorted by (component, order); memory holds the
-    kept rows of the current component only."""
-    component, kept = None, []
-    for batch in batches:
-        out = []
-        for row in batch.itertuples(index=False):
-            if row[5] != component:
-                component, kept = row[5], []
-            look = _Look(row[2], row[3], row[4], row[6])
-            home = next((k for k in kept if look.agrees(k[1]) and look.overlaps(k[1])), None)
-            if home is None:
-                kept.append((row[0], look))
-                out.append((row[0], row[0]))
-            else:
-                home[1].time = home[1].time or look.time
-                out.append((row[0], home[0]))
-        yield pd.DataFrame(out, columns=["lead", "kept"])
-
-
-class _Look:
-    """What the first-fit rule reads of a row."""
-
-    def __init__(self, source, time, parts, group):
-        self.source = source
-        self.group = group
-        self.time = time if isinstance(time, str) else None
-        self.titles = [p["part"] for p in parts if p["is_title"]]
-        self.names = [p["part"] for p in parts if not p["is_title"]]
-
-    def agrees(self, other: "_Look") -> bool:
-        """Same day and venue (labels are hashes), no two different times."""
-        return self.group == other.group and not (
-            self.time and other.time and self.time != other.time)
-
-    def overlaps(self, kept: "_Look") -> bool:
-        if self.source == kept.source:
-            return any(_inside(*sorted((a, b), key=len)) for a in self.titles
-                       for b in kept.titles)
-        mine, theirs = self.titles + self.names, kept.titles + kept.names
-        return (any(len(n) >= SHORTEST_NAME and n in h for n in mine for h in theirs)
-                or any(len(n) >= SHORTEST_NAME and n in h for n in kept.names for h in mine)
-                or any(_inside(t, h) for t in kept.titles for h in mine))
-
-
-def _inside(needle: str, hay: str) -> bool:
-    cjk = any("぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" for c in needle)
-    return len(needle) >= (3 if cjk else 4) and needle in hay
-
-
 # --- festivals --------------------------------------------------------------
 
 

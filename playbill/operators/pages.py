@@ -8,11 +8,12 @@ parser per row, inside ``mapInPandas``) and the rest is joins over it.
 from __future__ import annotations
 
 import html as html_lib
+import re
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,19 +115,26 @@ def blocks(pages: DataFrame, page_id: str, text: str, marker: str) -> DataFrame:
     return pages.select(page_id, F.posexplode(cut).alias("pos", "block"))
 
 
-def carry_marker(rows: DataFrame, page_id: str, marker: Column, out: str = "marker",
-                 bucket_rows: int = 10_000) -> DataFrame:
+def carry_marker(rows: DataFrame, page_id: str, marker: Column, out: str = "marker") -> DataFrame:
     """Blocks take the value of the last marker block at or before them (a
     date card, then its event cards)."""
     marked = rows.withColumn("_m", marker)
-    return carry_forward(marked, [page_id], [F.col("pos")], "_m",
-                         F.floor(F.col("pos") / bucket_rows), out).drop("_m")
+    return carry_forward(marked, [page_id], [F.col("pos")], "_m", out).drop("_m")
 
 
 def label_values(text: Column, labels: Sequence[str]) -> Column:
     """Map of printed label to the text up to the next label; the first
     occurrence of a label wins."""
     any_label = "|".join(labels)
+    plain = not any(re.search(r"[^\w\s]", a) or (a in b and a != b) for a in labels for b in labels)
+    if plain:
+        # labels lie apart, so one cut before each of them tells all
+        parts = F.filter(F.split(text, rf"[【\[（(]?(?=(?:{any_label}))"), lambda p: p.rlike(f"^(?:{any_label})"))
+        read = F.transform(parts, lambda p: F.struct(
+            F.regexp_extract(p, f"^(?:{any_label})", 0).alias("key"),
+            squeeze(F.regexp_replace(p, rf"^(?:{any_label})[】\]）)]?\s*[:：]?\s*", "")).alias("value")))
+        return let(read, lambda r: F.map_from_entries(F.filter(
+            r, lambda e, i: F.array_position(r["key"], e["key"]) == i + 1)))
     pattern = rf"(?s)({any_label})[】\]）)]?\s*[:：]?\s*(.*?)(?=[【\[（(]?(?:{any_label})|$)"
     names, values = all_groups(text, pattern, 1), all_groups(text, pattern, 2)
     return F.map_from_entries(F.transform(F.array_distinct(names), lambda n: F.struct(
@@ -138,52 +146,119 @@ def label_values(text: Column, labels: Sequence[str]) -> Column:
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
          "source", "track", "wbr"}
+#: a cell or term ends where the next one of its table or list begins
+_ENDED_BY = {"td": ({"td", "th"}, "table"), "th": ({"td", "th"}, "table"), "tr": ({"td", "th", "tr"}, "table"),
+             "dt": ({"dt", "dd"}, "dl"), "dd": ({"dt", "dd"}, "dl")}
 #: rows handed to Arrow at a time
 ELEMENT_BATCH = 20_000
-ELEMENT_SCHEMA = "pos int, tag string, attrs map<string,string>, text string, parent int, until int"
+#: position and tag of the row that holds a page's text
+PAGE, PAGE_TAG = -1, "#page"
+#: most columns a cell spans, as in browsers
+MOST_COLUMNS = 1000
+ELEMENT_SCHEMA = ("pos int, tag string, attrs map<string,string>, parent int, until int, text_from int, text_to int, "
+                  "cell struct<table_pos:int,row:int,col:int,rows:int,cols:int>, runs array<string>")
+
+
+class _Grid:
+    """Where the cells of one table fall: a cell takes the first column that
+    no cell of an earlier row reaches down to."""
+
+    def __init__(self, pos):
+        self.pos, self.row, self.col, self.reach = pos, -1, 0, {}
+
+    def next_row(self):
+        self.row, self.col = self.row + 1, 0
+
+    def place(self, attrs):
+        def span(name, most):
+            digits = (attrs.get(name) or "").strip()
+            return min(int(digits), most) if digits.isascii() and digits.isdigit() else 1
+
+        if self.row < 0:
+            self.next_row()
+        rows, cols = span("rowspan", 65_534), max(span("colspan", MOST_COLUMNS), 1)
+        while self.reach.get(self.col, -1) >= self.row:
+            self.col += 1
+        at, self.col = self.col, self.col + cols
+        # a span of 0 reaches to the end of the table
+        last = self.row + rows - 1 if rows else 1 << 30
+        for c in range(at, at + cols):
+            self.reach[c] = max(self.reach.get(c, -1), last)
+        return self.pos, self.row, at, rows, cols
 
 
 class _Reader(HTMLParser):
     """Numbers elements in document order; ``until`` is the last element
-    inside.  Text inside an element belongs to it and to its ancestors."""
+    inside.  Text is kept once, as the page's runs; an element knows which of
+    them lie inside it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows, self.open = [], []
+        self.rows, self.open, self.runs, self.grids = [], [], [], []
 
     @classmethod
     def read(cls, page: str) -> list[tuple]:
         reader = cls()
         reader.feed(page)
-        last = len(reader.rows) - 1
-        return [(i, tag, attrs, " ".join(" ".join(words).split()), parent,
-                 until if until is not None else i if tag in _VOID else last)
-                for i, (tag, attrs, words, parent, until) in enumerate(reader.rows)]
+        reader.close()
+        last, end = len(reader.rows) - 1, len(reader.runs)
+        out = [(PAGE, PAGE_TAG, {}, None, last, 0, end, None, reader.runs)]
+        for i, (tag, attrs, parent, until, start, stop, cell) in enumerate(reader.rows):
+            if until is None:
+                until, stop = (i, start) if tag in _VOID else (last, end)
+            out.append((i, tag, attrs, parent, until, start, stop, cell, None))
+        return out
 
     def handle_starttag(self, tag, attrs):
-        parent = self.open[-1] if self.open else None
-        self.rows.append([tag, {k: v or "" for k, v in attrs}, [], parent, None])
+        attrs = {k: v or "" for k, v in attrs}
+        ended, within = _ENDED_BY.get(tag, ((), None))
+        at = None
+        for i in reversed(self.open if ended else ()):
+            if self.rows[i][0] == within:
+                break
+            at = i if self.rows[i][0] in ended else at
+        if at is not None:
+            self._close(at)
+        parent, cell = self.open[-1] if self.open else None, None
+        if tag == "table":
+            self.grids.append(_Grid(len(self.rows)))
+        elif tag == "tr" and self.grids:
+            self.grids[-1].next_row()
+        elif tag in ("td", "th") and self.grids:
+            cell = self.grids[-1].place(attrs)
+        self.rows.append([tag, attrs, parent, None, len(self.runs), None, cell])
         if tag not in _VOID:
             self.open.append(len(self.rows) - 1)
 
     def handle_endtag(self, tag):
         at = next((i for i in reversed(self.open) if self.rows[i][0] == tag), None)
-        while at is not None and self.open and self.open[-1] >= at:
-            self.rows[self.open.pop()][4] = len(self.rows) - 1
+        if at is not None:
+            self._close(at)
+
+    def _close(self, at):
+        """Everything open from element ``at`` on ends here."""
+        while self.open and self.open[-1] >= at:
+            row = self.rows[self.open.pop()]
+            row[3], row[5] = len(self.rows) - 1, len(self.runs)
+            if row[0] == "table":
+                self.grids.pop()
 
     def handle_data(self, data):
         if data.strip() and not (self.open and self.rows[self.open[-1]][0] in ("script", "style")):
-            for i in self.open:
-                self.rows[i][2].append(data.strip())
+            self.runs.append(data.strip())
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = ["id", "pos", "tag", "attrs", "text", "parent", "until"]
-    return pd.DataFrame(rows, columns=names).astype({"parent": "Int32"})
+    names = ["id", "pos", "tag", "attrs", "parent", "until", "text_from", "text_to", "cell", "runs"]
+    frame = pd.DataFrame(rows, columns=names).astype({"parent": "Int32"})
+    frame["cell"] = [None if c is None else dict(zip(("table_pos", "row", "col", "rows", "cols"), c)) for c in frame["cell"]]
+    return frame
 
 
 def elements(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """(page_id, pos, tag, attrs, text, parent, until): one row per element."""
+    """One row per element: (page_id, pos, tag, attrs, parent, until) with the
+    range of text runs inside it and, for a cell, its place in its table; and
+    one row per page, at PAGE, with the runs themselves."""
     key = pages.schema[page_id].dataType.simpleString()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,6 +276,14 @@ def elements(pages: DataFrame, page_id: str = "page_id", html: str = "html") ->
         .withColumnRenamed("id", page_id)
 
 
+def inner_text(table: DataFrame, wanted: DataFrame, page_id: str = "page_id", name: str = "text") -> DataFrame:
+    """``wanted`` (page_id, text_from, text_to, ...) with the text of each
+    element: its runs in order, white space collapsed."""
+    runs = table.filter(F.col("pos") == PAGE).select(page_id, "runs")
+    inside = F.slice("runs", F.col("text_from") + 1, F.col("text_to") - F.col("text_from"))
+    return wanted.join(runs, page_id).withColumn(name, squeeze(F.array_join(inside, " "))).drop("runs")
+
+
 def modal_links(table: DataFrame, page_id: str = "page_id", button: str = "data-modal-target",
                 modal: str = "data-modal-id") -> DataFrame:
     """(page_id, target, href, link_text): links inside the element that a
@@ -211,21 +294,104 @@ def modal_links(table: DataFrame, page_id: str = "page_id", button: str = "data-
         table.select(page_id, F.col("attrs")[modal].alias("target"), "pos", "until")
         .filter("target is not null"), [page_id, "target"], [F.col("pos")])
     anchors = table.filter("tag = 'a'").select(
-        page_id, F.col("pos").alias("a_pos"), F.col("attrs")["href"].alias("href"),
-        F.col("text").alias("link_text")).filter("href is not null")
-    return buttons.join(modals, [page_id, "target"]).join(anchors, page_id) \
-        .filter(F.col("a_pos").between(F.col("pos"), F.col("until"))) \
+        page_id, F.col("pos").alias("a_pos"), F.col("attrs")["href"].alias("href"), "text_from", "text_to").filter("href is not null")
+    inside = buttons.join(modals, [page_id, "target"]).join(anchors, page_id) \
+        .filter(F.col("a_pos").between(F.col("pos"), F.col("until")))
+    return inner_text(table, inside, page_id, "link_text") \
         .groupBy(page_id, "target", "href").agg(F.min_by("link_text", "a_pos").alias("link_text"))
 
 
+def ancestors(table: DataFrame, start: DataFrame, hops: int, page_id: str = "page_id") -> DataFrame:
+    """(page_id, pos, hop, node, text_from, text_to): the elements met when
+    climbing from ``start`` (page_id, pos), itself at hop 0, level by level."""
+    index = table.filter(F.col("pos") != PAGE).select(
+        page_id, F.col("pos").alias("node"), F.col("parent").alias("_up"), "text_from", "text_to")
+    level = start.select(page_id, "pos", F.col("pos").alias("node"))
+    out = None
+    for hop in range(hops):
+        met = level.join(index, [page_id, "node"]).withColumn("hop", F.lit(hop))
+        out = met if out is None else out.unionByName(met)
+        level = met.filter("_up is not null").select(page_id, "pos", F.col("_up").alias("node"))
+    return out.drop("_up")
+
+
+def enclosing_blocks(table: DataFrame, start: DataFrame, marker: str, longer_than: int = 30, hops: int = 5,
+                     page_id: str = "page_id") -> DataFrame:
+    """(page_id, pos, node, text): for each element of ``start`` (page_id,
+    pos) the smallest element round it whose text matches ``marker`` and has
+    more than ``longer_than`` characters, at most ``hops - 1`` levels up.
+    Elements without one are left out.  ``table`` is read once per level, so
+    it should be a stored one."""
+    met = ancestors(table, start, hops, page_id)
+    # elements that enclose several links are read once
+    nodes = inner_text(table, met.select(page_id, "node", "text_from", "text_to").distinct(), page_id)
+    fit = nodes.filter(F.col("text").rlike(marker) & (F.length("text") > longer_than)).select(page_id, "node", "text")
+    return met.join(fit, [page_id, "node"]).groupBy(page_id, "pos").agg(
+        F.min_by(F.struct("node", "text"), "hop").alias("_b")).select(page_id, "pos", "_b.*")
+
+
 def table_columns(table: DataFrame, page_id: str = "page_id", tag: str = "td") -> DataFrame:
     """(page_id, row, col, text): cells with their column position."""
-    cells = table.filter(F.col("tag") == tag).select(page_id, F.col("parent").alias("row"), "pos", "text")
+    cells = table.filter(F.col("tag") == tag).select(page_id, F.col("parent").alias("row"), "pos", "text_from", "text_to")
     place = cells.groupBy(page_id, "row").agg(F.array_sort(F.collect_list("pos")).alias("_at"))
+    cells = inner_text(table, cells, page_id)
     return cells.join(place, [page_id, "row"]).select(
         page_id, "row", (F.array_position("_at", F.col("pos")) - 1).cast("int").alias("col"), "text")
 
 
+def table_grid(table: DataFrame, page_id: str = "page_id") -> DataFrame:
+    """(page_id, table_pos, row, col, pos, tag, text): every square of every
+    table's grid with the cell that covers it; a cell that spans rows or
+    columns covers several.  Spans end with the table's last row."""
+    cells = table.filter(F.col("cell").isNotNull()).select(page_id, "pos", "tag", "text_from", "text_to", "cell.*")
+    last = cells.groupBy(page_id, "table_pos").agg(F.max("row").alias("_last"))
+    cells = inner_text(table, cells, page_id).join(last, [page_id, "table_pos"])
+    end = F.when(F.col("rows") == 0, F.col("_last")).otherwise(F.least(F.col("row") + F.col("rows") - 1, F.col("_last")))
+    rows = F.explode(F.sequence("row", end)).alias("row")
+    cells = cells.select(page_id, "table_pos", rows, "col", "cols", "pos", "tag", "text")
+    return cells.select(page_id, "table_pos", "row",
+                        F.explode(F.sequence(F.col("col"), F.col("col") + F.col("cols") - 1)).alias("col"), "pos", "tag", "text")
+
+
+def structured_labels(table: DataFrame, page_id: str = "page_id") -> DataFrame:
+    """(page_id, kind, scope, pos, label, value): what a page's structure says
+    belongs together.
+
+    ``column``  a td and the header of its column: the last row of only th
+                above it that covers the column
+    ``row``     a td and the th before it in its row
+    ``list``    a dd and the dt before it
+
+    ``scope`` is the row's first cell, or the list; ``pos`` the value's
+    element.  Values keep their place, so that "first wins" is a choice of the
+    reader (``first_values``)."""
+    grid = table_grid(table, page_id)
+    row = Window.partitionBy(page_id, "table_pos", "row")
+    grid = grid.withColumn("_heads", F.min(F.col("tag") == "th").over(row)) \
+        .withColumn("scope", F.min("pos").over(row))
+    upward = Window.partitionBy(page_id, "table_pos", "col").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    sideward = row.orderBy("col").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("_above", F.last(F.when(F.col("_heads"), F.col("text")), ignorenulls=True).over(upward)) \
+        .withColumn("_beside", F.last(F.when((F.col("tag") == "th") & ~F.col("_heads"), F.col("text")), ignorenulls=True).over(sideward))
+    values = grid.filter("tag = 'td'")
+    columns, rows = (values.select(page_id, F.lit(kind).alias("kind"), "scope", "pos", F.col(c).alias("label"), F.col("text").alias("value"))
+                     for kind, c in (("column", "_above"), ("row", "_beside")))
+    # a cell that covers several columns of a row is one value of its row
+    rows = rows.dropDuplicates([page_id, "scope", "pos"])
+    terms = inner_text(table, table.filter(F.col("tag").isin("dt", "dd")).select(
+        page_id, F.col("parent").alias("scope"), "pos", "tag", "text_from", "text_to"), page_id)
+    before = Window.partitionBy(page_id, "scope").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    listed = terms.withColumn("label", F.last(F.when(F.col("tag") == "dt", F.col("text")), ignorenulls=True).over(before)) \
+        .filter("tag = 'dd'").select(page_id, F.lit("list").alias("kind"), "scope", "pos", "label", F.col("text").alias("value"))
+    return columns.unionByName(rows).unionByName(listed).filter("label <> ''")
+
+
+def first_values(found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, labels): map of label to its first value."""
+    once = found.groupBy(*keys, "label").agg(F.min_by("value", "pos").alias("value"))
+    return once.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("label", "value"))).alias("labels"))
+
+
 # --- tour pages -------------------------------------------------------------
 
 LEG_HEAD = r"20\d{2}/\d{1,2}/\d{1,2}"

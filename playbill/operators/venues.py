@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playbill.functions.text import venue_norm
+from playbill.operators.ranking import spread_join
 from playbill.session import sized_broadcast
 
 SHORTEST_PREFIX = 4
@@ -71,7 +72,8 @@ def resolve_venues(rows: DataFrame, raw: str, index: DataFrame,
                 | ((F.col("_prefix") == F.col("_norm")) & (F.col("_prefix") != "")))
     hits = prefixes.join(small, "_prefix").groupBy("_raw").agg(F.min_by(
         "_key", F.struct((F.col("_prefix") != F.col("_norm")).alias("late"), "ord")).alias(out))
-    return rows.join(hits, F.col(raw) == F.col("_raw"), "left").drop("_raw")
+    # one raw name, or none, may stand in a third of all rows
+    return spread_join(rows, hits.withColumnRenamed("_raw", raw), raw, "left")
 
 
 def add_venue_facts(rows: DataFrame, registry: DataFrame, key: str = "venue_key",

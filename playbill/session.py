@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,24 +43,28 @@ def sized_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame
     return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable ``checkpoint()`` in the folder the cluster names, for results
-    that several branches read or that end a round of a loop.  Unlike a cache
-    it survives lost executors, and plans after it start small.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
+    Only a local session that names none gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
 
-    ``spark.checkpoint.dir`` is read from the session; only a local session
-    that names none gets a folder of its own.
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, for results that several
+    branches read or that end a round of a loop.  Unlike a cache it survives
+    lost executors, plans after it start small and prune its columns, and its
+    size is known when a join is planned.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

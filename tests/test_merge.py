@@ -95,8 +95,7 @@ def test_fragments_ordinals_spans(spark):
                                   ("w", date(2026, 1, 1), 1), ("w", date(2026, 1, 1), 2)], "url string, day date, leg int")
     got = sorted(r["source_url"] for r in identity.fragment_repeats(rows, "url", "day", "leg").collect())
     assert got == ["u#2026-01-01", "u#2026-01-02", "v", "w#2026-01-01-1", "w#2026-01-01-2"]
-    placed = identity.ordinal_fragment(rows.withColumn("p", F.monotonically_increasing_id()), ["day"], [F.col("url"), F.col("leg")],
-                                       F.col("url"), "day")
+    placed = identity.ordinal_fragment(rows.withColumn("p", F.monotonically_increasing_id()), ["day"], [F.col("url"), F.col("leg")], "day")
     assert sorted(r["fragment"] for r in placed.collect() if r["day"] == date(2026, 1, 1)) == \
         ["2026-01-01", "2026-01-01-2", "2026-01-01-3", "2026-01-01-4"]
 

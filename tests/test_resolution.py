@@ -117,9 +117,8 @@ def test_promoter_fold_equals_brute_force(spark):
     words = ["ring", "ring bolt", "bolt", "gear", "abc", "ab", "rod gear", "ring bolt gear"]
     rows = [row(n, rng.choice(PROMO), rng.choice(words), rng.sample(words, rng.randint(0, 2)),
                 start_time=rng.choice([None, "12:00", "18:00"])) for n in range(60)]
-    for small_group in (1000, 1):
-        folds = overlap.fold_promoters(numbered(spark, *rows), small_group=small_group)
-        assert {r["id"]: r["target_id"] for r in folds.collect()} == brute_promoter_fold(rows)
+    folds = overlap.fold_promoters(numbered(spark, *rows))
+    assert {r["id"]: r["target_id"] for r in folds.collect()} == brute_promoter_fold(rows)
 
 
 def test_festival_rows_fold(spark):
@@ -164,8 +163,7 @@ def test_ranking_helpers_equal_plain_windows(spark):
     plain = rows.withColumn("n", F.row_number().over(w).cast("long")).withColumn(
         "c", F.last("m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     want = {r["id"]: (r["n"], r["c"]) for r in plain.collect()}
-    bucket = F.floor(F.col("id") / 40)
-    mine = carry_forward(ordinal_per_key(rows, ["k"], [F.col("id")], bucket, "n"), ["k"], [F.col("id")], "m", bucket, "c")
+    mine = carry_forward(ordinal_per_key(rows, ["k"], [F.col("id")], "n"), ["k"], [F.col("id")], "m", "c")
     assert {r["id"]: (r["n"], r["c"]) for r in mine.collect()} == want
     top = top_per_key(rows, ["k"], [F.col("id")], 5, "n")
     assert {r["id"] for r in top.collect()} == {i for i, (n, _) in want.items() if n <= 5}
