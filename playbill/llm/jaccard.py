@@ -46,6 +46,8 @@ FREQUENT = 32
 PER_GROUP = 64
 #: members every open group is compared with, after the smallest
 PIVOTS = 2
+#: sets apart the signatures of single tokens
+_ALONE = np.uint64(0x1234567)
 
 
 def token_sets(texts: pa.Array, width: int):
@@ -90,14 +92,19 @@ def signatures(tokens: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.nd
     n = len(tokens)
     if n < 2:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    short, long = (np.unique(_prefix_signatures(tokens, hot, percent, f(n, percent) + 1)) for f in (lacking_smaller, lacking))
+    few, many = lacking_smaller(n, percent) + 1, lacking(n, percent) + 1
+    rare = tokens[~hot]
+    if len(rare) >= many:  # most sets: no frequent token is in either prefix
+        found = mixed(rare[:many] ^ _ALONE)
+        return found[:few], found[few:]
+    short, long = (np.unique(_prefix_signatures(tokens, hot, percent, need)) for need in (few, many))
     return short, np.setdiff1d(long, short, assume_unique=True)
 
 
 def _prefix_signatures(tokens: np.ndarray, hot: np.ndarray, percent: int, need: int) -> np.ndarray:
     n = len(tokens)
     rare, often = tokens[~hot], tokens[hot]
-    found = [mixed(rare[:need] ^ np.uint64(0x1234567))]
+    found = [mixed(rare[:need] ^ _ALONE)]
     need -= len(rare)
     if need > 0:
         own = band(n, percent)
@@ -180,10 +187,16 @@ def signature_rows(docs: DataFrame, frequent: np.ndarray, shift: int, width: int
 
 def _overlap(width: int):
     """Sizes of two sets and the number of their common tokens."""
+    def sets(texts: pa.Array):
+        """Token sets of a column; a text that comes again is read once."""
+        kinds = texts.dictionary_encode(null_encoding="encode")
+        found = list(token_sets(kinds.dictionary, width))
+        return (found[k] for k in kinds.indices.to_pylist())
+
     def work(left: pa.Array, right: pa.Array) -> pa.Array:
         rows = []
         for at in range(0, len(left), 128):  # few sets in memory at a time
-            for x, y in zip(token_sets(left.slice(at, 128), width), token_sets(right.slice(at, 128), width), strict=True):
+            for x, y in zip(sets(left.slice(at, 128)), sets(right.slice(at, 128)), strict=True):
                 rows.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
         cols = zip(*rows, strict=True) if rows else [[]] * 3
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], ["n_a", "n_b", "common"])
