@@ -23,9 +23,13 @@ short prefixes.
 Signatures with a single document fall away too.  Of the others, members are first
 verified against the smallest id, then against the members with most links so
 far, so a group of thousands of copies costs thousands of pairs.  Groups that
-one component covers are done.  What is left to compare is limited by the
-triangle inequality of Jaccard distance: only members of different components
-whose distances to the smallest member differ by no more than the radius.
+one component covers are done.  What is left to compare are members of
+different components.  Those near the smallest member are known by what they
+do not share with it, and two of them are similar only if these differences
+are: they are compared like sets of their own, by prefixes of their rarest
+tokens, and decided without their texts.  For the others the triangle
+inequality of Jaccard distance leaves only pairs whose distances to the
+smallest member differ by no more than the radius.
 """
 
 from __future__ import annotations
@@ -46,6 +50,8 @@ FREQUENT = 32
 PER_GROUP = 64
 #: members every open group is compared with, after the smallest
 PIVOTS = 2
+#: differences that are kept, as a share of both sets together
+KEPT = 0.4
 #: sets apart the signatures of single tokens
 _ALONE = np.uint64(0x1234567)
 
@@ -185,8 +191,9 @@ def signature_rows(docs: DataFrame, frequent: np.ndarray, shift: int, width: int
     return stored(rows.filter(F.col("id").isNotNull() & (F.size("short") > 0)), "signatures")
 
 
-def _overlap(width: int):
-    """Sizes of two sets and the number of their common tokens."""
+def _overlap(width: int, kept: float):
+    """Sizes of two sets, the number of their common tokens, and the others if
+    they are at most the share ``kept``."""
     def sets(texts: pa.Array):
         """Token sets of a column; a text that comes again is read once."""
         kinds = texts.dictionary_encode(null_encoding="encode")
@@ -197,14 +204,18 @@ def _overlap(width: int):
         rows = []
         for at in range(0, len(left), 128):  # few sets in memory at a time
             for x, y in zip(sets(left.slice(at, 128)), sets(right.slice(at, 128)), strict=True):
-                rows.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
-        cols = zip(*rows, strict=True) if rows else [[]] * 3
-        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], ["n_a", "n_b", "common"])
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                near = len(x) + len(y) - 2 * common <= kept * (len(x) + len(y))
+                rows.append((len(x), len(y), common, np.setxor1d(x, y, assume_unique=True).view(np.int64) if near else None))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        return pa.StructArray.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.list_(pa.int64()))],
+                                          ["n_a", "n_b", "common", "delta"])
     return work
 
 
-def verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, width: int, percent: int) -> DataFrame:
-    """``pairs`` (a, b) with both sizes and the number of shared tokens.
+def verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, width: int, percent: int, kept: float = -1.0) -> DataFrame:
+    """``pairs`` (a, b) with both sizes, the number of shared tokens, and the
+    tokens not shared (``delta``) where they are at most the share ``kept``.
     Pairs whose sizes rule the similarity out are dropped first.
 
     Texts travel, which take half the room of their sets."""
@@ -213,10 +224,43 @@ def verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, width: int, p
     pairs = pairs.join(a, "a").join(b, "b").filter(fit).select("a", "b").distinct()
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b") \
         .join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    out = F.arrow_udf(_overlap(width), "n_a long, n_b long, common long")("ta", "tb")
+    out = F.arrow_udf(_overlap(width, kept), "n_a long, n_b long, common long, delta array<long>")("ta", "tb")
     return stored(both.select("a", "b", out.alias("r")).select("a", "b", "r.*"), "verified")
 
 
+def delta_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of different components near one pivot.
+
+    ``members`` is (p, id, c, n, delta): ``delta`` are the tokens that the set
+    of ``id`` and that of ``p`` do not share.  Of two similar sets together
+    ``D`` tokens are not shared, and as their components differ, not both are
+    linked with p, so their deltas meet.  The shorter delta lacks at most
+    D / 2 tokens of the other, so one of its D / 2 + 1 rarest is in it.  What
+    both deltas do not share is what both sets do not share.
+    """
+    members = stored(members, "deltas")
+    each = members.select("p", "id", F.explode("delta").alias("t"))
+    times = stored(each.groupBy("p", "t").count().filter("count > 1"), "times")
+    held = stored(each.join(times, ["p", "t"]), "held")  # tokens of one delta alone meet nothing
+    size = members.select("p", "id", "c", "n", F.size("delta").alias("m"))
+    # D of a set of n and one of n * 100 / percent tokens, the largest that can be similar
+    most = F.floor((100 - percent) * F.col("n") / percent)
+    alone = F.col("m") - F.col("shared")
+    short = held.groupBy("p", "id").agg(F.sort_array(F.collect_list(F.struct("count", "t"))).alias("o"), F.count(F.lit(1)).alias("shared")) \
+        .join(size, ["p", "id"]).withColumn("left", F.floor(most / 2) + 1 - alone).filter("left > 0") \
+        .select("p", "id", "c", "n", "m", F.explode(F.slice("o", F.lit(1), F.greatest("left", F.lit(1)).cast("int"))).alias("o"))
+    x = short.select("p", F.col("o.t").alias("t"), F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("m").alias("mx"))
+    y = held.join(size, ["p", "id"]).select("p", "t", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("m").alias("my"))
+    fit = (F.col("cx") != F.col("cy")) & (F.col("mx") <= F.col("my")) & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
+    pairs = stored(x.join(y, ["p", "t"]).filter(fit).select("p", "x", "y", "nx", "ny").distinct(), "met")
+    dx, dy = (members.select("p", F.col("id").alias(k), F.col("delta").alias(f"d{k}")) for k in "xy")
+    both = pairs.join(dx, ["p", "x"]).join(dy, ["p", "y"])
+    apart = F.size("dx") + F.size("dy") - 2 * F.size(F.array_intersect("dx", "dy"))
+    common = (F.col("nx") + F.col("ny") - apart) / 2
+    return stored(both.filter(common * 100 >= (F.col("nx") + F.col("ny") - common) * percent).select(
+        F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+
+
 def relabelled(label: DataFrame, new: DataFrame) -> DataFrame:
     """Components (node, root) after the links ``new`` (a, b).  Only roots that
     the new links join are looked at again."""
@@ -260,7 +304,9 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> t
     discard(pivots)
     linked = F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent
     near = verified(grouped.filter("id > p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct(),
-                    texts, sizes, width, percent)
+                    texts, sizes, width, percent, KEPT)
+    deltas = near.filter("delta is not null").select(F.col("a").alias("p"), F.col("b").alias("id"), "delta")
+    near = near.drop("delta")
     edges = near.filter(linked).select("a", "b").unionByName(copies)
     used = grouped.select("sig", F.col("p").alias("id")).distinct()
     label = stored(connected(edges, "edges"), "labels")
@@ -282,7 +328,7 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> t
         pairs = state.join(best, "sig").filter("c <> cq").select(
             F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b")).distinct()
         found_now = verified(pairs.join(near.select("a", "b"), ["a", "b"], "left_anti"), texts, sizes, width, percent)
-        near = near.unionByName(found_now)
+        near = near.unionByName(found_now.drop("delta"))
         new = found_now.filter(linked).select("a", "b")
         edges, label = edges.unionByName(new), relabelled(label, new)
         used = used.unionByName(best.select("sig", F.col("q").alias("id")))
@@ -297,22 +343,31 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> t
     rest = rest.join(sizes.select("id", "n").distinct(), "id").filter("id <> p").join(several, "id", "left") \
         .join(several.withColumnsRenamed({"id": "p", "_many": "_many_p"}), "p", "left")
     one = F.col("_many").isNull() & F.col("_many_p").isNull()
-    rest = stored(rest.withColumn("d", F.when(one, F.col("d"))).drop("_many", "_many_p"), "rest")
+    rest = rest.withColumn("d", F.when(one, F.col("d"))).drop("_many", "_many_p") \
+        .join(deltas.select("p", "id", F.lit(True).alias("_near")), ["p", "id"], "left")
+    rest = stored(rest.withColumn("k", F.col("_near").isNotNull() & F.col("d").isNotNull()).drop("_near"), "rest")
+    by_delta = delta_links(rest.filter("k").select("p", "id", "c", "n").distinct().join(deltas, ["p", "id"]), percent)
+    label = relabelled(label, by_delta)
     shell = F.floor(F.col("d") / radius)
     known = rest.filter("d is not null").withColumn("shell", shell)
     unknown = rest.filter("d is null")
     # a pair has one member at least outside the ball round the pivot
     u = known.filter(F.col("d") > radius - 1e-9).select(
         "sig", F.explode(F.array(F.col("shell") - 1, F.col("shell"), F.col("shell") + 1)).alias("shell"),
-        F.col("id").alias("u"), F.col("c").alias("cu"), F.col("d").alias("du"), F.col("n").alias("nu"), F.col("small").alias("su"))
+        F.col("id").alias("u"), F.col("c").alias("cu"), F.col("d").alias("du"), F.col("n").alias("nu"), F.col("small").alias("su"),
+        F.col("k").alias("ku"))
     v = known.select("sig", "shell", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("d").alias("dv"), F.col("n").alias("nv"),
-                     F.col("small").alias("sv"))
+                     F.col("small").alias("sv"), F.col("k").alias("kv"))
     fit = (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent) & (F.col("cu") != F.col("cv"))
     fit = fit & ((F.col("su") & (F.col("nu") <= F.col("nv"))) | (F.col("sv") & (F.col("nv") <= F.col("nu"))))
     close = fit & (F.abs(F.col("du") - F.col("dv")) <= radius + 1e-9)
     # the smaller of a pair has the signature in its short prefix: one side of each join holds such rows only
-    more = u.filter("su").join(v, ["sig", "shell"]).filter(close).select("u", "v").unionByName(
-        u.filter("not su").join(v.filter("sv"), ["sig", "shell"]).filter(close).select("u", "v"))
+    def met(u, v):
+        return u.filter("su").join(v, ["sig", "shell"]).filter(close).select("u", "v").unionByName(
+            u.filter("not su").join(v.filter("sv"), ["sig", "shell"]).filter(close).select("u", "v"))
+
+    # members near their pivot have been compared with each other
+    more = met(u.filter("not ku"), v).unionByName(met(u.filter("ku"), v.filter("not kv")))
     # members whose size differs too much from the pivot's have no distance
     u2 = unknown.select("sig", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("small").alias("su"))
     v2 = rest.select("sig", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("small").alias("sv"))

@@ -101,8 +101,11 @@ def test_jaccard_in_a_group_of_near_copies_below_the_threshold(spark, monkeypatc
         for j in range(r.choice([1, 2, 4, 6, 8])):
             words[r.randrange(len(words))] = f"own{k}x{j}"
         rows.append((r.choice([k, k, 7]), " ".join(words[:r.choice([160, 160, 150, 60])])))
+    calls, plain = [], jaccard.delta_links
+    monkeypatch.setattr(jaccard, "delta_links", lambda m, p: calls.append(plain(m, p)) or calls[-1])
     got = sorted(map(tuple, jaccard.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()), key=str)
     assert got == brute.near_groups(rows, 3, 85)
+    assert sum(c.count() for c in calls) > 0  # some links only deltas show
 
 
 def test_line_dedup(docs, rows, none):
