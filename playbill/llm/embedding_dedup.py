@@ -187,7 +187,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, settings: Settings | N
     the smallest vec_id reachable.  Vectors that are null, empty or zero, hold
     null or non-finite parts, or have no other of their length link with
     nothing.  Each row is a vector of its own, repeated rows too; a row without
-    vec_id has the smallest one of its component, if there is any.
+    vec_id has the smallest one of its component, if there is any.  An empty
+    table gives no rows; columns other than vec_id and embedding are not read.
     """
     settings = settings or Settings()
     rows = usable(vectors)

@@ -110,8 +110,11 @@ def mark_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     """``docs`` with keep_id, group_size, kept and text_sha256.
 
     Every row gets a result.  Repeated rows of the kept doc_id are all kept
-    rows here; ``drop_duplicates`` leaves one of them.  Columns of ``docs``
-    with these names are replaced.
+    rows here; ``drop_duplicates`` leaves one of them.  Null texts count as
+    empty; null doc_ids come before all others.  Texts of any length are cut
+    into blocks, whole.  An empty table gives no rows.  Columns of ``docs``
+    with these names are replaced; others travel as one struct, so none
+    clashes.
     """
     base = docs.select(boxed(docs, "keep_id", "group_size", "kept", "text_sha256"), F.col("doc_id").alias("_id"),
                        text_key().alias("_key"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

@@ -395,6 +395,8 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     words the set is empty and links with nothing.  ``component_id`` is the
     smallest doc_id reachable.  Rows that share a doc_id are one document with
     several texts; rows without doc_id link with nothing and have no component.
+    Texts of any length are read whole; an empty table gives no rows; columns
+    other than doc_id and text are not read.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50..100")

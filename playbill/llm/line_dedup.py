@@ -161,7 +161,9 @@ def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, max_bits: int = MAX_BIT
     lower case.  Keys of at least ``least`` code points in two or more
     documents stay in the smallest doc_id only (there all their lines stay);
     a null doc_id comes last.  Repeated rows of one doc_id are one document.
-    A null or empty text is one empty line.
+    A null or empty text is one empty line; a text of any length is split
+    whole.  An empty table gives no rows.  Columns of ``docs`` with the names
+    of results are replaced; others travel as one struct, so none clashes.
     """
     new = ("kept_text", "n_lines", "n_dropped")
     lost = repeated_lines(docs.select("doc_id", "text"), least, max_bits)

@@ -65,7 +65,8 @@ def mix(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, most: int
     Budgets are targets rounded to whole words.  The order within a source is
     a hash of doc_id, then of source and text (or ``tie``), so reruns agree;
     rows equal in these are equal anyway.  Null doc_ids and sources are values like others; an empty table
-    gives an empty result.
+    gives an empty result.  Words of a text of any length are counted whole.
+    Columns other than doc_id, source and text are not returned.
     """
     size = word_count(docs["text"]) if size is None else size
     sized = stored(docs.select(

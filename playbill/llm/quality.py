@@ -194,7 +194,14 @@ def scores(text: Column, model: Trees) -> Column:
 
 def with_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """``docs`` with held_out, score and predicted (columns of these names are
-    replaced)."""
+    replaced; others stay as they are).
+
+    Every row has a score, null and empty texts and null doc_ids too, which
+    count as held out.  Rows that repeat, or share a doc_id with different
+    texts, are scored each by their own text; in training the mean label of a
+    doc_id counts once.  Texts of any length are read whole.  Without labels,
+    or with one kind only, every score is their share of ones.  An empty table
+    gives no rows."""
     model = train(docs, labels, **options)
     out = docs.drop("held_out", "score", "predicted")
     return out.withColumn("held_out", held_out(out["doc_id"])).withColumn("score", scores(out["text"], model)) \

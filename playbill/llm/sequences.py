@@ -57,7 +57,9 @@ def packed_pieces(docs: DataFrame, tokenizer: str, units: str = "leading", end_i
     """All pieces of ``docs`` with sequence_id and offset.
 
     Repeated rows are packed as often as they come; a null doc_id is a value
-    like others; an empty table has no pieces.
+    like others; a null or empty text is the end id alone; a text of any length
+    is encoded whole and cut; an empty table has no pieces.  Other columns are
+    not read.
     """
     found = stored(pieces(docs, tokenizer, units, end_id, capacity), "pieces")
     return pack(found, capacity, ["doc_id", "piece", "ids_crc32"]).select(

@@ -206,7 +206,10 @@ def dedup_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     window of ``window`` words that also starts in a document with a smaller
     doc_id goes; windows are judged on the input.  What is left is joined by
     one space.  A null text has no words; a null doc_id comes after all
-    others; repeated rows of one doc_id do not remove each other.
+    others; repeated rows of one doc_id do not remove each other.  Texts of any
+    length are read whole; an empty table gives no rows.  Columns with the
+    names of results are replaced; others travel as one struct, so none
+    clashes.
     """
     gone = repeats(docs.select("doc_id", "text"), window)
     base = docs.select(boxed(docs, "kept_text", "n_words", "n_removed"), *row_key(docs))

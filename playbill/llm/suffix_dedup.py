@@ -266,7 +266,10 @@ def dedup_bytes(docs: DataFrame, least: int = LEAST) -> DataFrame:
     ``least`` bytes that also starts anywhere else, in this text or another,
     goes; strings are judged on the input and never cross texts.  Repeated
     rows are texts of their own, so each of them goes.  ``kept_bytes`` is
-    binary: a cut may fall inside a character.
+    binary: a cut may fall inside a character.  Texts of any length are read
+    whole; a null doc_id is a value like others; an empty table gives no rows.
+    Columns with the names of results are replaced; others travel as one
+    struct, so none clashes.
     """
     if least < 2 * ANCHOR:
         raise ValueError(f"least must be at least {2 * ANCHOR}")

@@ -118,7 +118,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, units: str, end_id: int, path:
 
     Texts are range-sorted, then encoded and written by the task that holds
     them.  A segment ends at ``segment_ids``; a document stays in one segment.
-    A null text is the end id alone; repeated rows are written each.
+    A null or empty text is the end id alone; repeated rows are written each;
+    a text of any length is encoded whole.  An empty table gives files without
+    documents.  Columns other than doc_id and text are not read.
     """
     end = np.uint32(end_id)
 
