@@ -36,3 +36,27 @@ def test_stages(spark):
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     total = sum(len(model.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows[4])
     assert sum(r["length"] for r in seen[5].collect()) == total
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows and clashing columns go
+    through every stage, as does an empty table."""
+    from tests.llm.test_operators import SCHEMA, odd_rows
+    odd = spark.createDataFrame(odd_rows(), SCHEMA)
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stored(stage(spark, docs, SF), name)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert tuple(out.columns) == corpus_pipeline.COLUMNS
+            if docs is not odd:
+                assert out.count() == 0
+    rows = [(r[0], r[1]) for r in odd.collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    best = {}
+    for i, t in rows:
+        best[t or ""] = max((x for x in (best.get(t or ""), i) if x is not None), default=None)
+    got = stages["exact_dedup"](spark, odd, SF).collect()
+    assert sorted(((r["doc_id"], r["text"] or "") for r in got), key=str) == sorted(((i, t) for t, i in best.items()), key=str)
+    root = {i: c for i, _, c in brute.near_groups(rows, 5, 80)}
+    got = stages["ngram_jaccard_join"](spark, odd, SF).collect()
+    assert sorted(str((r["doc_id"], r["text"])) for r in got) == sorted(str((i, t)) for i, t in rows if i is None or root[i] == i)
