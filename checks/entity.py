@@ -262,6 +262,18 @@ def jn_4(spark, sf):
     return keyed(spark, sf).select("k", "source", "venue_key")
 
 
+@check("jn_4_venue_fallback", "WITH " + LISTING_SQL + """, r AS (
+  SELECT k, source, CASE WHEN k % 5 = 2 THEN 'hall_1' WHEN k % 5 > 2 THEN 'hall_' || venue_name[6:] END AS resolved FROM listing)
+SELECT k, source, CASE WHEN source = 'hall_5' THEN coalesce(resolved, source) WHEN source LIKE 'promo%' THEN resolved ELSE source END
+  AS venue_key FROM r""")
+def jn_4b(spark, sf):
+    """Unknown and missing venue names: curated sources fall back to
+    themselves, promoter rows have no key."""
+    rows = listing(spark, sf).withColumn("venue_name", F.expr(
+        "case k % 5 when 0 then 'Nowhere' when 1 then null when 2 then 'Hall 1' else venue_name end"))
+    return venues.assign_venue_key(rows, venues.venue_index(registry(spark, sf)), ["hall_5"], PROMOTERS).select("k", "source", "venue_key")
+
+
 @check("jn_5_match_key", r"""SELECT p_partkey, replace(p_name, ' ', '') || '~live' || lower(p_type) AS key FROM part""")
 def jn_5(spark, sf):
     from playbill.functions.text import match_key

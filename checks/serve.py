@@ -199,6 +199,23 @@ def cls_7(spark, sf):
     return classify.apply_title_en(rows, cache).select("id", "title_en", "title_en_mt", "title_queued")
 
 
+@check("cls_7_title_queue", """WITH q AS (
+  SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS pos FROM documents WHERE lang <> 'de' AND doc_id % 3 > 0), r AS (
+  SELECT id, CAST(pos AS INT) AS queue_pos, CAST((pos - 1) // 20 AS INT) AS batch_no FROM q WHERE pos <= 200)
+SELECT r.*, 'en ' || id AS title_en FROM r WHERE id % 7 > 0 UNION ALL SELECT r.*, NULL FROM r WHERE id % 7 = 0""")
+def cls_7b(spark, sf):
+    """The titles of one run's budget in batches, and the answers accepted."""
+    rows = table(spark, sf, "documents").selectExpr(
+        "doc_id id", "n_chars", "case when doc_id % 3 = 0 then 'plain title' else '東京公演' end title_ja",
+        "case when lang = 'de' then 'en' end title_en")
+    cache = spark.createDataFrame([], "event_id long, title_en string")
+    queue = classify.title_queue(classify.apply_title_en(rows, cache), [F.col("n_chars").desc(), F.col("id")])
+    # blank answers, and answers nobody asked for
+    said = table(spark, sf, "documents").selectExpr("doc_id event_id", "case when doc_id % 7 = 0 then ' ' else concat('en ', doc_id) end title_en")
+    got = classify.accept_titles(queue, said).withColumnRenamed("event_id", "id")
+    return queue.select("id", "queue_pos", "batch_no").join(got, "id", "left")
+
+
 @check("jn_16_caches", _LISTING + """, v AS (SELECT doc_id, CASE quality WHEN 1 THEN 'idol' ELSE 'k-pop' END AS genre FROM labels)
 SELECT id AS event_id, genre FROM listing JOIN v ON k = doc_id UNION ALL
 SELECT id, 'new' FROM listing WHERE k NOT IN (SELECT doc_id FROM labels)""")

@@ -202,3 +202,18 @@ def apply_title_en(events: DataFrame, cache: DataFrame) -> DataFrame:
         .withColumn("title_queued", F.col("_want") & F.col("_said").isNull()) \
         .withColumn("title_en", F.when(filled, F.col("_said")).otherwise(F.col("title_en"))) \
         .drop("_eid", "_said", "_want")
+
+
+def title_queue(events: DataFrame, order: Sequence[Column], cap: int = TITLE_QUEUE, batch: int = BATCH) -> DataFrame:
+    """Titles for an outside translator: of the rows ``apply_title_en`` left
+    queued the first ``cap`` of a run, with their batch number."""
+    return verdict_queue(events.filter("title_queued"), order, cap, batch)
+
+
+def accept_titles(queue: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Cache rows (event_id, title_en) from returned titles: of queued rows
+    only, and none that is blank; of several answers the smallest.  Rows
+    without one stay queued."""
+    said = verdicts.filter(F.trim(F.coalesce("title_en", F.lit(""))) != "") \
+        .groupBy("event_id").agg(F.min("title_en").alias("title_en"))
+    return said.join(queue.select(F.col("id").alias("event_id")).distinct(), "event_id", "left_semi")

@@ -244,3 +244,19 @@ def test_versions_are_bucketed_and_compacted_by_level(spark, tmp_path):
     assert part and part < set(want)
     assert staged.current(spark, root, before=0).count() == 0
     assert staged.current(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_titles_of_a_run_and_their_answers(spark):
+    """Only queued rows are asked for, the cap cuts a run, blank answers and
+    answers nobody asked for are not taken, and the next run asks the rest."""
+    from playbill.operators import classify
+    rows = spark.createDataFrame([(k, "東京公演" if k % 2 else "plain", "real" if k == 3 else None) for k in range(30)],
+                                 "id long, title_ja string, title_en string")
+    cache = spark.createDataFrame([(5, "five")], "event_id long, title_en string")
+    queue = classify.title_queue(classify.apply_title_en(rows, cache), [F.col("id")], cap=7, batch=3)
+    assert [(r["id"], r["batch_no"]) for r in queue.orderBy("id").collect()] == [(1, 0), (7, 0), (9, 0), (11, 1), (13, 1), (15, 1), (17, 2)]
+    said = spark.createDataFrame([(1, "one"), (1, "a one"), (7, " "), (9, None), (2, "two"), (19, "later")], "event_id long, title_en string")
+    fresh = classify.accept_titles(queue, said)
+    assert [tuple(r) for r in fresh.select("event_id", "title_en").collect()] == [(1, "a one")]
+    again = classify.title_queue(classify.apply_title_en(rows, cache.unionByName(fresh)), [F.col("id")], cap=7, batch=3)
+    assert sorted(r["id"] for r in again.collect()) == [7, 9, 11, 13, 15, 17, 19]
