@@ -127,6 +127,7 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str,
     sketch finds the heavy keys; their rows, and rows without a key, are
     dealt over ``salt`` tasks, and the right side's rows of heavy keys go to
     each.  ``how`` is inner or left."""
+    right = cut_lineage(right)  # counted and joined, but computed once
     if right.limit(max_rows + 1).count() <= max_rows:
         return left.join(F.broadcast(right), key, how)
     heavy = heavy_keys(left, key)
