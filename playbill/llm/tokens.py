@@ -32,6 +32,8 @@ from .grams import LOWER, Words, slices
 _LATIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: units a task remembers, and bytes of them; a full memory is emptied, which costs time only
 MEMORY, MEMORY_BYTES = 1_000_000, 1 << 26
+#: words and marks whose ids are at hand while units are told
+PIECES = 100_000
 #: bytes of text worked on at a time
 TEXT = 1 << 20
 
@@ -102,6 +104,8 @@ class Encoder:
         """Ids of a word or of marks, each merged once per task."""
         ids = self.pieces.get(word)
         if ids is None:
+            if len(self.pieces) >= PIECES:
+                self.pieces.clear()
             ids = self.pieces[word] = [t.id for t in self.merge(word)]
         return ids
 
