@@ -101,9 +101,13 @@ def split_lineup(text: Column, policy: LineupPolicy = LineupPolicy()) -> Column:
     return names if policy.most is None else F.slice(names, 1, policy.most)
 
 
+def bare_entry(raw: Column) -> Column:
+    """A line-up entry without the marks round it, its role still in front."""
+    return strip_chars(squeeze(F.coalesce(raw, F.lit(""))), " 　・/／|,、")
+
+
 def clean_artist(raw: Column) -> Column:
     """Display name of a line-up entry; null when it names nobody."""
-    bare = strip_chars(squeeze(F.coalesce(raw, F.lit(""))), " 　・/／|,、")
-    bare = F.trim(F.regexp_replace(bare, ROLE_PREFIX, ""))
+    bare = F.trim(F.regexp_replace(bare_entry(raw), ROLE_PREFIX, ""))
     ok = F.length(bare).between(2, 80) & ~bare.rlike(PLACEHOLDER)
     return F.when(ok, bare)

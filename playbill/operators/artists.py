@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playbill.functions.names import clean_artist
+from playbill.functions.names import bare_entry, clean_artist
 from playbill.functions.text import escape_regex, fold, name_key, squeeze
 from playbill.operators.containment import contained_pairs
 from playbill.operators.ranking import spread_join
@@ -63,14 +63,18 @@ def spell_canonically(names: DataFrame, name: str, aliases: DataFrame,
 
 def lineup_names(events: DataFrame, aliases: DataFrame) -> DataFrame:
     """(id, raw, cleaned, name, key, pos): acts named in line-ups.  A long
-    entry equal to the event's own title is a billing line, not an act."""
+    entry equal to the event's own title is a billing line, not an act, also
+    when the title begins like a role ("With ...")."""
     rows = events.select("id", name_key(F.col("title_ja")).alias("_ja"),
                          name_key(F.col("title_en")).alias("_en"),
                          F.posexplode("lineup").alias("pos", "raw")) \
         .withColumn("cleaned", clean_artist(F.col("raw"))).filter("cleaned is not null") \
-        .withColumn("_k0", name_key(F.col("cleaned")))
-    billing = ((F.col("_k0") == F.col("_ja")) | (F.col("_k0") == F.col("_en"))) \
-        & (F.length("_k0") >= BILLING_CHARS)
+        .withColumn("_k0", name_key(F.col("cleaned"))).withColumn("_whole", name_key(bare_entry(F.col("raw"))))
+
+    def own_title(key: str) -> Column:
+        return F.col(key).isin(F.col("_ja"), F.col("_en")) & (F.length(key) >= BILLING_CHARS)
+
+    billing = own_title("_k0") | own_title("_whole")
     named = spell_canonically(rows.filter(~billing), "cleaned", aliases, "name")
     return named.withColumn("key", name_key(F.col("name"))) \
         .select("id", "pos", "raw", "cleaned", "name", "key")

@@ -203,3 +203,14 @@ def test_publish(spark, tmp_path):
     assert (tmp_path / "cal" / "calendar=ical%2Fbudokan").exists()
 
 
+
+
+def test_billing_line_that_begins_like_a_role(spark):
+    """A long title copied into the line-up is no act, whatever it begins with; a guest is one."""
+    rows = numbered(spark, *[
+        dict(source="www", source_url=str(n), title_ja=title, start_date=DAY, venue_name="WWW", venue_key="www", lineup=lineup)
+        for n, (title, lineup) in enumerate([
+            ("With the long and winding road", ["With the long and winding road", "with Yorushika"]),
+            ("With ABBA", ["With ABBA"]), ("A night to remember, again", ["A night to remember, again"])])])
+    got = artists.lineup_names(rows, artists.alias_table(spark)).select("id", "cleaned").collect()
+    assert sorted(map(tuple, got)) == [("0", "Yorushika"), ("1", "ABBA")]
