@@ -160,9 +160,10 @@ def apply_genres(events: DataFrame, cache: DataFrame) -> DataFrame:
 def verdict_queue(rows: DataFrame, order: Sequence[Column], cap: int = GENRE_QUEUE,
                   batch: int = BATCH) -> DataFrame:
     """Rows for an outside tagger: the first ``cap`` with their batch number.
-    The cap is the size of a run, the rest waits for the next one."""
-    return top_per_key(rows.withColumn("_all", F.lit(1)), ["_all"], order, cap, "queue_pos") \
-        .withColumn("batch_no", F.floor((F.col("queue_pos") - 1) / batch).cast("int")).drop("_all")
+    The cap is the size of a run, the rest waits for the next one.  The queue
+    is stored: whoever reads it again does not classify all rows again."""
+    return cut_lineage(top_per_key(rows.withColumn("_all", F.lit(1)), ["_all"], order, cap, "queue_pos")
+                       .withColumn("batch_no", F.floor((F.col("queue_pos") - 1) / batch).cast("int")).drop("_all"))
 
 
 def accept_verdicts(queue: DataFrame, verdicts: DataFrame,

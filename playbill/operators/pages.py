@@ -24,6 +24,7 @@ from playbill.functions.times import open_start
 from playbill.functions.urls import absolute_url, code_links, is_generic_link, provider_of
 from playbill.operators.ranking import carry_forward, first_per_key
 from playbill.schema import LINKS
+from playbill.session import cut_lineage
 
 HIDDEN = r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</\1\s*>|<!doctype[^>]*>"
 TAG = r"(?s)<[A-Za-z/!?][^>]*>"
@@ -287,7 +288,9 @@ def inner_text(table: DataFrame, wanted: DataFrame, page_id: str = "page_id", na
 def modal_links(table: DataFrame, page_id: str = "page_id", button: str = "data-modal-target",
                 modal: str = "data-modal-id") -> DataFrame:
     """(page_id, target, href, link_text): links inside the element that a
-    button names, for sites whose buttons carry an id instead of a URL."""
+    button names, for sites whose buttons carry an id instead of a URL.
+    ``table`` is read four times, so it is stored once here."""
+    table = cut_lineage(table)
     buttons = table.select(page_id, F.col("attrs")[button].alias("target")) \
         .filter("target is not null and target <> ''").distinct()
     modals = first_per_key(

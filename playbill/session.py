@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: rows up to which a dimension may be broadcast; counted, never assumed
 BROADCAST_ROWS = 200_000
+#: rows of heavy per-row work that one task does
+TASK_ROWS = 50_000
 
 
 def build_session(master: str | None = None, **conf: str) -> SparkSession:
@@ -61,14 +63,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     lost executors, plans after it start small and prune its columns, and its
     size is known when a join is planned.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return store(df, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy per-row work on an input with fewer splits
-    than cores; an input with enough splits is returned as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def store(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read back."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Use all cores for heavy per-row work on an input with fewer splits than
+    it should have tasks: one per core, and one per ``TASK_ROWS`` rows, so that
+    a task does not grow with the input.  An input with enough splits is
+    returned as it is.  ``rows`` saves the count, which a stored table answers
+    from its footers."""
+    rows = df.count() if rows is None else rows
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
