@@ -2,7 +2,7 @@
 
 Flat facts come from regular expressions in the JVM.  Where nesting matters,
 ``elements`` turns a page into a table of its elements (one small stdlib
-parser per row, inside ``mapInPandas``) and the rest is joins over it.
+parser per row, inside ``mapInArrow``) and the rest is joins over it.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ import re
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,6 +162,14 @@ ELEMENT_SCHEMA = ("pos int, tag string, attrs map<string,string>, parent int, un
                   "cell struct<table_pos:int,row:int,col:int,rows:int,cols:int>, runs array<string>")
 
 
+#: a page of plain tags, and its pieces; anything else is left to the parser
+_NAME = r"(?!(?:script|style|textarea|title|iframe|noembed|noframes|noscript|xmp|plaintext|svg|math)\b)[a-z][a-z0-9]*"
+_ATTRS = r"(?:[ \n]+[a-z][a-z0-9-]*=\"[^\"<>&]*\")*"
+_PLAIN = re.compile(rf"(?:[^<&\0]++|<{_NAME}{_ATTRS}>|</{_NAME}>)*+")
+_PIECE = re.compile(rf"([^<]+)|<([a-z][a-z0-9]*)({_ATTRS})>|</([a-z][a-z0-9]*)>")
+_ATTR = re.compile(r'([a-z][a-z0-9-]*)="([^"]*)"')
+
+
 class _Grid:
     """Where the cells of one table fall: a cell takes the first column that
     no cell of an earlier row reaches down to."""
@@ -185,7 +195,7 @@ class _Grid:
         last = self.row + rows - 1 if rows else 1 << 30
         for c in range(at, at + cols):
             self.reach[c] = max(self.reach.get(c, -1), last)
-        return self.pos, self.row, at, rows, cols
+        return {"table_pos": self.pos, "row": self.row, "col": at, "rows": rows, "cols": cols}
 
 
 class _Reader(HTMLParser):
@@ -200,14 +210,23 @@ class _Reader(HTMLParser):
     @classmethod
     def read(cls, page: str) -> list[tuple]:
         reader = cls()
-        reader.feed(page)
-        reader.close()
+        if _PLAIN.fullmatch(page):
+            for text, start, attrs, end in _PIECE.findall(page):
+                if text:
+                    reader.handle_data(text)
+                elif start:
+                    reader.handle_starttag(start, _ATTR.findall(attrs) if attrs else [])
+                else:
+                    reader.handle_endtag(end)
+        else:
+            reader.feed(page)
+            reader.close()
         last, end = len(reader.rows) - 1, len(reader.runs)
-        out = [(PAGE, PAGE_TAG, {}, None, last, 0, end, None, reader.runs)]
+        out = [(PAGE, PAGE_TAG, [], None, last, 0, end, None, reader.runs)]
         for i, (tag, attrs, parent, until, start, stop, cell) in enumerate(reader.rows):
             if until is None:
                 until, stop = (i, start) if tag in _VOID else (last, end)
-            out.append((i, tag, attrs, parent, until, start, stop, cell, None))
+            out.append((i, tag, list(attrs.items()), parent, until, start, stop, cell, None))
         return out
 
     def handle_starttag(self, tag, attrs):
@@ -249,11 +268,17 @@ class _Reader(HTMLParser):
             self.runs.append(data.strip())
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = ["id", "pos", "tag", "attrs", "parent", "until", "text_from", "text_to", "cell", "runs"]
-    frame = pd.DataFrame(rows, columns=names).astype({"parent": "Int32"})
-    frame["cell"] = [None if c is None else dict(zip(("table_pos", "row", "col", "rows", "cols"), c)) for c in frame["cell"]]
-    return frame
+_ELEMENT_TYPES = {
+    "pos": pa.int32(), "tag": pa.string(), "attrs": pa.map_(pa.string(), pa.string()), "parent": pa.int32(), "until": pa.int32(),
+    "text_from": pa.int32(), "text_to": pa.int32(),
+    "cell": pa.struct([(n, pa.int32()) for n in ("table_pos", "row", "col", "rows", "cols")]), "runs": pa.list_(pa.string())}
+
+
+def _columns(idents: pa.Array, counts: list[int], rows: list[tuple]) -> pa.RecordBatch:
+    """Element rows of consecutive pages, the i-th with ``counts[i]`` rows."""
+    ident = idents.take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+    cols = [pa.array(col, kind) for col, kind in zip(zip(*rows), _ELEMENT_TYPES.values())]
+    return pa.RecordBatch.from_arrays([ident, *cols], names=["id", *_ELEMENT_TYPES])
 
 
 def elements(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
@@ -262,18 +287,20 @@ def elements(pages: DataFrame, page_id: str = "page_id", html: str = "html") ->
     one row per page, at PAGE, with the runs themselves."""
     key = pages.schema[page_id].dataType.simpleString()
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ident, source in zip(batch.iloc[:, 0], batch.iloc[:, 1]):
-                rows += [(ident, *row) for row in _Reader.read(source or "")]
+            idents, first, counts, rows = batch.column(0), 0, [], []
+            for source in batch.column(1).to_pylist():
+                found = _Reader.read(source or "")
+                rows += found
+                counts.append(len(found))
                 if len(rows) > ELEMENT_BATCH:
-                    yield _frame(rows)
-                    rows = []
-        if rows:
-            yield _frame(rows)
+                    yield _columns(idents.slice(first, len(counts)), counts, rows)
+                    first, counts, rows = first + len(counts), [], []
+            if rows:
+                yield _columns(idents.slice(first, len(counts)), counts, rows)
 
-    return pages.select(page_id, html).mapInPandas(read, f"id {key}, {ELEMENT_SCHEMA}") \
+    return pages.select(page_id, html).mapInArrow(read, f"id {key}, {ELEMENT_SCHEMA}") \
         .withColumnRenamed("id", page_id)
 
 

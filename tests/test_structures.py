@@ -260,3 +260,19 @@ def test_titles_of_a_run_and_their_answers(spark):
     assert [tuple(r) for r in fresh.select("event_id", "title_en").collect()] == [(1, "a one")]
     again = classify.title_queue(classify.apply_title_en(rows, cache.unionByName(fresh)), [F.col("id")], cap=7, batch=3)
     assert sorted(r["id"] for r in again.collect()) == [7, 9, 11, 13, 15, 17, 19]
+
+
+def test_pages_of_plain_tags_read_as_the_parser_reads_them(monkeypatch):
+    """Plain tags are cut by a pattern, everything else goes through the
+    parser; both give the same elements."""
+    pieces = ["<p>", "</p>", '<td colspan="2">', "<td>", "<table>", "</table>", "<tr>", "<dl>", "<dt>", '<dd class="a b">', "<br>",
+              '<div id="a" id="b">', "</div>", " x ", ">", "<optio", "&amp;", "<!-- c -->", "<script>", "</script>", "<title>", "</title>"]
+    rng = random.Random(3)
+    made = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 8))) for _ in range(2000)]
+    plain = '<table><tr><th>a</th><td colspan="2">b</td></tr></table>'
+    got = [pages._Reader.read(p) for p in made]
+    with monkeypatch.context() as m:
+        m.setattr(pages, "_PLAIN", pages.re.compile("(?!)"))
+        assert got == [pages._Reader.read(p) for p in made]
+    monkeypatch.setattr(pages._Reader, "feed", None)  # not needed for plain tags
+    assert len(pages._Reader.read(plain)) == 5
