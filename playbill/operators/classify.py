@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playbill.functions.text import mostly_ascii
+from playbill.functions.text import let, mostly_ascii
 from playbill.operators.ranking import top_per_key
 from playbill.schema import GENRES, MUSIC_CATEGORIES
+from playbill.session import cut_lineage
 
 # Tagging rules in order, and what an untagged row most likely is.
 GENRE_RULES = (
@@ -104,8 +105,8 @@ def rule_labels(text: Column, rules: Rules = GENRE_RULES, most: int = MOST_GENRE
         every = F.lit(True)
         for p in patterns:
             every = every & text.rlike(p)
-        hits = F.when(every & ~F.array_contains(hits, label),
-                      F.array_append(hits, label)).otherwise(hits)
+        hits = let(hits, lambda h: F.when(~F.array_contains(h, label) & every,
+                                          F.array_append(h, label)).otherwise(h))
     return F.slice(hits, 1, most)
 
 
@@ -117,7 +118,7 @@ def rule_genres(events: DataFrame, rules: Rules = GENRE_RULES,
                 prior: Mapping[str, str] = SOURCE_PRIOR) -> DataFrame:
     """Add ``rule_genres`` and ``confident``: rules, else the source's prior,
     which is never confident."""
-    hits = rule_labels(event_text(), rules)
+    hits = let(event_text(), lambda t: rule_labels(t, rules))
     guess = lookup(prior, F.col("source"))
     return events.withColumn("_hits", hits).withColumn("confident", F.size("_hits") > 0) \
         .withColumn("rule_genres", F.when(F.col("confident"), F.col("_hits"))

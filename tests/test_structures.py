@@ -276,3 +276,15 @@ def test_pages_of_plain_tags_read_as_the_parser_reads_them(monkeypatch):
         assert got == [pages._Reader.read(p) for p in made]
     monkeypatch.setattr(pages._Reader, "feed", None)  # not needed for plain tags
     assert len(pages._Reader.read(plain)) == 5
+
+
+def test_rules_are_asked_once_for_a_label(spark):
+    """A compound rule reads the other rules' answer without asking again,
+    and the queue of uncertain rows can be built."""
+    from playbill.operators import classify
+    labels = classify.rule_labels(F.col("t"), [("x", "rule-of-x")], compound=("y", ("p", "q")))
+    rows = spark.createDataFrame([("rule-of-x p q",), ("pq",), ("",)], "t string").select(labels.alias("l"))
+    assert [r["l"] for r in rows.collect()] == [["x", "y"], ["y"], []]
+    assert rows._jdf.queryExecution().analyzed().toString().count("rule-of-x") == 1
+    queue = classify.verdict_queue(spark.createDataFrame([(k,) for k in range(5)], "id long"), [F.col("id")], cap=3, batch=2)
+    assert sorted(map(tuple, queue.select("id", "batch_no").collect())) == [(0, 0), (1, 0), (2, 1)]
