@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from playbill.functions.dates import every_day
 from playbill.functions.text import match_key, match_keys, name_key, needle_floor
 from playbill.operators.containment import contained_pairs
-from playbill.operators.firstfit import SHORTEST_NAME, first_fit
+from playbill.operators.firstfit import IN_ORDER, SHORTEST_NAME, first_fit
 from playbill.operators.ranking import null_safe_join
 from playbill.operators.select import union_links
 from playbill.schema import LINKS
@@ -116,7 +116,7 @@ def fold_into(targets: DataFrame, folds: DataFrame) -> DataFrame:
 # --- promoter against promoter ---------------------------------------------
 
 
-def fold_promoters(rows: DataFrame, aliases: Mapping[str, str] | None = None) -> DataFrame:
+def fold_promoters(rows: DataFrame, aliases: Mapping[str, str] | None = None, in_order: int = IN_ORDER) -> DataFrame:
     """(id, ord, target_id): promoter rows of one day and venue that describe
     a show an earlier kept row already lists.
 
@@ -127,7 +127,8 @@ def fold_promoters(rows: DataFrame, aliases: Mapping[str, str] | None = None) ->
 
     Copies (same source, time and parts) always share one fate when they
     overlap themselves, so only the first of them is judged.  ``first_fit``
-    settles all days and venues together in rounds.
+    takes small days and venues in order and settles larger ones together in
+    rounds.
     """
     parts = cut_lineage(parts_of(rows, aliases, extra=("start_time",)))
     looks = parts.groupBy(*GROUP, "id", "ord", "source", "start_time").agg(
@@ -141,7 +142,7 @@ def fold_promoters(rows: DataFrame, aliases: Mapping[str, str] | None = None) ->
                                           F.min("ord").alias("lead_ord")))
     groups = cut_lineage(judged.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_size"))
                          .filter("_size > 1").withColumn("g", F.monotonically_increasing_id()).drop("_size"))
-    scanned = first_fit(null_safe_join(judged, groups, GROUP, "inner"))
+    scanned = first_fit(null_safe_join(judged, groups, GROUP, "inner"), in_order)
     fate = null_safe_join(looks.select(*sig, "id", "ord"), judged.select(*sig, "lead"),
                           sig, "inner").join(scanned, "lead", "left") \
         .withColumn("kept", F.coalesce("kept", "lead"))

@@ -47,6 +47,34 @@ def test_first_fit_of_a_hot_group(spark):
     assert got == brute_promoter_fold(rows)
 
 
+def test_first_fit_in_order_equals_rounds(spark):
+    """Several days and venues, some taken in order and some in rounds."""
+    r = random.Random(5)
+    words = ["ring", "ring bolt", "bolt", "gear", "abc", "ab", "rod gear", "夏祭", "x"]
+    rows = [row(n, r.choice(PROMO), r.choice(words), r.sample(words, r.randint(0, 2)), venue_key=r.choice("aaaabc"),
+                start_time=r.choice([None, "", "12:00", "18:00"])) for n in range(120)]
+    want = {}
+    for key in "abc":
+        want |= brute_promoter_fold([x for x in rows if x["venue_key"] == key])
+    for in_order in (0, 60, 20_000):
+        got = {x["id"]: x["target_id"] for x in overlap.fold_promoters(numbered(spark, *rows), in_order=in_order).collect()}
+        assert got == want
+
+
+def test_first_fit_jobs_do_not_grow_with_a_chain(spark):
+    """Each row overlaps only the one before it; rounds settle one a time."""
+    rows = [row(n, PROMO[n % 2], f"title {n:03d}", [f"name {n:03d}", f"name {n + 1:03d}"], start_time=None) for n in range(12)]
+    events = numbered(spark, *rows).localCheckpoint()
+    spark.sparkContext.setJobGroup("chain", "first fit of a chain")
+    try:
+        got = {x["id"]: x["target_id"] for x in overlap.fold_promoters(events).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == brute_promoter_fold(rows) == {str(n): str(n - 1) for n in range(1, 12, 2)}
+    assert jobs < 80
+
+
 def test_short_festival_names(spark):
     fest = [row(0, "fest", "x", venue_key="f1", venue_name="Q (TOKYO)"), row(1, "fest", "y", venue_key="f2", venue_name="夏 (TOKYO)"),
             row(2, "fest", "z", venue_key="f3", venue_name="JK")]
