@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playbill.session import sized_broadcast
+from playbill.session import cut_lineage, sized_broadcast
 
 #: characters of a piece
 PIECE = 3
@@ -75,7 +75,8 @@ def contained_pairs(needles: DataFrame, hays: DataFrame, group: Sequence[str],
 
 
 def _pairs(wanted: DataFrame, texts: DataFrame, group: list[str], size: int, heavy: int) -> DataFrame:
-    rare = rare_pieces(wanted.select("needle"), texts.select("hay"), size, heavy)
+    # read three times below
+    rare = cut_lineage(rare_pieces(wanted.select("needle"), texts.select("hay"), size, heavy))
     # a piece is as heavy for all of its needles
     looked_up = sized_broadcast(rare.select("_piece", "_parts").distinct())
 

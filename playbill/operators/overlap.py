@@ -66,9 +66,12 @@ def overlapping_parts(promo: DataFrame, venue: DataFrame) -> DataFrame:
 def first_overlap(promo_parts: DataFrame, venue_parts: DataFrame) -> DataFrame:
     """(id, ord, venue_id): for every promoter row the first venue row, by
     ``ord``, on the same day and venue that overlaps it."""
-    promo, venue = cut_lineage(promo_parts), cut_lineage(venue_parts)
-    pairs = overlapping_parts(promo, venue)
-    first = F.min(F.struct("ord", "id")).alias("_first")
+    promo = cut_lineage(promo_parts.select(*GROUP, "id", "ord", "part"))
+    strings = cut_lineage(promo.select(*GROUP, "part").distinct())
+    # of the venue rows only the first per string counts; strings come many times
+    venue = cut_lineage(venue_parts.groupBy(*GROUP, "part", "is_title").agg(F.min(F.struct("ord", "id")).alias("_first")))
+    pairs = overlapping_parts(strings, venue)
+    first = F.min("_first").alias("_first")
     # a venue part reached by the promoter's needle counts for every row that
     # shows it; one used as a needle only for rows it is searchable in
     any_row = venue.groupBy(*GROUP, F.col("part").alias("v_part")).agg(first) \
@@ -77,8 +80,7 @@ def first_overlap(promo_parts: DataFrame, venue_parts: DataFrame) -> DataFrame:
         .withColumn("by", F.lit("venue"))
     reach = null_safe_join(pairs, any_row.unionByName(able_row), [*GROUP, "v_part", "by"], "inner") \
         .groupBy(*GROUP, F.col("p_part").alias("part")).agg(F.min("_first").alias("_first"))
-    return null_safe_join(promo.select(*GROUP, "id", "ord", "part"), reach, [*GROUP, "part"],
-                          "inner") \
+    return null_safe_join(promo, reach, [*GROUP, "part"], "inner") \
         .groupBy("id", "ord").agg(F.min("_first").alias("_first")) \
         .select("id", "ord", F.col("_first.id").alias("venue_id"))
 
