@@ -75,6 +75,18 @@ def test_first_fit_jobs_do_not_grow_with_a_chain(spark):
     assert jobs < 80
 
 
+def test_first_overlap_looks_up_distinct_strings(spark, monkeypatch):
+    """Many rows with one title: the search sees the title once a side, and
+    every row still finds the first venue row."""
+    rows = [row(n, "p1", "ring bolt", ["gear"]) for n in range(30)] + [row(n, "www", "ring bolt live", ["rod"]) for n in range(30, 60)]
+    seen, search = [], overlap.overlapping_parts
+    monkeypatch.setattr(overlap, "overlapping_parts", lambda a, b: seen.extend([a.count(), b.count()]) or search(a, b))
+    parts = [overlap.parts_of(numbered(spark, *side)) for side in (rows[:30], rows[30:])]
+    got = {x["id"]: x["venue_id"] for x in overlap.first_overlap(*parts).collect()}
+    assert got == {str(n): "30" for n in range(30)}
+    assert seen == [2, 2]
+
+
 def test_short_festival_names(spark):
     fest = [row(0, "fest", "x", venue_key="f1", venue_name="Q (TOKYO)"), row(1, "fest", "y", venue_key="f2", venue_name="夏 (TOKYO)"),
             row(2, "fest", "z", venue_key="f3", venue_name="JK")]
