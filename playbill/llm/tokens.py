@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import gc
 import re
-from itertools import chain
+from collections.abc import Iterable
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,12 @@ from .grams import LOWER, Words, slices
 
 #: a word of Latin letters and ASCII marks behind it, but for the apostrophe, which rules of tokenizers look at
 _LATIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-#: units a task remembers, and bytes of them; a full memory is emptied, which costs time only
+#: units a task remembers, and bytes of them; of a full memory those met again stay, which costs time only
 MEMORY, MEMORY_BYTES = 1_000_000, 1 << 26
 #: words and marks whose ids are at hand while units are told
 PIECES = 100_000
 #: bytes of text worked on at a time
-TEXT = 1 << 20
+TEXT = 1 << 19
 
 
 def _byte_letters() -> dict[int, str]:
@@ -60,6 +61,20 @@ def odd_rows(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.diff(np.append(0, np.cumsum(hit))[off]) > 0
 
 
+class Numbers(dict):
+    """unit -> number; a unit met for the first time gets the next one and is
+    listed in ``new``."""
+
+    def __init__(self, units: Iterable[bytes] = ()):
+        super().__init__(zip(units, count()))
+        self.new: list[bytes] = []
+
+    def __missing__(self, unit: bytes) -> int:
+        number = self[unit] = len(self)
+        self.new.append(unit)
+        return number
+
+
 class Encoder:
     """Ids of columns of texts, as unsigned 32-bit arrays."""
 
@@ -72,14 +87,26 @@ class Encoder:
         self.added = sorted({t.content.encode().translate(LOWER.tobytes()) for t in self.whole.get_added_tokens_decoder().values()} - {b""})
         self.merge, self.letters = self.whole.model.tokenize, _byte_letters()
         self.units, self.memory = units, memory
+        self.pieces: dict[str, list[int]] = {}
         self._clear()
 
     def _clear(self) -> None:
-        #: unit -> number; ids of unit k are flat[starts[k]:starts[k + 1]]
-        self.known: dict[bytes, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        #: ids of unit k are flat[starts[k]:starts[k + 1]]; again[k]: met in a later slice than its first
+        self.known = Numbers()
         self.held = 0
-        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.starts, self.again = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def _forget(self) -> None:
+        """Keep the units that were met again, at most half of what fits."""
+        keep = np.flatnonzero(self.again)
+        held = [u for u, k in zip(self.known, self.again.tolist(), strict=True) if k]
+        size = np.diff(self.starts)[keep]
+        if len(keep) > self.memory // 2 or sum(map(len, held)) > MEMORY_BYTES // 2:
+            return self._clear()
+        total = np.append(0, np.cumsum(size))
+        self.flat = self.flat[np.repeat(self.starts[keep] - total[:-1], size) + np.arange(total[-1])]
+        self.known, self.starts, self.held = Numbers(held), total, sum(map(len, held))
+        self.again = np.zeros(len(keep), bool)
 
     def _with_added(self, raw: bytes, off: np.ndarray) -> np.ndarray:
         """Rows that hold the string of an added token in any case."""
@@ -101,19 +128,18 @@ class Encoder:
         return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _merged(self, word: str) -> list[int]:
-        """Ids of a word or of marks, each merged once per task."""
-        ids = self.pieces.get(word)
-        if ids is None:
-            if len(self.pieces) >= PIECES:
-                self.pieces.clear()
-            ids = self.pieces[word] = [t.id for t in self.merge(word)]
+        """Ids of a word or of marks that are not at hand."""
+        if len(self.pieces) >= min(PIECES, self.memory):
+            self.pieces.clear()
+        ids = self.pieces[word] = [t.id for t in self.merge(word)]
         return ids
 
     def _unit_ids(self, units: list[str]) -> list[list[int]]:
         lower, space = self.units == "words", self._written(" ")
+        at_hand, told = self.pieces.get, _LATIN.fullmatch
         out, odd = [], []
         for k, unit in enumerate(units):
-            found = _LATIN.fullmatch(unit)
+            found = told(unit)
             if found is None:
                 odd.append(k)
                 out.append(None)
@@ -123,8 +149,10 @@ class Encoder:
                 word = word.lower()
             if not word.isascii():
                 word = self._written(word)
-            ids = self._merged(space + word if lead else word)
-            out.append(ids + self._merged(tail) if tail else ids)
+            if lead:
+                word = space + word
+            ids = at_hand(word) or self._merged(word)
+            out.append(ids + (at_hand(tail) or self._merged(tail)) if tail else ids)
         for k, ids in zip(odd, self._ids([units[k] for k in odd]), strict=True):
             out[k] = ids
         return out
@@ -148,7 +176,7 @@ class Encoder:
         """(row, ids) of every text in order; a null text has none."""
         for first, data, off in slices(texts, TEXT):
             if len(self.known) > self.memory or self.held > MEMORY_BYTES:
-                self._clear()
+                self._forget()
             raw, known, bounds = data.tobytes(), self.known, off.tolist()
             if self.units == "words":
                 rows = [raw[a:b].split() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]  # bytes: ASCII white space only
@@ -157,21 +185,20 @@ class Encoder:
             else:
                 begin, end, upto = self._ranges(Words(data, off))
                 units = [raw[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
-            number = list(map(known.get, units))
-            if None in number:
-                new = list(dict.fromkeys(u for u, k in zip(units, number, strict=True) if k is None))
+            n = len(known)
+            unit = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+            self.again[unit[unit < n]] = True
+            if known.new:
+                new, known.new = known.new, []
                 collects = gc.isenabled()
                 gc.disable()  # many small lists that live on
                 found = self._unit_ids([u.decode() for u in new])
                 if collects:
                     gc.enable()
-                n = len(self.starts) - 1
-                known.update(zip(new, range(n, n + len(new)), strict=True))
                 self.held += sum(map(len, new))
-                number = [known[u] for u in units]
                 self.starts = np.append(self.starts, self.starts[-1] + np.cumsum([len(x) for x in found]))
-                self.flat = np.append(self.flat, np.fromiter((t for x in found for t in x), np.uint32))
-            unit = np.array(number, np.int64)
+                self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(found), np.uint32))
+                self.again = np.append(self.again, np.zeros(len(new), bool))
             size = self.starts[unit + 1] - self.starts[unit]
             total = np.append(0, np.cumsum(size))
             ids = self.flat[np.repeat(self.starts[unit] - total[:-1], size) + np.arange(total[-1])]
@@ -188,8 +215,9 @@ class Encoder:
 _made: dict = {}
 
 
-def encoder(path: str, units: str) -> Encoder:
-    """One encoder per Python worker."""
-    if (path, units) not in _made:
-        _made[path, units] = Encoder(path, units)
-    return _made[path, units]
+def encoder(path: str, units: str, memory: int = MEMORY) -> Encoder:
+    """One encoder per Python worker; another takes its place."""
+    if (path, units, memory) not in _made:
+        _made.clear()
+        _made[path, units, memory] = Encoder(path, units, memory)
+    return _made[path, units, memory]

@@ -101,3 +101,17 @@ def test_running_sums(spark):
     got = common.running_sums(spark.createDataFrame(rows, "g long, k long, v long"), "g", ["k"], "v", "sums")
     want = {(g, k): sum(v for g2, k2, v in rows if g2 == g and k2 < k) for g, k, _ in rows}
     assert {(x["g"], x["k"]): x["before"] for x in got.collect()} == want
+
+
+def test_units_met_again_stay_when_memory_is_full(monkeypatch):
+    """A full memory keeps the units met again: they are merged once."""
+    monkeypatch.setattr(tokens, "TEXT", 256)
+    code = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), "leading", memory=60)
+    asked, unit_ids = [], code._unit_ids
+    code._unit_ids = lambda units: asked.extend(units) or unit_ids(units)
+    letters = "abcdefghij"
+    texts = ["common word " + " ".join(f"q{letters[k // 100]}{letters[k // 10 % 10]}{letters[k % 10]}{j * 'z'}" for j in range(20))
+             for k in range(100)]
+    rows = dict(code.encode(pa.array(texts)))
+    assert asked.count("common") == asked.count(" word") == 1
+    assert [rows[k].tolist() for k in range(100)] == [code._ids([t])[0] for t in texts]
