@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from playbill.llm import exact_dedup, jaccard, mixing, quality, sequences
 from playbill.llm.common import stored
 
+#: distinct words an encoder remembers: workers of all stages share an executor
+WORDS = 150_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -50,7 +52,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed into sequences of 2048 tokens.  A null
     or empty text is its end id; repeated rows are packed each."""
-    return sequences.packed_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), "leading", 0, sequences.CAPACITY)
+    return sequences.packed_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), "leading", 0, sequences.CAPACITY,
+                                   memory=WORDS)
 
 
 STAGES = [

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, discard, stored
+from .common import connected, discard, give_back, stored
 from .grams import Words, mixed, slices, windows
 
 WIDTH, PERCENT = 5, 80
@@ -148,6 +148,7 @@ def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
             d1.append(int(tokens.sum(dtype=np.uint64).astype(np.int64)))
             d2.append(int(mixed(tokens).sum(dtype=np.uint64).astype(np.int64)))
             slots.append(slot(tokens[:lacking(len(tokens), percent) + 1]).astype(np.int32))
+        give_back()
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
                                            _lists(slots, np.int32)], ["n", "d1", "d2", "slots"])
 
@@ -184,6 +185,7 @@ def signature_rows(docs: DataFrame, frequent: np.ndarray, shift: int, width: int
             a, b = signatures(tokens, (bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1, percent)
             short.append(a)
             long.append(b)
+        give_back()
         return pa.StructArray.from_arrays([_lists(short, np.int64), _lists(long, np.int64)], ["short", "long"])
 
     found = F.arrow_udf(work, "short array<long>, long array<long>")("text")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import give_back, stored
 from .grams import Words, slices
 
 #: bound of the labelled rows a model is fitted on
@@ -91,7 +91,9 @@ def statistics(texts: pa.Array) -> np.ndarray:
         kinds[np.repeat(np.arange(len(n)), n), data] = True
         col["distinct_bytes"] = kinds.sum(axis=1)
         parts.append(np.column_stack([col[s] for s in STATISTICS]).astype(float))
-    return np.concatenate(parts)
+    out = np.concatenate(parts)
+    give_back()
+    return out
 
 
 @dataclass(frozen=True)

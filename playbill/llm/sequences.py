@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import give_back, stored
 from .packing import pack
-from .tokens import encoder
+from .tokens import MEMORY, drop_encoders, encoder
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -27,14 +27,16 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, units: str = "leading", end_id: int = 0,
-           capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+           capacity: int = CAPACITY, with_ids: bool = False, memory: int = MEMORY) -> DataFrame:
     """Pieces of every document: its ids and ``end_id``, cut only if longer
     than ``capacity``.  A null or empty text is the end id alone.  With
-    ``with_ids`` the ids come along as little-endian unsigned 32-bit bytes."""
+    ``with_ids`` the ids come along as little-endian unsigned 32-bit bytes.
+    A worker remembers the ids of about ``memory`` distinct words; fewer than
+    usual cost time, not results, and are forgotten when a task ends."""
     end = np.array([end_id], np.uint32).tobytes()
 
     def encode(batches):
-        code = encoder(tokenizer, units)
+        code = encoder(tokenizer, units, memory)
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
             cols = [[] for _ in range(6)]
@@ -48,12 +50,16 @@ def pieces(docs: DataFrame, tokenizer: str, units: str = "leading", end_id: int
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             keep = 6 if with_ids else 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)][:keep], names[:keep])
+        if memory < MEMORY:
+            del code
+            drop_encoders()
+            give_back()
 
     return docs.select("doc_id", "text").mapInArrow(encode, PIECES + (", ids binary" if with_ids else ""))
 
 
 def packed_pieces(docs: DataFrame, tokenizer: str, units: str = "leading", end_id: int = 0,
-                  capacity: int = CAPACITY) -> DataFrame:
+                  capacity: int = CAPACITY, memory: int = MEMORY) -> DataFrame:
     """All pieces of ``docs`` with sequence_id and offset.
 
     Repeated rows are packed as often as they come; a null doc_id is a value
@@ -61,7 +67,7 @@ def packed_pieces(docs: DataFrame, tokenizer: str, units: str = "leading", end_i
     is encoded whole and cut; an empty table has no pieces.  Other columns are
     not read.
     """
-    found = stored(pieces(docs, tokenizer, units, end_id, capacity), "pieces")
+    found = stored(pieces(docs, tokenizer, units, end_id, capacity, memory=memory), "pieces")
     return pack(found, capacity, ["doc_id", "piece", "ids_crc32"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

@@ -221,3 +221,8 @@ def encoder(path: str, units: str, memory: int = MEMORY) -> Encoder:
         _made.clear()
         _made[path, units, memory] = Encoder(path, units, memory)
     return _made[path, units, memory]
+
+
+def drop_encoders() -> None:
+    """A worker that goes on to other stages holds none."""
+    _made.clear()

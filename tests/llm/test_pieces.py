@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -115,3 +116,17 @@ def test_units_met_again_stay_when_memory_is_full(monkeypatch):
     rows = dict(code.encode(pa.array(texts)))
     assert asked.count("common") == asked.count(" word") == 1
     assert [rows[k].tolist() for k in range(100)] == [code._ids([t])[0] for t in texts]
+
+
+def test_pipeline_bounds_the_words_of_its_encoder(monkeypatch):
+    """The pipeline's workers remember far fewer words than an encoder on its own."""
+    asked = {}
+    monkeypatch.setattr(corpus_pipeline.sequences, "packed_pieces", lambda docs, *a, **k: asked.update(k))
+    corpus_pipeline.pack_sequences(None, None, "")
+    code = tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"), "leading", asked["memory"])
+    texts = pa.array([" ".join(f"{chr(97 + k % 26)}{n:x}" for n in range(k * 1000, k * 1000 + 1000)) for k in range(300)])
+    for _ in code.encode(texts):
+        pass
+    assert len(code.known) < 250_000 and list(tokens._made.values()) == [code]
+    tokens.drop_encoders()
+    assert not tokens._made
