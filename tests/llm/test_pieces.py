@@ -130,3 +130,24 @@ def test_pipeline_bounds_the_words_of_its_encoder(monkeypatch):
     assert len(code.known) < 250_000 and list(tokens._made.values()) == [code]
     tokens.drop_encoders()
     assert not tokens._made
+
+
+def test_ends_of_few_intervals_need_no_pass_over_all_places(monkeypatch):
+    """Prefixes longer than the first key are extended from their own intervals only."""
+    r = random.Random(5)
+    long = bytes(r.choice(b"abcdefgh") for _ in range(20_000))
+    records = [long, long[:9000] + b"#" + long[9001:]]
+    passes, all_places = [], np.flatnonzero
+    monkeypatch.setattr(bwt.np, "flatnonzero", lambda x: passes.append(len(x)) or all_places(x))
+    got = bwt.repeated_starts(records, 400)
+    monkeypatch.undo()
+    assert sum(n > 10_000 for n in passes) < 50
+    for k, n in enumerate(map(len, records)):
+        assert got[k].tolist() == [i for i in range(n - 399) if not i <= 9000 < i + 400]
+
+
+def test_next_marked_place():
+    marked = np.zeros(5001, bool)
+    marked[[0, 3, 4, 2000, 5000]] = True
+    assert bwt._next(marked, np.array([0, 1, 3, 4, 1999, 2000])).tolist() == [3, 3, 4, 2000, 2000, 5000]
+    assert bwt._next(marked, np.arange(5000)).tolist() == [min(m for m in (0, 3, 4, 2000, 5000) if m > k) for k in range(5000)]
