@@ -75,9 +75,11 @@ def lineup_names(events: DataFrame, aliases: DataFrame) -> DataFrame:
         return F.col(key).isin(F.col("_ja"), F.col("_en")) & (F.length(key) >= BILLING_CHARS)
 
     billing = own_title("_k0") | own_title("_whole")
-    named = spell_canonically(rows.filter(~billing), "cleaned", aliases, "name")
-    return named.withColumn("key", name_key(F.col("name"))) \
-        .select("id", "pos", "raw", "cleaned", "name", "key")
+    # keys are folded once, of aliases in their small table: each further fold would be one more Python worker per core
+    dim = sized_broadcast(aliases.select("alias_key", F.col("spelling").alias("_to"), name_key(F.col("spelling")).alias("_to_key")))
+    return rows.filter(~billing).join(dim, F.col("_k0") == F.col("alias_key"), "left").select(
+        "id", "pos", "raw", "cleaned", F.coalesce("_to", "cleaned").alias("name"), F.when(F.col("_to").isNull(), F.col("_k0"))
+        .otherwise(F.col("_to_key")).alias("key"))
 
 
 def display_names(names: DataFrame) -> DataFrame:
